@@ -84,7 +84,7 @@ class WordCache:
         if len(self.known) > CACHED:
             self.known = {}
         chunks = [None if _ODD.search(t) else t.split() for t in texts]  # split() would drop these four controls
-        if new := {c for own in chunks if own for c in own}.difference(self.known):
+        if new := set().union(*filter(None, chunks)).difference(self.known):
             parts = {c: self._parts(c) for c in new}
             ask = sorted({p for own in parts.values() for p in own}.difference(self.known))
             for words, how in (([p for p in ask if p.isalpha() and max(p) < "İ"], self._encode_words), ([p for p in ask if not p.isalpha() or max(p) >= "İ"], self._encode)):
