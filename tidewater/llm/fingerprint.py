@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from ._spark import cut
 
-SAMPLES = 16
+SAMPLES = 24
 _NULL_ID = -(2**63)
 SPACE = "[\\x20\\x09-\\x0D]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -50,7 +50,7 @@ def sample_key(word: Column, log_weight: Column, k: int) -> Column:
     b = _uniform(one, 40, 24)
     t = F.floor(log_weight / r + b)
     log_a = log_c - r * (t - b) - r
-    order = F.round(F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), log_a)) * 2_000_000).cast("long")
+    order = (F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), log_a)) * 2_000_000).cast("long")
     tie = F.xxhash64(two, t).bitwiseAND(0xFFFFFFFF)
     return F.shiftleft(order, 32).bitwiseOR(tie)
 
