@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from ._spark import id_text, written
 from ._text import LOWER, mix, range_hash, slices, word_bounds
 
-SUFFIXES, CLASSES, HASHED, UPDATES, HEAD = 4096, 32, 4096, 3, 1 << 19
-CONTEXTS = 256  # buckets of the word before, for clustering
+SUFFIXES, CLASSES, HASHED, UPDATES, HEAD = 4096, 32, 4096, 3, 1 << 18
+CONTEXTS = 128  # buckets of the word before, for clustering
 STEPS = (0.7, 0.5, 0.4)
 CHUNK = 1 << 14
 END_HASH = np.uint64(0x5851F42D4C957F2D)
@@ -169,11 +169,11 @@ def train(docs: DataFrame) -> dict:
     counted = written(counted.select("word", "bucket", "c"))
     vocabulary = counted.where("word is not null")
     pairs = np.zeros((SUFFIXES + 1) * CONTEXTS)
-    got = counted.where("word is null").select("bucket", "c").toPandas()  # as many cells at most
+    got = counted.where("word is null").select("bucket", "c").toArrow().to_pandas()  # as many cells at most
     pairs[got["bucket"]] = got["c"]
     class_of = cluster(pairs.reshape(SUFFIXES + 1, CONTEXTS))
 
-    sums = vocabulary.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toPandas()
+    sums = vocabulary.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow().to_pandas()
     n = np.bincount(class_of[sums["bucket"]], weights=sums["n"], minlength=CLASSES)
     v = np.bincount(class_of[sums["bucket"]], weights=sums["v"], minlength=CLASSES)
     bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
@@ -182,7 +182,7 @@ def train(docs: DataFrame) -> dict:
     for k in range(UPDATES):
         columns = ", ".join(f"s{j} double" for j in range(2 * CLASSES))
         rows = learn.where(share == k).select("text").mapInArrow(_gradient(class_of, weights, bias), f"f int, {columns}")
-        rows = rows.groupBy("f").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(2 * CLASSES))).toPandas()  # FEATURES rows at most
+        rows = rows.groupBy("f").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(2 * CLASSES))).toArrow().to_pandas()  # FEATURES rows at most
         both = rows.drop(columns="f").to_numpy().reshape(len(rows), 2, CLASSES)
         weights[rows["f"]] += (STEPS[k] * np.clip(np.log((both[:, 0] + 0.5) / (both[:, 1] + 0.5)), -3, 3)).astype(np.float32)
     return {"vocabulary": vocabulary, "class_of": class_of, "weights": weights, "bias": bias, "n": n, "v": v, "head": _head(vocabulary)}
@@ -197,7 +197,7 @@ def _head(vocabulary: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarr
         if total + c > most:
             break
         total, least = total + c, k
-    head = vocabulary.where(step >= least).select("word", "c").toPandas() if least is not None else pd.DataFrame({"word": [], "c": []}, dtype="int64")
+    head = vocabulary.where(step >= least).select("word", "c").toArrow().to_pandas() if least is not None else pd.DataFrame({"word": [], "c": []}, dtype="int64")
     head = head.sort_values("word")
     return head["word"].to_numpy(np.int64), head["c"].to_numpy(np.int64)
 
