@@ -41,12 +41,13 @@ LENGTH, ANCHOR, BLOCK = 100, 24, 512
 FILTER_BITS = 24
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
+_UP = bytes(min(255, b + 2) for b in range(256))
 
 
 def gsaca(s: list[int]) -> list[int]:
     """The suffix array of ``s``, whose last symbol must be its only least one."""
     n = len(s)
-    order = sorted(range(n), key=s.__getitem__)
+    order = np.argsort(np.array(s), kind="stable").tolist()
     place, group, size, previous = [0] * n, [0] * n, [0] * n, [-1] * n
     start = 0
     for k, i in enumerate(order):
@@ -102,15 +103,12 @@ def gsaca(s: list[int]) -> list[int]:
 
 def equal_windows(regions: list[bytes]) -> list[list[tuple[int, int]]]:
     """Groups of (region, offset) of equal windows of LENGTH bytes, from the suffix array of all regions."""
-    text: list[int] = []
+    text = list(b"\1".join([*(r.translate(_UP) for r in regions), b"\0"]))  # bytes of UTF-8 stay below 254
     owner, offset = [], []
     for k, r in enumerate(regions):
         windows = len(r) - LENGTH + 1
-        text += [b + 2 for b in r]
-        text.append(1)
         owner += [k] * windows + [-1] * (len(r) + 1 - windows)
         offset += range(len(r) + 1)
-    text.append(0)
     owner.append(-1)
     flat = b"\0".join(regions)
     groups, last = [], b""
