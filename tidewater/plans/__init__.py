@@ -1,6 +1,302 @@
-"""Registered queries and their DuckDB equivalents."""
+"""Registered queries and their DuckDB equivalents, over whole tables."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .. import functions as fn
+from ..operators import batch, files, log, namespace, telemetry
+from ..sources import journal
+from ..streaming import group_commit
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_LOG = "SELECT event_id, user_id, event_type, CAST(sum(strlen(props) + 12) OVER (ORDER BY event_id) AS BIGINT) AS next_lsn, CAST(strlen(props) + 12 AS BIGINT) AS fl FROM events"
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.assign_lsn(_t(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"), ["event_id"], "props")
+
+
+@_query(f"SELECT event_id, next_lsn - fl AS lsn, next_lsn FROM ({_LOG})")
+def log_lsn_assign(spark, sf_dir):
+    return _log(spark, sf_dir).select("event_id", "lsn", "next_lsn")
+
+
+@_query("SELECT conv_id, records, bytes, end_lsn - bytes AS start_lsn, end_lsn FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS end_lsn FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id))")
+def log_batch_append(spark, sf_dir):
+    return log.append_batches(_t(spark, sf_dir, "conversations"), "conv_id", "text").select("conv_id", "records", "bytes", "start_lsn", "end_lsn")
+
+
+@_query(f"SELECT event_id, next_lsn - fl AS lsn FROM ({_LOG}) WHERE next_lsn - fl >= 65536")
+def log_range_scan(spark, sf_dir):
+    return _log(spark, sf_dir).where("lsn >= 65536").select("event_id", "lsn")
+
+
+@_query(f"SELECT event_id, next_lsn - fl AS lsn, next_lsn FROM ({_LOG}) WHERE next_lsn - fl = 0")
+def log_point_lookup(spark, sf_dir):
+    return _log(spark, sf_dir).where("lsn = 0").select("event_id", "lsn", "next_lsn")
+
+
+@_query(f"""WITH l AS ({_LOG}), c AS (SELECT unnest([0, 5, 100, 1000, 4096, 65536]) AS cut)
+SELECT cut, records, clean_end, CASE WHEN cut = clean_end THEN 'CleanEnd' WHEN cut - clean_end < 8 THEN 'TruncatedHeader' ELSE 'TruncatedPayload' END AS state
+FROM (SELECT CAST(cut AS BIGINT) AS cut, count(*) FILTER (WHERE next_lsn <= cut) AS records, coalesce(max(next_lsn) FILTER (WHERE next_lsn <= cut), 0) AS clean_end FROM c LEFT JOIN l ON next_lsn - fl < cut GROUP BY cut)""")
+def log_torn_tail(spark, sf_dir):
+    cuts = spark.createDataFrame([(x,) for x in (0, 5, 100, 1000, 4096, 65536)], "cut long")
+    return log.torn_tails(_log(spark, sf_dir), cuts).select("cut", "records", "clean_end", "state")
+
+
+@_query(f"SELECT event_id, user_id, lsn, previous_end FROM (SELECT event_id, user_id, next_lsn - fl AS lsn, lag(next_lsn) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_end FROM ({_LOG})) WHERE previous_end <> lsn")
+def log_gap_detect(spark, sf_dir):
+    return log.gaps(_log(spark, sf_dir), "event_id", "user_id").select("event_id", "user_id", "lsn", "previous_end")
+
+
+@_query("SELECT event_id, user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS durable_at FROM events")
+def log_durable_asof(spark, sf_dir):
+    return log.durable_at(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "purchase").select("event_id", "user_id", "durable_at")
+
+
+@_query("SELECT user_id, CAST(coalesce(sum(size) FILTER (WHERE whole = 1), 0) AS BIGINT) AS frontier, CAST(sum(whole) AS BIGINT) AS finished FROM (SELECT user_id, strlen(props) + 12 AS size, min(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS whole FROM events) GROUP BY user_id")
+def log_contiguous_frontier(spark, sf_dir):
+    return log.contiguous_frontier(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") != "error", log.frame_len(F.col("props")))
+
+
+@_query("SELECT user_id, CAST(sum(1 - bad) AS BIGINT) AS accepted, CAST(sum(bad) AS BIGINT) AS rejected FROM (SELECT user_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM events) GROUP BY user_id")
+def log_poison(spark, sf_dir):
+    return log.poisoned(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error")
+
+
+@_query("SELECT doc_id, lower('46535901' || lpad(hex(strlen(text) & 255), 2, '0') || lpad(hex((strlen(text) >> 8) & 255), 2, '0') || lpad(hex((strlen(text) >> 16) & 255), 2, '0') || lpad(hex((strlen(text) >> 24) & 255), 2, '0')) AS header FROM documents")
+def frame_header_hex(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", log.frame_header_hex(F.col("text")).alias("header"))
+
+
+def _crc_query(spark, sf_dir):
+    """The checksum of every document's frame; DuckDB has no CRC-32C, so known answers test it."""
+    return _t(spark, sf_dir, "documents").select("doc_id", journal.frame_crc(F.col("text").cast("binary")).alias("crc32c"))
+
+
+QUERIES["frame_crc32c"] = _crc_query
+
+
+def log_group_commit(spark, sf_dir):
+    """Sync requests (purchases) of a user gathered into commits: 3600 s or 8 followers, whichever is first."""
+    return group_commit.commits(_t(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts"), window_s=3600.0, most_followers=8)
+
+
+QUERIES["log_group_commit"] = log_group_commit
+
+
+@_query("SELECT l_orderkey, count(*) AS ops, min(i) FILTER (WHERE l_returnflag = 'R') AS failed_at, coalesce(min(i) FILTER (WHERE l_returnflag = 'R'), count(*)) AS completed FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
+def batch_partial_failure(spark, sf_dir):
+    order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")]
+    return batch.outcomes(_t(spark, sf_dir, "lineitem"), "l_orderkey", order, F.col("l_returnflag") == "R").select("l_orderkey", "ops", "failed_at", "completed")
+
+
+@_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+def batch_last_write_wins(spark, sf_dir):
+    return batch.last_write_wins(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error")
+
+
+@_query("SELECT lang, count(*) AS ops, count(DISTINCT source) AS parents FROM documents GROUP BY lang")
+def batch_grouped_parents(spark, sf_dir):
+    return batch.grouped_parents(_t(spark, sf_dir, "documents"), "lang", "source")
+
+
+_URL = "regexp_replace(url, '^[a-z]+://', '')"
+
+
+@_query("SELECT batch, count(*) AS ops, min(page_id) FILTER (WHERE url LIKE '%#%') AS first_escape, count(*) FILTER (WHERE url LIKE '%#%') > 0 AS rejected, CASE WHEN count(*) FILTER (WHERE url LIKE '%#%') > 0 THEN 0 ELSE count(*) END AS completed FROM (SELECT page_id, url, page_id // 10 AS batch FROM pages) GROUP BY batch")
+def batch_preflight_reject(spark, sf_dir):
+    """A fragment stands for two steps up, so a url with one leaves the root."""
+    ops = _t(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 10").alias("batch"), F.when(F.col("url").contains("#"), F.lit("a/../..")).otherwise(F.lit("a/b")).alias("path"))
+    return batch.preflight(ops, "batch", "page_id", fn.escapes_root(F.col("path"))).select("batch", "ops", "first_escape", "rejected", "completed")
+
+
+_NEW = "SELECT l_orderkey AS o_orderkey, max(l_extendedprice) AS o_totalprice FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_orderkey"
+
+
+def _priced(spark, sf_dir, keep):
+    new = _t(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_extendedprice").alias("o_totalprice"))
+    return files.upsert(_t(spark, sf_dir, "orders"), new, "o_orderkey", "o_totalprice", keep)
+
+
+@_query(f"SELECT o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice FROM orders o FULL JOIN ({_NEW}) n USING (o_orderkey)")
+def file_upsert(spark, sf_dir):
+    return _priced(spark, sf_dir, [])
+
+
+@_query(f"SELECT o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, o_orderstatus, o_orderpriority FROM orders o FULL JOIN ({_NEW}) n USING (o_orderkey)")
+def file_write_copy(spark, sf_dir):
+    return _priced(spark, sf_dir, ["o_orderstatus", "o_orderpriority"])
+
+
+@_query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
+def file_delete_anti(spark, sf_dir):
+    gone = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
+    return _t(spark, sf_dir, "part").join(gone, "p_partkey", "left_anti").select("p_partkey", "p_name")
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
+def file_exists_semi(spark, sf_dir):
+    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+
+
+def _bytes(spark, sf_dir, change):
+    content = F.col("text").cast("binary")
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(F.hex(change(content)).cast("binary")).alias("digest"))
+
+
+_HEX = "hex(encode(text))"
+
+
+@_query(f"SELECT doc_id, md5(substr({_HEX}, 33, 128)) AS digest FROM documents")
+def bytes_read_at(spark, sf_dir):
+    return _bytes(spark, sf_dir, lambda c: files.read_at(c, 16, 64))
+
+
+@_query(f"SELECT doc_id, md5(substr({_HEX}, 1, 32) || repeat('00', greatest(0, 16 - strlen(text))) || '6162636465' || substr({_HEX}, 43)) AS digest FROM documents")
+def bytes_write_at(spark, sf_dir):
+    return _bytes(spark, sf_dir, lambda c: files.write_at(c, 16, b"abcde"))
+
+
+@_query(f"SELECT doc_id, md5(substr({_HEX}, 1, 2000) || repeat('00', greatest(0, 1000 - strlen(text)))) AS digest FROM documents")
+def bytes_truncate(spark, sf_dir):
+    return _bytes(spark, sf_dir, lambda c: files.truncate(c, 1000))
+
+
+@_query(f"SELECT doc_id, md5(substr({_HEX}, 1, 40) || repeat('00', greatest(0, least(50, strlen(text) - 20))) || substr({_HEX}, 141)) AS digest FROM documents")
+def bytes_zero_range(spark, sf_dir):
+    return _bytes(spark, sf_dir, lambda c: files.zero_range(c, 20, 50))
+
+
+_TREE = "SELECT r_name AS path, false AS is_file FROM region UNION ALL SELECT r_name || '/' || n_name, false FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+
+
+def _tree(spark, sf_dir):
+    region, nation, customer = (_t(spark, sf_dir, t) for t in ("region", "nation", "customer"))
+    nations = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))  # 5 and 25 rows at any scale
+    people = customer.join(F.broadcast(nations), F.col("c_nationkey") == F.col("n_nationkey"))
+    dirs = region.select(F.col("r_name").alias("path")).union(nations.select(F.concat_ws("/", "r_name", "n_name"))).withColumn("is_file", F.lit(False))
+    return dirs.union(people.select(F.concat_ws("/", "r_name", "n_name", "c_name"), F.lit(True)))
+
+
+@_query(f"SELECT path, is_file FROM ({_TREE}) WHERE path LIKE 'ASIA/%' AND path NOT LIKE 'ASIA/%/%'")
+def ns_list(spark, sf_dir):
+    return namespace.list_dir(_tree(spark, sf_dir), "ASIA")
+
+
+@_query(f"SELECT path, is_file FROM ({_TREE}) WHERE path LIKE 'ASIA/%'")
+def ns_scan_all(spark, sf_dir):
+    return namespace.scan_all(_tree(spark, sf_dir), "ASIA")
+
+
+@_query(f"WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(0, len(p))) AS k FROM f) SELECT array_to_string(p[1:k], '/') AS dir, CAST(sum(CASE WHEN k = len(p) - 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_direct, count(*) AS n_all FROM d GROUP BY 1")
+def ns_count_all(spark, sf_dir):
+    return namespace.count_all(_tree(spark, sf_dir), F.col("is_file"))
+
+
+@_query(f"WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(1, len(p))) AS k FROM f) SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM d")
+def ns_mkdir_all(spark, sf_dir):
+    return namespace.missing_ancestors(_tree(spark, sf_dir).where("is_file").select("path"))
+
+
+@_query(f"SELECT page_id, path FROM (SELECT page_id, {_URL} AS path FROM pages) WHERE regexp_full_match(path, '[^/]*/en/[^/]*\\.html')")
+def ns_find_glob(spark, sf_dir):
+    return namespace.find(_t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")), "*/en/*.html")
+
+
+@_query(f"SELECT page_id, path FROM (SELECT page_id, {_URL} AS path FROM pages) WHERE regexp_full_match(path, '(.*/)?(de|fr)/[^/]*')")
+def ns_brace_find(spark, sf_dir):
+    return namespace.find(_t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")), "**/{de,fr}/*")
+
+
+@_query(r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(url, '[/\\]'), lambda x: x <> ''), '/') AS path FROM pages")
+def path_normalize(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", fn.normalize_path(F.col("url")).alias("path"))
+
+
+@_query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[/\\<>:"|?*\x00-\x1F\x7F]', '_', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS segment FROM pages""")
+def path_sanitize(spark, sf_dir):
+    return _t(spark, sf_dir, "pages").select("page_id", fn.sanitize_segment(F.col("url")).alias("segment"))
+
+
+@_query("SELECT s_suppkey, lpad(lower(hex(s_suppkey % 65536)), 4, '0') || ':' || lpad(lower(hex(s_suppkey % 256)), 2, '0') || ':' || lpad(lower(hex(s_suppkey % 32)), 2, '0') || '.' || lower(hex(s_suppkey % 8)) AS address, CAST(s_suppkey % 256 AS INTEGER) AS bus FROM supplier")
+def pci_round_trip(spark, sf_dir):
+    k = F.col("s_suppkey")
+    out = _t(spark, sf_dir, "supplier").select("s_suppkey", fn.pci_format(k % 65536, k % 256, k % 32, k % 8).alias("address"))
+    return out.withColumn("bus", fn.pci_parse(F.col("address"))["bus"])
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 AND p_size > 25 THEN 'direct' WHEN p_size % 4 IN (0, 1) THEN 'data' ELSE 'sync' END AS method FROM part")
+def auto_method(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("nvme", "ssd", "hdd", "unknown"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", fn.auto_method(kind, F.col("p_size") > 25).alias("method"))
+
+
+@_query("SELECT p_partkey, (p_size & 9) = 9 AS has FROM part")
+def cpu_feature_contains(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", fn.has_flags(F.col("p_size"), 9).alias("has"))
+
+
+@_query("SELECT doc_id, CASE WHEN n_chars % 512 = 0 THEN n_chars ELSE n_chars + 512 - n_chars % 512 END AS aligned FROM documents")
+def align_up(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", fn.align_up(F.col("n_chars"), 512).alias("aligned"))
+
+
+@_query("SELECT o_orderkey, o_orderpriority <> '1-URGENT' OR o_orderstatus = 'F' OR date_diff('second', o_orderdate, TIMESTAMP '1998-08-02') >= 30 * 86400 AS stale FROM orders")
+def capability_stale(spark, sf_dir):
+    age = F.lit("1998-08-02").cast("timestamp").cast("long") - F.col("o_orderdate").cast("timestamp").cast("long")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderpriority") != "1-URGENT") | (F.col("o_orderstatus") == "F") | (age >= 30 * 86400)).alias("stale"))
+
+
+@_query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 10 THEN 'memory' END, CASE WHEN p_retailprice < 1000 THEN 'privilege' END, CASE WHEN p_size % 2 = 1 THEN 'cores' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part")
+def skip_reasons(spark, sf_dir):
+    checks = F.array(F.when(F.col("p_size") < 10, "memory"), F.when(F.col("p_retailprice") < 1000, "privilege"), F.when(F.col("p_size") % 2 == 1, "cores"))
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_compact(checks), ",").alias("reasons"))
+
+
+@_query("SELECT event_type, count(*) AS calls, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY event_type")
+def tel_rollup(spark, sf_dir):
+    return telemetry.rollup(_t(spark, sf_dir, "events"), "event_type", F.octet_length("props"), F.col("value") > 100)
+
+
+_RANK = "SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = floor(0.5 * (n - 1) + 0.5)) AS p50, max(value) FILTER (WHERE i = floor(0.999 * (n - 1) + 0.5)) AS p999 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type"
+
+
+def _ranked(spark, sf_dir):
+    return telemetry.nearest_rank(_t(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p999": 0.999})
+
+
+@_query(_RANK)
+def tel_percentile_nearest(spark, sf_dir):
+    return _ranked(spark, sf_dir)
+
+
+@_query(f"SELECT event_type, CASE WHEN p999 / greatest(p50, 0.001) <= 10.0 THEN 'OK' ELSE 'INVESTIGATE' END AS status FROM ({_RANK})")
+def tel_tail_verdict(spark, sf_dir):
+    return telemetry.tail_verdict(_ranked(spark, sf_dir)).select("event_type", "status")
+
+
+@_query("SELECT year, CASE WHEN pct IS NULL THEN 'skipped' WHEN pct <= 5 THEN 'pass' WHEN pct <= 10 THEN 'critical' WHEN pct <= 25 THEN 'standard' ELSE 'loose' END AS gate FROM (SELECT year, 100.0 * (n - lag(n) OVER (ORDER BY year)) / lag(n) OVER (ORDER BY year) AS pct FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n FROM lineitem GROUP BY 1))")
+def tel_regression_gate(spark, sf_dir):
+    years = _t(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"))
+    before = years.select((F.col("year") + 1).alias("year"), F.col("n").alias("base"))
+    pct = 100.0 * (F.col("n") - F.col("base")) / F.col("base")
+    return years.join(before, "year", "left").select("year", telemetry.regression(pct).alias("gate"))
