@@ -101,11 +101,12 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     half = F.expr("char_length(text) div 2").cast("int")
     need = dealt.select("next.id", "next.mark", F.struct("id", "mark").alias("own"), half.alias("half"))
     head = need.join(plain.select("id", "mark", F.col("text").alias("next_text")), ["id", "mark"]).select("own.id", "own.mark", F.expr("left(next_text, half)").alias("head"))
-    if plain.count() > n:  # repeated rows
+    repeated = plain.count() > n
+    if repeated:
         head = head.dropDuplicates(["id", "mark"])
     pair = dealt.join(head, ["id", "mark"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.col("head")))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    both = pair.select("id", "mark", F.explode(sides).alias("x")).select("id", "mark", "x.side", "x.t")
+    both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.explode(sides).alias("x")).select("id", "mark", "x.side", "x.t")
     printed = cut(fingerprints(both, ["id", "mark", "side"], "t", samples).select("id", "mark", "side", _signature(samples).alias("print")))
     facts = pair.select("id", "mark", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     side = lambda s, name: printed.where(F.col("side") == s).select("id", "mark", F.col("print").alias(name))
