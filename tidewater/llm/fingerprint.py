@@ -107,13 +107,13 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     pair = dealt.join(head, ["id", "mark"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.col("head")))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
     both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.explode(sides).alias("x")).select("id", "mark", "x.side", "x.t")
-    printed = cut(fingerprints(both, ["id", "mark", "side"], "t", samples).select("id", "mark", "side", _signature(samples).alias("print")))
+    printed = fingerprints(both, ["id", "mark", "side"], "t", samples).select("id", "mark", "side", _signature(samples).alias("print"))
+    printed = printed.groupBy("id", "mark").agg(*(F.max(F.when(F.col("side") == k, F.col("print"))).alias(name) for k, name in ((0, "fingerprint"), (1, "edited_fingerprint"))))
     facts = pair.select("id", "mark", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    side = lambda s, name: printed.where(F.col("side") == s).select("id", "mark", F.col("print").alias(name))
-    none = "0" * 8 * samples
-    out = facts.join(side(0, "fingerprint"), ["id", "mark"], "left").join(side(1, "edited_fingerprint"), ["id", "mark"], "left").na.fill(none, ["fingerprint", "edited_fingerprint"])
-    next_print = side(0, "_ahead").select(F.struct("id", "mark").alias("next"), "_ahead")
-    out = out.join(next_print, "next", "left").na.fill(none, ["_ahead"])
+    # one job for both, so that the exchange of the texts is written once
+    out = cut(facts.join(printed, ["id", "mark"], "left").na.fill("0" * 8 * samples, ["fingerprint", "edited_fingerprint"]))
+    following = out.select(F.struct("id", "mark").alias("next"), F.col("fingerprint").alias("_ahead"))
+    out = out.join(following.dropDuplicates(["next"]) if repeated else following, "next")
     return out.select(
         F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
