@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater import functions as fn
-from tidewater.operators import namespace
+from tidewater.operators import batch, files, namespace
 from tidewater.sources import journal
 from tidewater.streaming import group_commit
 
@@ -83,3 +83,37 @@ def test_group_commit(spark, tmp_path):
     q = group_commit.stream_commits(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60, 2).writeStream.format("memory").queryName("commits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["event_id"]: r["leader_id"] for r in spark.table("commits").collect()} == want
+
+
+def test_words_and_sizes(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
+    assert one(fn.confine(F.lit("a/./b/../c"))) == "a/c" and one(fn.confine(F.lit("a/../.."))) is None and one(fn.confine(F.lit("/a"))) is None and one(fn.confine(F.lit("."))) == ""
+    assert one(fn.mode_of(F.lit(" Debug "))) == "dev" and one(fn.mode_of(F.lit("RELEASE"))) == "prod" and one(fn.mode_of(F.lit("x"))) is None
+    assert one(fn.kib(F.lit(" 12 kB"))) == 12288 and one(fn.kib(F.lit("x"))) == 0
+    assert one(fn.field_of(F.lit("MemTotal:   77 kB"), "MemTotal")) == 77 and one(fn.field_of(F.lit("Other: 1"), "MemTotal")) is None
+    assert one(fn.atomic_write_unit(F.lit(7), F.lit(512))) == 4096 and one(fn.atomic_write_unit(F.lit(2**31), F.lit(4096))) is None
+    assert one(fn.escape_quoted(F.lit('a\\b"c\n\x01'))) == 'a\\\\b\\"c\\n'
+    assert [one(fn.drive_kind(F.lit(d), F.lit(r))) for d, r in (("nvme0n1", 0), ("sda", 0), ("sda", 1), ("sda", 7))] == ["nvme", "ssd", "hdd", "unknown"]
+    assert [one(fn.auto_method(F.lit("ssd"), F.lit(True), s)) for s in ("linux", "macos", "windows", "other")] == ["data", "sync", "direct", "sync"]
+    assert len(fn.ERROR_CODES) == 23 and one(fn.error_name(F.lit("FS-00009"))) == "ShutdownInProgress" and one(fn.error_name(F.lit("?"))) is None
+
+
+def test_apply_ops(spark):
+    """A chain of copies, a copy after a delete, an empty batch's neighbour, and a source that is written again."""
+    rows = [(1, 0, "write", "p0", None, "A")] + [(1, k, "copy", f"p{k}", f"p{k - 1}", None) for k in range(1, 20)] + [(1, 20, "write", "p0", None, "B")]
+    rows += [(2, 0, "write", "a", None, "X"), (2, 1, "copy", "b", "a", None), (2, 2, "delete", "a", None, None), (2, 3, "copy", "c", "a", None), (2, 4, "write", "b", None, "late")]
+    rows += [(3, 5, "copy", "a", "a", None), (4, 1, "write", "a", None, "1"), (4, 2, "copy", "a", "a", None), (4, 3, "delete", "z", None, None)]
+    tree, done = batch.apply_ops(spark.createDataFrame(rows, "batch long, at long, kind string, path string, src string, data string"), "batch", "at")
+    assert {(r["batch"], r["path"]): r["data"] for r in tree.collect()} == {**{(1, f"p{k}"): "A" for k in range(1, 20)}, (1, "p0"): "B", (2, "b"): "X", (4, "a"): "1"}
+    assert {r["batch"]: (r["ops"], r["failed_at"], r["completed"]) for r in done.collect()} == {1: (21, None, 21), 2: (5, 3, 3), 3: (1, 0, 0), 4: (3, None, 3)}
+
+
+def test_appends_and_trees(spark):
+    old = spark.createDataFrame([("a", b"1"), ("b", b"2")], "path string, data binary")
+    more = spark.createDataFrame([("a", 2, b"y"), ("a", 1, b"x"), ("c", 1, b"z")], "path string, k int, data binary")
+    assert {r["path"]: bytes(r["data"]) for r in files.append_all(old, more, "path", "k", "data").collect()} == {"a": b"1xy", "b": b"2", "c": b"z"}
+    tree = spark.createDataFrame([("a", False), ("a/b", False), ("a/f", True), ("e", False), ("ab", True)], "path string, is_file boolean")
+    gone = lambda *p: spark.createDataFrame([(x,) for x in p], "path string")
+    left = lambda df: sorted(r["path"] for r in df.collect())
+    assert left(namespace.remove_trees(tree, gone("a", "x"))) == ["ab", "e"]
+    assert left(namespace.remove_empty(tree, gone("a", "a/b", "e", "ab", "x"), F.col("is_file"))) == ["a", "a/f", "ab"]

@@ -42,9 +42,11 @@ def align_up(n: Column, align: int) -> Column:
     return n if align == 0 else F.when(n % align == 0, n).otherwise(n + align - n % align)
 
 
-def auto_method(drive: Column, ring: Column) -> Column:
-    """The write method for a drive: direct for NVMe with a submission ring, data for other flash, sync otherwise."""
-    return F.when((drive == "nvme") & ring, "direct").when(drive.isin("nvme", "ssd"), "data").otherwise("sync")
+def auto_method(drive: Column, ring: Column, system: str = "linux") -> Column:
+    """The write method for a drive: on Linux direct for NVMe with a submission ring and data for other flash; elsewhere by what the system flushes directly; else sync."""
+    direct = {"linux": (drive == "nvme") & ring, "macos": drive == "nvme", "windows": drive.isin("nvme", "ssd")}.get(system, F.lit(False))
+    data = drive.isin("nvme", "ssd") if system == "linux" else F.lit(False)
+    return F.when(direct, "direct").when(data, "data").otherwise("sync")
 
 
 def has_flags(bits: Column, flags: int) -> Column:
@@ -56,3 +58,61 @@ def cache_size(s: Column) -> Column:
     digits = F.regexp_extract(s, r"^\s*(\d+)\s*([KMkm]?)\s*$", 1)
     unit = F.upper(F.regexp_extract(s, r"^\s*(\d+)\s*([KMkm]?)\s*$", 2))
     return F.when(digits != "", digits.cast("long") * F.when(unit == "K", 1024).when(unit == "M", 1024 * 1024).otherwise(1))
+
+
+def confine(path: Column) -> Column:
+    """A relative path with ``.`` and ``..`` folded; null if it leaves the root at any point or is absolute."""
+    parts = F.filter(F.split(path, "/"), lambda x: (x != "") & (x != "."))
+    folded = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x)))
+    return F.when(~escapes_root(path), F.array_join(folded, "/"))
+
+
+def drive_kind(device: Column, rotational: Column) -> Column:
+    """A block device's kind, from its name and its rotational flag."""
+    return F.when(device.startswith("nvme"), "nvme").when(rotational == 0, "ssd").when(rotational == 1, "hdd").otherwise("unknown")
+
+
+def mode_of(raw: Column) -> Column:
+    """dev or prod from the words for them, in any case and with spaces around; else null."""
+    word = F.lower(F.trim(raw))
+    return F.when(word.isin("dev", "development", "debug"), "dev").when(word.isin("prod", "production", "release"), "prod")
+
+
+def kib(s: Column) -> Column:
+    """"N kB" as bytes; 0 if it can't be read."""
+    return F.coalesce(F.nullif(F.regexp_extract(s, r"^\s*(\d+)\s*(?:kB)?\s*$", 1), F.lit("")).cast("long"), F.lit(0)) * 1024
+
+
+def field_of(line: Column, name: str) -> Column:
+    """The number after ``name`` on a line of "Name:  N unit"; null on other lines."""
+    return F.nullif(F.regexp_extract(line, rf"^{name}:?\s*(\d+)", 1), F.lit("")).cast("long")
+
+
+def atomic_write_unit(blocks: Column, sector: Column) -> Column:
+    """Bytes that a drive writes all or nothing, from its zero-based block count; null if unknown or over 32 bits."""
+    n = (blocks.cast("long") + 1) * sector
+    return F.when(n < 2**32, n)
+
+
+def escape_quoted(s: Column) -> Column:
+    """The inside of a quoted string: backslashes, quotes and line ends escaped, other control characters dropped."""
+    for raw, mark in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        s = F.replace(s, F.lit(raw), F.lit(mark))
+    return F.regexp_replace(s, r"[\x00-\x1F]", "")
+
+
+# The codes of errors.
+ERROR_CODES = {
+    f"FS-{k:05d}": name
+    for k, name in enumerate(
+        """Io InvalidPath HardwareProbeFailed UnsupportedPlatform UnsupportedMethod AlignmentRequired AtomicReplaceFailed PartialDirectoryOp ShutdownInProgress QueueFull IoUringSetupFailed
+        MmapFailed BufferPoolExhausted PlpDetectionUnavailable NvmePassthroughUnsupported NvmePassthroughDenied AsyncRuntimeRequired GlobPatternInvalid HandlePoisoned IoUringSubmitFailed
+        CompletionDriverDead FeatureNotEnabled SpdkUnavailable""".split(),
+        1,
+    )
+}
+
+
+def error_name(code: Column) -> Column:
+    """The name of an error's code; null if there is none."""
+    return F.create_map(*(F.lit(x) for pair in ERROR_CODES.items() for x in pair))[code]

@@ -40,3 +40,26 @@ def upsert(old: DataFrame, new: DataFrame, key: str, value: str, keep: list[str]
     """Replaces ``value`` by key and keeps untouched rows; columns of ``keep`` stay as they were (new rows have nulls)."""
     joined = old.select(key, F.col(value).alias("_old"), *keep).join(new.select(key, F.col(value).alias("_new")), key, "full")
     return joined.select(key, F.coalesce("_new", "_old").alias(value), *keep)
+
+
+def append_all(old: DataFrame, appends: DataFrame, key: str, order: str, data: str) -> DataFrame:
+    """(key, data) after the appends in ``order``; missing files begin empty. A file is one value, so its pieces meet in one row."""
+    pieces = appends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, data)))[data].alias("_pieces"))
+    joined = old.select(key, F.col(data).alias("_old")).join(pieces, key, "full")
+    grown = F.aggregate(F.coalesce("_pieces", F.array().cast(f"array<{appends.schema[data].dataType.simpleString()}>")), F.coalesce(F.col("_old"), F.lit("").cast(old.schema[data].dataType)), lambda a, x: F.concat(a, x))
+    return joined.select(key, grown.alias(data))
+
+
+def copy(tree: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """Copies (src, dst) of ``moves``, all at once: sources stay, targets are replaced, copies of nothing do nothing."""
+    rest = [c for c in tree.columns if c != key]
+    made = tree.join(moves, tree[key] == moves["src"]).select(F.col("dst").alias(key), *rest)
+    return tree.join(made.select(key), key, "left_anti").select(key, *rest).union(made)
+
+
+def rename(tree: DataFrame, moves: DataFrame, key: str) -> DataFrame:
+    """Renames (src, dst) of ``moves``, all at once: targets are replaced, renames of nothing do nothing."""
+    rest = [c for c in tree.columns if c != key]
+    made = tree.join(moves, tree[key] == moves["src"]).select(F.col("dst").alias(key), *rest)
+    gone = made.select(key).union(moves.select("src")).distinct()
+    return tree.join(gone, key, "left_anti").select(key, *rest).union(made)

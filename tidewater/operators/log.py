@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 OVERHEAD = 12
 MOST_PAYLOAD = 2**28 - 1
 
@@ -25,9 +27,10 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str) -> Data
     """Adds ``out``, the sum of ``value`` up to and with each row in a global order, without one task that sees all rows.
 
     Rows are dealt by ranges of the order; each range is summed by itself, and
-    only one sum per range goes through a single task.
+    only one sum per range goes through a single task. The ranges come from a
+    sample, so they are kept: a second sample could draw other ones.
     """
-    dealt = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    dealt = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sums = dealt.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = sums.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
     inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
@@ -47,9 +50,14 @@ def append_batches(records: DataFrame, batch: str, payload: str) -> DataFrame:
 
 
 def gaps(records: DataFrame, order: str, group: str | None = None) -> DataFrame:
-    """Records whose predecessor does not end where they start; per ``group`` if given."""
-    w = (Window.partitionBy(group) if group else Window.partitionBy(F.lit(0))).orderBy(order)
-    return records.withColumn("previous_end", F.lag("next_lsn").over(w)).where("previous_end <> lsn")
+    """Records whose predecessor does not end where they start; per ``group`` if given, else over ranges of ``order`` and the last record of each."""
+    if group:
+        return records.withColumn("previous_end", F.lag("next_lsn").over(Window.partitionBy(group).orderBy(order))).where("previous_end <> lsn")
+    dealt = cut(records.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    last = dealt.groupBy("_part").agg(F.max_by("next_lsn", order).alias("_last"))
+    before = last.select("_part", F.lag("_last").over(Window.orderBy("_part")).alias("_before"))
+    own = F.lag("next_lsn").over(Window.partitionBy("_part").orderBy(order))
+    return dealt.withColumn("_own", own).join(before, "_part").withColumn("previous_end", F.coalesce("_own", "_before")).drop("_part", "_own", "_before").where("previous_end <> lsn")
 
 
 def durable_at(events: DataFrame, key: str, order: str, is_sync: Column) -> DataFrame:

@@ -72,3 +72,17 @@ def find(paths: DataFrame, pattern: str) -> DataFrame:
         raise ValueError("pattern escapes the root")
     regex = "|".join(f"(?:{glob_regex(p)})" for p in expand_braces(pattern))
     return paths.where(F.col("path").rlike(regex))
+
+
+def remove_empty(paths: DataFrame, doomed: DataFrame, is_file: Column) -> DataFrame:
+    """The tree without those directories of ``doomed`` (path) that hold nothing; the others stay, missing ones are no error."""
+    full = paths.select(parent(F.col("path")).alias("path")).distinct()
+    gone = doomed.join(full, "path", "left_anti").join(paths.where(~is_file).select("path"), "path", "left_semi")
+    return paths.join(gone.select("path"), "path", "left_anti").select(paths.columns)
+
+
+def remove_trees(paths: DataFrame, doomed: DataFrame) -> DataFrame:
+    """The tree without the directories of ``doomed`` (path) and all below; an equality join on every ancestor, so no pairs are compared."""
+    up = paths.select("path", F.explode(F.concat(ancestors(F.col("path")), F.array("path"))).alias("_up"))
+    gone = up.join(doomed.select(F.col("path").alias("_up")), "_up", "left_semi").select("path").distinct()
+    return paths.join(gone, "path", "left_anti").select(paths.columns)

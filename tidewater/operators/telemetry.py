@@ -31,3 +31,17 @@ def tail_verdict(percentiles: DataFrame) -> DataFrame:
 def regression(change_pct: Column) -> Column:
     """The class of a change against a baseline; no baseline is skipped."""
     return F.when(change_pct.isNull(), "skipped").when(change_pct <= 5, "pass").when(change_pct <= 10, "critical").when(change_pct <= 25, "standard").otherwise("loose")
+
+
+def truncated_rank(events: DataFrame, kind: str, value: str) -> DataFrame:
+    """Median and p99 at the ranks n div 2 and floor(0.99 n), the other convention of the measurements."""
+    counts = events.groupBy(kind, value).agg(F.count("*").alias("c"))
+    total = Window.partitionBy(kind)
+    upto = counts.withColumns({"hi": F.sum("c").over(total.orderBy(value)), "n": F.sum("c").over(total)})
+    at = {"p50": F.expr("n div 2"), "p99": F.expr("least(n - 1, n * 99 div 100)")}
+    return upto.groupBy(kind).agg(F.sum("c").alias("n"), *(F.max(F.when((a < F.col("hi")) & (a >= F.col("hi") - F.col("c")), F.col(value))).alias(name) for name, a in at.items()))
+
+
+def throughput(events: DataFrame, kind: str, seconds: Column) -> DataFrame:
+    """Operations a second of each kind."""
+    return events.groupBy(kind).agg(F.count("*").alias("ops"), (F.count("*") / F.sum(seconds)).alias("per_second"))

@@ -300,3 +300,92 @@ def tel_regression_gate(spark, sf_dir):
     before = years.select((F.col("year") + 1).alias("year"), F.col("n").alias("base"))
     pct = 100.0 * (F.col("n") - F.col("base")) / F.col("base")
     return years.join(before, "year", "left").select("year", telemetry.regression(pct).alias("gate"))
+
+
+@_query("SELECT event_id, lsn, previous_end FROM (SELECT event_id, next_lsn - fl AS lsn, lag(next_lsn) OVER (ORDER BY event_id) AS previous_end FROM (" + _LOG + ") WHERE event_id % 1000 <> 7) WHERE previous_end <> lsn")
+def log_gap_scan(spark, sf_dir):
+    return log.gaps(_log(spark, sf_dir).where("event_id % 1000 <> 7"), "event_id").select("event_id", "lsn", "previous_end")
+
+
+_OPS = """WITH RECURSIVE o AS (SELECT conv_id, turn, role AS path, CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END AS src, CASE WHEN turn % 3 = 2 THEN 'copy' WHEN turn % 7 = 5 THEN 'delete' ELSE 'write' END AS kind,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations),
+p AS (SELECT a.conv_id, a.turn, a.path, a.kind, a.i, max(b.turn) AS prev FROM o a LEFT JOIN o b ON a.conv_id = b.conv_id AND b.path = a.src AND b.turn < a.turn AND a.kind = 'copy' GROUP BY ALL),
+chase AS (SELECT conv_id, turn, kind AS k, turn AS cur, prev FROM p
+  UNION ALL SELECT c.conv_id, c.turn, coalesce(q.kind, 'nothing'), coalesce(q.turn, c.turn), q.prev FROM chase c LEFT JOIN p q ON q.conv_id = c.conv_id AND q.turn = c.prev WHERE c.k = 'copy'),
+r AS (SELECT p.conv_id, p.path, p.kind, p.i, c.k, c.cur FROM p JOIN chase c ON p.conv_id = c.conv_id AND p.turn = c.turn WHERE c.k <> 'copy'),
+f AS (SELECT conv_id, count(*) AS ops, min(i) FILTER (WHERE kind = 'copy' AND k IN ('nothing', 'delete')) AS failed_at FROM r GROUP BY conv_id)
+"""
+
+
+def _ops(spark, sf_dir):
+    kind = F.when(F.col("turn") % 3 == 2, "copy").when(F.col("turn") % 7 == 5, "delete").otherwise("write")
+    ops = _t(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), F.col("role").alias("path"), F.when(F.col("role") == "user", "assistant").otherwise("user").alias("src"), F.col("text").alias("data"))
+    return batch.apply_ops(ops, "conv_id", "turn")
+
+
+@_query(_OPS + "SELECT x.conv_id, x.path, x.origin, md5(t.text) AS digest FROM (SELECT r.conv_id, path, arg_max(k, i) AS k, arg_max(cur, i) AS origin FROM r JOIN f ON r.conv_id = f.conv_id WHERE i < coalesce(failed_at, ops) GROUP BY 1, 2) x JOIN conversations t ON t.conv_id = x.conv_id AND t.turn = x.origin WHERE k = 'write'")
+def batch_apply_files(spark, sf_dir):
+    return _ops(spark, sf_dir)[0].select("conv_id", "path", "origin", F.md5(F.col("data").cast("binary")).alias("digest"))
+
+
+@_query(_OPS + "SELECT conv_id, ops, failed_at, coalesce(failed_at, ops) AS completed FROM f")
+def batch_apply_outcomes(spark, sf_dir):
+    return _ops(spark, sf_dir)[1].select("conv_id", "ops", "failed_at", "completed")
+
+
+@_query("SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def file_append(spark, sf_dir):
+    turns = _t(spark, sf_dir, "conversations")
+    grown = files.append_all(turns.where("turn = 0"), turns.where("turn > 0"), "conv_id", "turn", "text")
+    return grown.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_MOVED = "WITH m AS (SELECT p_partkey + 1 AS d, p_name FROM part WHERE p_size = 1) SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT d FROM m)"
+
+
+def _moves(spark, sf_dir):
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+
+
+@_query(f"{_MOVED} UNION ALL SELECT d, p_name FROM m")
+def file_copy(spark, sf_dir):
+    return files.copy(*_moves(spark, sf_dir), "p_partkey")
+
+
+@_query(f"{_MOVED} AND p_size <> 1 UNION ALL SELECT d, p_name FROM m")
+def file_rename(spark, sf_dir):
+    return files.rename(*_moves(spark, sf_dir), "p_partkey")
+
+
+@_query(f"SELECT path, is_file FROM ({_TREE}) WHERE NOT regexp_matches(path, '^(ASIA|EUROPE)(/|$)')")
+def ns_rmdir_all(spark, sf_dir):
+    return namespace.remove_trees(_tree(spark, sf_dir), spark.createDataFrame([("ASIA",), ("EUROPE",), ("NOWHERE",)], "path string"))
+
+
+@_query(f"SELECT path, is_file FROM ({_TREE}) t WHERE is_file OR EXISTS (SELECT 1 FROM ({_TREE}) u WHERE starts_with(u.path, t.path || '/'))")
+def ns_rmdir(spark, sf_dir):
+    """Every directory is doomed; those that hold something stay."""
+    tree = _tree(spark, sf_dir)
+    return namespace.remove_empty(tree, tree.where("not is_file").select("path"), F.col("is_file"))
+
+
+@_query(f"SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN array_to_string(list_filter(string_split({_URL}, '/'), lambda x: x <> ''), '/') END AS path FROM pages")
+def path_confine(spark, sf_dir):
+    lead = F.when(F.col("page_id") % 3 == 0, "a/./../").when(F.col("page_id") % 3 == 1, "a/../../").otherwise("./")
+    return _t(spark, sf_dir, "pages").select("page_id", fn.confine(F.concat(lead, F.regexp_replace("url", "^[a-z]+://", ""))).alias("path"))
+
+
+@_query(f"SELECT event_id, {list(fn.ERROR_CODES.values())}[event_id % 25] AS name FROM events")
+def err_code_dim(spark, sf_dir):
+    code = F.concat(F.lit("FS-"), F.lpad((F.col("event_id") % 25).cast("string"), 5, "0"))
+    return _t(spark, sf_dir, "events").select("event_id", fn.error_name(code).alias("name"))
+
+
+@_query("SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = n // 2) AS p50, max(value) FILTER (WHERE i = least(n - 1, n * 99 // 100)) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
+def tel_truncated_rank(spark, sf_dir):
+    return telemetry.truncated_rank(_t(spark, sf_dir, "events"), "event_type", "value")
+
+
+@_query("SELECT event_type, count(*) AS ops, count(*) / sum(event_id % 7 + 1) AS per_second FROM events GROUP BY event_type")
+def tel_throughput(spark, sf_dir):
+    return telemetry.throughput(_t(spark, sf_dir, "events"), "event_type", F.col("event_id") % 7 + 1)
