@@ -39,6 +39,7 @@ HELD = 0.05
 CACHED = 1_000_000
 _BUCKET = 8192
 _ODD = re.compile("[\x1c-\x1f]")
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII symbols but the apostrophe, which can begin a contraction
 
 
 class WordCache:
@@ -53,7 +54,7 @@ class WordCache:
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -73,24 +74,28 @@ class WordCache:
         return out
 
     @staticmethod
-    def _parts(chunk: str) -> tuple[str, ...]:
-        """The chunk lower-cased, and a closing stop or comma after letters apart: neither changes its ids."""
-        if max(chunk) >= "İ":  # from here on lower case can add characters
-            return (chunk,)
+    def _parts(chunk: str) -> tuple[str, str]:
+        """The chunk lower-cased, and ASCII symbols after letters apart: neither changes its ids."""
+        if not chunk.isascii() and max(chunk) >= "İ":  # from here on lower case can add characters
+            return chunk, ""
         low = chunk.lower()
-        return (low[:-1], low[-1]) if low[-1] in ".," and low[:-1].isalpha() else (low,)
+        head = low.rstrip(_TAIL)
+        return (head, low[len(head) :]) if head.isalpha() else (low, "")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > CACHED:
-            self.known = {}
+            self.known = {"": b""}
+        known = self.known
         chunks = [None if _ODD.search(t) else t.split() for t in texts]  # split() would drop these four controls
-        if new := set().union(*filter(None, chunks)).difference(self.known):
-            parts = {c: self._parts(c) for c in new}
-            ask = sorted({p for own in parts.values() for p in own}.difference(self.known))
-            for words, how in (([p for p in ask if p.isalpha() and max(p) < "İ"], self._encode_words), ([p for p in ask if not p.isalpha() or max(p) >= "İ"], self._encode)):
-                self.known.update(zip(words, how(words), strict=True))
-            self.known.update((c, b"".join(self.known[p] for p in own)) for c, own in parts.items())
-        get = self.known.__getitem__
+        if new := list(set().union(*filter(None, chunks)).difference(known)):
+            heads, tails = zip(*map(self._parts, new), strict=True)
+            ask = set(heads).union(tails).difference(known)
+            words = [p for p in ask if p.isalpha() and (p.isascii() or max(p) < "İ")]
+            rest = list(ask.difference(words))
+            known.update(zip(words, self._encode_words(words), strict=True))
+            known.update(zip(rest, self._encode(rest), strict=True))
+            known.update({c: known[h] + known[t] for c, h, t in zip(new, heads, tails, strict=True)})
+        get = known.__getitem__
         return [self._encode([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, chunks, strict=True)]
 
 
