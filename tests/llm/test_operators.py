@@ -12,10 +12,12 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm import _spark, bpe, fingerprint, html_text, maxent, minhash, packing, quality, suffix, token_counts, toxicity
+from tidewater.llm._text import column_bytes
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -368,3 +370,15 @@ def test_pipeline(spark):
         assert docs.columns == columns and 0 < docs.count() <= before, name
         before = docs.count()
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).select("doc_id").distinct().count() == before
+
+
+def test_word_cache_equals_the_library():
+    """Marks after capitals, symbols around letters, every kind of white space, and the cache's own separator word."""
+    own = packing.WordCache(P.path("word_bpe_49k.json"))
+    parts = [*"abIHJTis'\".,!-12 \t\n\x0b\x0c\r\x1c\x1f\x85\xa0İıſßéÉΣς中ำẞ😀²Ⅷǅ", "̱", "̌", "̈", "<|endoftext|>", own.mark, "</w>", "'s", "'ll"]
+    draw = random.Random(5)
+    texts = ["", " ", *("".join(draw.choices(parts, k=draw.randrange(25))) for _ in range(3000))]
+    for _ in range(2):  # unknown, then known
+        ids, first = own.encode(*column_bytes(pa.array(texts)))
+        for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+            assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)

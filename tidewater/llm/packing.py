@@ -21,16 +21,17 @@ empty table gives no rows.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import id_text, running_total, written
+from ._text import IS_SPACE, LOWER, column_bytes, slices
 
 WINDOW = 4096
 BINS = 64
@@ -38,7 +39,8 @@ DEPTH = 3
 HELD = 0.05
 CACHED = 1_000_000
 _BUCKET = 8192
-_ODD = re.compile("[\x1c-\x1f]")
+_SLICE = 8 << 20
+_PLAIN = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)  # white space as spaces, ASCII in lower case
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII symbols but the apostrophe, which can begin a contraction
 
 
@@ -53,50 +55,65 @@ class WordCache:
         self.tokenizer.encode_special_tokens = True
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        closing = {t.removesuffix("</w>"): i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")}
+        self.closes[list(closing.values())] = True
+        self.mark = max((w for w in closing if w.isascii() and w.isalpha() and w.islower()), key=lambda w: (len(w), w))  # a rare word of one id
+        self.mark_id = closing[self.mark]
         self.known: dict[str, bytes] = {"": b""}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of letters only, 500 to a text: each ends with its one token that closes a word."""
+    def _encode_joined(self, chunks: list[str], mark: str) -> list[bytes]:
+        """Chunks, 500 to a text. Letters end with their one token that closes a word; others are followed by ``mark``, which none of them may hold."""
         out: list[bytes] = []
-        for lo in range(0, len(words), 500):
-            part = words[lo : lo + 500]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, self.kind)
-            ends = np.flatnonzero(self.closes[ids]) + 1
+        for lo in range(0, len(chunks), 500):
+            part = chunks[lo : lo + 500]
+            text = "".join([f"{c} {mark} " for c in part]) if mark else " ".join(part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            ends = np.flatnonzero(ids == self.mark_id if mark else self.closes[ids]) + 1
             if len(ends) == len(part) and ends[-1] == len(ids):
-                raw, bounds = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
-                out += [raw[x:y] for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+                raw, size, ends = ids.tobytes(), ids.itemsize, ends.tolist()
+                out += [raw[x * size : (y - bool(mark)) * size] for x, y in zip([0, *ends[:-1]], ends, strict=True)]
             else:
                 out += self._encode(part)
         return out
 
-    @staticmethod
-    def _parts(chunk: str) -> tuple[str, str]:
-        """The chunk lower-cased, and ASCII symbols after letters apart: neither changes its ids."""
-        if not chunk.isascii() and max(chunk) >= "İ":  # from here on lower case can add characters
-            return chunk, ""
-        low = chunk.lower()
-        head = low.rstrip(_TAIL)
-        return (head, low[len(head) :]) if head.isalpha() else (low, "")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, new: list[str]) -> None:
+        """Adds chunks; ASCII symbols after letters are asked for apart, which doesn't change the ids."""
+        known, split, words, rest = self.known, {}, set(), set()
+        for c in new:
+            head = c.rstrip(_TAIL)
+            if head.isalpha() and (head.isascii() or max(head) < "İ"):  # from there on lower case can add characters
+                words.add(head)
+                if len(head) < len(c):
+                    tail = c[len(head) :]
+                    rest.add(tail)
+                    split[c] = (head, tail)
+            else:
+                rest.add(c)
+        words, rest = list(words.difference(known)), list(rest.difference(known))
+        known.update(zip(words, self._encode_joined(words, ""), strict=True))
+        known.update(zip(rest, self._encode_joined(rest, self.mark), strict=True))
+        known.update({c: known[head] + known[tail] for c, (head, tail) in split.items()})
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, the first of each and the end of the last) of the texts' bytes and offsets."""
         if len(self.known) > CACHED:
             self.known = {"": b""}
-        known = self.known
-        chunks = [None if _ODD.search(t) else t.split() for t in texts]  # split() would drop these four controls
-        if new := list(set().union(*filter(None, chunks)).difference(known)):
-            heads, tails = zip(*map(self._parts, new), strict=True)
-            ask = set(heads).union(tails).difference(known)
-            words = [p for p in ask if p.isalpha() and (p.isascii() or max(p) < "İ")]
-            rest = list(ask.difference(words))
-            known.update(zip(words, self._encode_words(words), strict=True))
-            known.update(zip(rest, self._encode(rest), strict=True))
-            known.update({c: known[h] + known[t] for c, h, t in zip(new, heads, tails, strict=True)})
-        get = known.__getitem__
-        return [self._encode([t])[0] if own is None else b"".join(map(get, own)) for t, own in zip(texts, chunks, strict=True)]
+        low = _PLAIN[data]
+        before = np.flatnonzero(data[1:] >= 0x80)  # a mark that follows can join the small letter only, so a capital stays
+        low[before] = np.where(IS_SPACE[data[before]], 32, data[before])
+        plain = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low)])
+        chunks = pc.split_pattern(plain, " ")
+        coded = chunks.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if new := [c for c in distinct if c not in self.known]:
+            self._learn(new)
+        ids = pa.array([self.known[c] for c in distinct], pa.large_binary()).take(coded.indices)
+        flat, bounds = column_bytes(ids)
+        size = np.dtype(self.kind).itemsize
+        return flat[: bounds[-1]].view(self.kind), bounds[chunks.offsets.to_numpy()] // size
 
 
 _caches: dict[str, WordCache] = {}
@@ -108,12 +125,12 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
     def run(batches):
         own = _caches.setdefault(path, None) or WordCache(path)
         _caches[path] = own
-        stop = np.array([end], own.kind).tobytes()
         for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                ids = [x + stop for x in own.encode(part.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // len(stop) for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array([len(stop)] * len(ids), pa.int32())], names=["doc_id", "n", "ids", "width"])
+            for lo, hi, data, offsets in slices(batch.column(1), _SLICE):
+                flat, first = own.encode(data, offsets)
+                ids, first = np.insert(flat, first[1:], end), first + np.arange(hi - lo + 1)
+                out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), out, pa.array(np.full(hi - lo, ids.itemsize, np.int32))], names=["doc_id", "n", "ids", "width"])
 
     return id_text(docs).mapInArrow(run, "doc_id long, n long, ids binary, width int")
 
