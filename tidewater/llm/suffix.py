@@ -7,10 +7,15 @@ least hash in it, so equal windows own equal anchors at equal places, and an
 anchor that occurs once owns no repeated window. Occurrences of a repeated
 anchor whose owned regions are equal byte for byte are one class, of which
 the first occurrence is the original. Where an anchor has several classes,
-their regions are put in one text and suffix-sorted; owned windows that are
-neighbours in the suffix array with ``LENGTH`` bytes in common are equal, and
-only the earliest is an original. Anchors with more than ``BLOCK`` classes
-are sorted in blocks, whose distinct windows then meet by a shuffle.
+the windows of a region are parted by how many bytes they hold before the
+anchor, ``PART`` such numbers to a piece. All windows of a piece hold its core
+of ``LENGTH - PART + 1`` bytes, so pieces meet by anchor, part and core, and
+equal pieces are one class again. What is left differs outside the core only:
+the pieces of one core, the core itself written as one symbol, are put in one
+text and suffix-sorted; windows that are neighbours in the suffix array with
+``PART`` symbols in common are equal, and only the earliest is an original.
+Cores with more than ``BLOCK`` classes are sorted in blocks, whose distinct
+windows then meet by a shuffle.
 
 The suffix array comes from grouping suffixes by their Lyndon prefixes:
 groups are processed in descending order; each suffix finds the previous
@@ -28,6 +33,7 @@ null ids come before all others; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +43,11 @@ from pyspark.sql import functions as F
 from ._spark import cut, written
 from ._text import _BYTE_CODE, _P, _P_INV, U64, mix, slices
 
-LENGTH, ANCHOR, BLOCK = 100, 24, 512
+LENGTH, ANCHOR, PART, BLOCK = 100, 24, 26, 512
 FILTER_BITS = 24
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
+_LONG = struct.Struct("<q")
 _UP = bytes(min(255, b + 2) for b in range(256))
 
 
@@ -101,12 +108,12 @@ def gsaca(s: list[int]) -> list[int]:
     return out
 
 
-def equal_windows(regions: list[bytes]) -> list[list[tuple[int, int]]]:
-    """Groups of (region, offset) of equal windows of LENGTH bytes, from the suffix array of all regions."""
+def equal_windows(regions: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
+    """Groups of (region, offset) of equal windows of ``length`` bytes, from the suffix array of all regions."""
     text = list(b"\1".join([*(r.translate(_UP) for r in regions), b"\0"]))  # bytes of UTF-8 stay below 254
     owner, offset = [], []
     for k, r in enumerate(regions):
-        windows = len(r) - LENGTH + 1
+        windows = len(r) - length + 1
         owner += [k] * windows + [-1] * (len(r) + 1 - windows)
         offset += range(len(r) + 1)
     owner.append(-1)
@@ -114,7 +121,7 @@ def equal_windows(regions: list[bytes]) -> list[list[tuple[int, int]]]:
     groups, last = [], b""
     for i in gsaca(text):
         if owner[i] >= 0:
-            window = flat[i : i + LENGTH]
+            window = flat[i : i + length]
             if window != last:
                 groups.append([])
                 last = window
@@ -181,17 +188,28 @@ def _touched(texts: DataFrame, keys: DataFrame) -> DataFrame:
     return seen.where(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1) = 1")).select(texts.columns)
 
 
-def _cut_regions(batches):
+def pieces(raw: bytes, fp: int, run: int):
+    """(key, class, run, symbols) of each piece of an owned run: key stands for anchor, part and core, class for the bytes outside the core, of which \\xff takes the place."""
+    lo, before, windows = run >> 16, run >> 8 & 0xFF, run & 0xFF
+    anchor, least = lo + before, before - windows + 1
+    for part in range(least // PART, before // PART + 1):
+        most_here, least_here = min(before, part * PART + PART - 1), max(least, part * PART)
+        core = anchor - part * PART
+        end = core + LENGTH - PART + 1
+        symbols = raw[anchor - most_here : core] + b"\xff" + raw[end : anchor - least_here + LENGTH]
+        key = hashlib.blake2b(raw[core:end], digest_size=8, salt=struct.pack("<qB", fp, part)).digest()
+        yield *_LONG.unpack(key), *_LONG.unpack(hashlib.blake2b(symbols, digest_size=8).digest()), (anchor - most_here) << 16 | most_here << 8 | most_here - least_here + 1, symbols
+
+
+def _cut_pieces(batches):
     for batch in batches:
         for at in range(0, len(batch), 64):
             out: list[tuple] = []
             for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                 raw = text.encode()
-                for w in wanted:
-                    lo, windows = w["run"] >> 16, w["run"] & 0xFF
-                    out.append((w["fp"], w["block"], w["blocks"], w["region"], doc, mark, w["run"], raw[lo : lo + windows - 1 + LENGTH]))
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=["fp", "block", "blocks", "region", "id", "mark", "run", "bytes"])
+                out += [(*p, doc, mark) for w in wanted for p in pieces(raw, w["fp"], w["run"])]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["fp", "region", "run", "symbols", "id", "mark"])
 
 
 def _runs(offsets: list[int]) -> list[tuple[int, int]]:
@@ -212,7 +230,7 @@ def _sort_regions(batches):
     def solve(rows):
         place = [(r[4], r[5], r[6] >> 16) for r in rows]
         repeated: dict[int, list[int]] = {}
-        for group in equal_windows([r[7] for r in rows]):
+        for group in equal_windows([r[7] for r in rows], PART):
             best = min(group, key=lambda x: (*place[x[0]][:2], place[x[0]][2] + x[1]))
             first = (*place[best[0]][:2], place[best[0]][2] + best[1])
             for k, o in group:
@@ -220,7 +238,7 @@ def _sort_regions(batches):
                     repeated.setdefault(k, []).append(o)
             if rows[0][2] > 1:
                 k, o = best
-                yield rows[k][0], rows[k][3], None, hashlib.blake2b(rows[k][7][o : o + LENGTH], digest_size=16).digest(), rows[k][4], rows[k][5], rows[k][6], o
+                yield rows[k][0], rows[k][3], None, hashlib.blake2b(rows[k][7][o : o + PART], digest_size=16).digest(), rows[k][4], rows[k][5], rows[k][6], o
         for k, own in repeated.items():
             yield rows[k][0], rows[k][3], [{"low": a, "high": b} for a, b in _runs(own)], None, None, None, None, None
 
@@ -248,12 +266,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     occurs = written(found.join(often, "fp"))
     classes = written(occurs.groupBy("fp", "region").agg(F.min(F.struct("id", "mark", "run")).alias("first"), F.count("*").alias("n")))
     several = classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1")
-    blocks = F.ceil(F.col("classes") / BLOCK).cast("int")
-    unsure = classes.join(several, "fp").select("first.id", "first.mark", F.struct("fp", "region", F.col("first.run").alias("run"), F.pmod(F.xxhash64("region"), blocks).cast("int").alias("block"), blocks.alias("blocks")).alias("want"))
+    unsure = classes.join(several, "fp").select("first.id", "first.mark", F.struct("fp", F.col("first.run").alias("run")).alias("want"))
     wanted = cut(unsure.groupBy("id", "mark").agg(F.collect_list("want").alias("want")))  # at most as long as the document
-    regions = _touched(texts, wanted.select("id", "mark")).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
-    regions = regions.mapInArrow(_cut_regions, "fp long, block int, blocks int, region long, id long, mark long, run long, bytes binary")
-    sorted_ = regions.repartition("fp", "block").sortWithinPartitions("fp", "block")
+    parted = _touched(texts, wanted.select("id", "mark")).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
+    parted = written(parted.mapInArrow(_cut_pieces, "fp long, region long, run long, symbols binary, id long, mark long"))
+    part_classes = written(parted.groupBy("fp", "region").agg(F.min(F.struct("id", "mark", "run", "symbols")).alias("first"), F.count("*").alias("n")))
+    blocks = part_classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1").select("fp", F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))
+    sorted_ = part_classes.join(blocks, "fp").select("fp", F.pmod(F.xxhash64("region"), "blocks").cast("int").alias("block"), "blocks", "region", "first.id", "first.mark", "first.run", "first.symbols")
+    sorted_ = sorted_.repartition("fp", "block").sortWithinPartitions("fp", "block")
     judged = written(sorted_.mapInArrow(_sort_regions, "fp long, region long, repeated array<struct<low:int,high:int>>, window binary, id long, mark long, run long, offset int"))
     # windows of anchors in several blocks
     place = F.struct("id", "mark", (F.shiftright("run", 16) + F.col("offset")).alias("at"))
@@ -263,10 +283,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     own = judged.where("repeated is not null").select("fp", "region", F.explode("repeated").alias("r"))
     partly = own.union(later).groupBy("fp", "region").agg(F.collect_list("r").alias("repeated"))  # offsets of one region
 
-    at = occurs.join(classes.where("n > 1").select("fp", "region", "first"), ["fp", "region"]).where(F.struct("id", "mark", "run") != F.col("first"))
+    def copies(of: DataFrame, known: DataFrame) -> DataFrame:
+        first = known.where("n > 1").select("fp", "region", F.struct("first.id", "first.mark", "first.run").alias("first"))
+        return of.select("fp", "region", "id", "mark", "run").join(first, ["fp", "region"]).where(F.struct("id", "mark", "run") != F.col("first"))
+
+    at = copies(occurs, classes).unionByName(copies(parted, part_classes))
     low, windows_ = F.shiftright("run", 16), F.col("run").bitwiseAND(0xFF)
     whole = at.select("id", "mark", low.alias("low"), (low + windows_ - 1 + LENGTH).alias("high"))
-    some = classes.join(partly, ["fp", "region"]).select("first.id", "first.mark", F.shiftright("first.run", 16).alias("base"), F.explode("repeated").alias("r"))
+    some = part_classes.join(partly, ["fp", "region"]).select("first.id", "first.mark", F.shiftright("first.run", 16).alias("base"), F.explode("repeated").alias("r"))
     some = some.select("id", "mark", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high") + LENGTH).alias("high"))
     return cut(whole.union(some).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 
