@@ -13,6 +13,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
@@ -316,6 +317,18 @@ def test_maxent_is_a_probability_and_helps(spark):
     assert held[0] > held[1]
 
 
+def test_maxent_contexts_stay_apart():
+    column = lambda text: pa.array([text], pa.large_string())
+    bucket = lambda w: int(maxent.tokens(*column_bytes(column(w)))[1][0])
+    of = {}
+    for k in range(20000):
+        of.setdefault(bucket(f"w{k:05d}"), f"w{k:05d}")
+    a, b = next((w, of[k + 128]) for k, w in sorted(of.items()) if k % 256 < 128 and k + 128 in of)
+    out = pa.Table.from_batches(maxent._count(iter([pa.RecordBatch.from_arrays([column(f"{a} same {b} same")], names=["text"])])))
+    cells = out.filter(pa.compute.is_null(out["word"])).to_pandas()
+    assert cells.loc[cells["bucket"] // maxent.CONTEXTS == bucket("same"), "c"].tolist() == [1, 1]
+
+
 def test_fingerprints(docs, nothing, corpus):
     rows = sorted({(r[0], r[1] or "") for r in corpus}, key=lambda x: -(x[0] if x[0] is not None else -1))
     edited = {}
