@@ -317,6 +317,20 @@ def test_maxent_is_a_probability_and_helps(spark):
     assert held[0] > held[1]
 
 
+def test_maxent_updates_see_every_document(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"a{k} b{k} c") for k in range(60)], "doc_id long, text string")
+    passes, gradient = [spark.sparkContext.accumulator(0) for _ in range(maxent.UPDATES)], maxent._gradient
+    left = iter(passes)
+
+    def counted(*model):
+        seen, run = next(left), gradient(*model)
+        return lambda batches: run(b for b in batches if seen.add(len(b)) is None)
+
+    monkeypatch.setattr(maxent, "_gradient", counted)
+    maxent.train(docs)
+    assert [p.value for p in passes] == [docs.where(maxent.in_training()).count()] * maxent.UPDATES
+
+
 def test_maxent_contexts_stay_apart():
     column = lambda text: pa.array([text], pa.large_string())
     bucket = lambda w: int(maxent.tokens(*column_bytes(column(w)))[1][0])

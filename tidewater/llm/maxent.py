@@ -11,9 +11,8 @@ its class, with one share for all unknown words of the class, so that the
 product is a probability over all tokens.
 
 Training covers every training document: one pass counts words, and each of
-``UPDATES`` gradient updates sums observed and expected feature counts of its
-own share of the documents over all tasks, and moves the weights by iterative
-scaling. What the driver holds does not grow: weights, bucket counts and the
+``UPDATES`` gradient updates sums observed and expected feature counts of all
+of them over all tasks, and moves the weights by iterative scaling. What the driver holds does not grow: weights, bucket counts and the
 ``HEAD`` most frequent words, which are looked up in the tasks; all other
 words are joined to the full vocabulary by a shuffle.
 
@@ -143,12 +142,13 @@ def _gradient(class_of, weights, bias):
             for _, _, data, offsets in slices(batch.column(0)):
                 h, b, row = tokens(data, offsets)
                 ids, k = feature_ids(h, b, row, class_of), class_of[b]
+                for j in range(3):
+                    seen += np.bincount(ids[:, j] * CLASSES + k, minlength=len(seen))
                 for lo in range(0, len(h), CHUNK):
                     part = ids[lo : lo + CHUNK]
                     p = np.exp(log_classes(part, weights, bias))
                     for j in range(3):
-                        seen += np.bincount(part[:, j] * CLASSES + k[lo : lo + CHUNK], minlength=len(seen))
-                        order = np.argsort(part[:, j], kind="stable")
+                        order = np.argsort(part[:, j].astype(np.uint16), kind="stable")  # FEATURES fit; short integers sort by radix
                         f = part[order, j]
                         first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
                         expected[f[first]] += np.add.reduceat(p[order], first, axis=0)
@@ -178,10 +178,9 @@ def train(docs: DataFrame) -> dict:
     v = np.bincount(class_of[sums["bucket"]], weights=sums["v"], minlength=CLASSES)
     bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
     weights = np.zeros((FEATURES, CLASSES), np.float32)
-    share = F.pmod(F.xxhash64("doc_id", F.lit("update")), F.lit(UPDATES))
     for k in range(UPDATES):
         columns = ", ".join(f"s{j} double" for j in range(2 * CLASSES))
-        rows = learn.where(share == k).select("text").mapInArrow(_gradient(class_of, weights, bias), f"f int, {columns}")
+        rows = learn.select("text").mapInArrow(_gradient(class_of, weights, bias), f"f int, {columns}")
         rows = rows.groupBy("f").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(2 * CLASSES))).toArrow().to_pandas()  # FEATURES rows at most
         both = rows.drop(columns="f").to_numpy().reshape(len(rows), 2, CLASSES)
         weights[rows["f"]] += (STEPS[k] * np.clip(np.log((both[:, 0] + 0.5) / (both[:, 1] + 0.5)), -3, 3)).astype(np.float32)
