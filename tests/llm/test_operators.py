@@ -386,6 +386,19 @@ def test_html(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_measures_blocks_everywhere():
+    good = ("The house of the man is in the town and it was the one that he had for all of the years that they were there with us. " * 3).strip()
+    junk = ("Premium hosting bundle deluxe tariffs voucher bargain checkout delivery brands outlet sneakers " * 3).strip()
+    two = f"{good}\n\n{good}"
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<{tag}><p>{good}</p><div>{junk}</div><div>Order now</div><div>{junk}</div><p>{good}</p></{tag}>") == two
+        assert html_text.main_text(f"<{tag} class='no-sidebar'><p>{good}</p><p>{good}</p><div class=comments><p>{good}</p></div></{tag}>") == two
+    assert html_text.main_text(f"<div class='widget'><article><p>{good}</p></article></div><div class=footer-share>{junk}</div>") == good
+    assert html_text.main_text(f"<div class='no-sidebar'><p>{good}</p><p>{good}</p><div>{junk}</div></div>") == two
+    assert html_text.main_text(f"<div class='page'><p>{good}</p></div><div class='comments'><p>{good} No.</p><p>{good} Yes.</p></div>") == good
+    assert html_text.main_text(f"<article><p>{junk}</p><p>{junk}</p></article>") == f"{junk}\n\n{junk}"  # no stop words of ours: structure decides
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 

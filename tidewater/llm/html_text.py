@@ -1,13 +1,20 @@
 """Main text of web pages by two-pass block rules.
 
 A page is cut into blocks at block-level tags. The first pass decides what it
-can: blocks in navigation, footers, sidebars, forms, adverts, notices,
-comments and hidden elements, and blocks of mostly link text, are bad; other
-blocks of an article or main element are good; elsewhere length and stop-word
+can: blocks in navigation, footers, asides, forms and hidden elements, and
+blocks of mostly link text, are bad; for the others length and stop-word
 density decide (long and dense: good; long and sparse: bad) and leave short
-blocks and blocks of middling density open. The second pass gives open blocks
-the label of their nearest decided neighbours: where both sides agree, that
-label; else dense blocks and headings above good text are good, others bad.
+blocks and blocks of middling density open. In an article or main element the
+thresholds are lower, and density is not asked where all its text is sparse
+(a language without stop words here). The second pass gives open blocks the
+label of their nearest decided neighbours: where both sides agree, that label;
+else dense blocks and headings above good text are good, others bad. In an
+article or main element the neighbours are its own blocks, and its ends and
+sides that differ count as good.
+
+Elements whose class, id or role names them as sidebars, adverts, notices,
+comments and the like are bad too, unless all body text of the page lies in
+them: then the outermost such names are set aside, level by level.
 
 Defined results: null or empty html gives an empty text; unclosed tags,
 comments and scripts end at the page's end; extra columns are ignored;
@@ -25,6 +32,8 @@ from pyspark.sql import functions as F
 
 SHORT, LONG = 70, 200
 SPARSE, DENSE = 0.20, 0.30
+SPARSE_IN_ARTICLE, DENSE_IN_ARTICLE = 0.05, 0.20
+KNOWN = 0.10  # an article of a language with stop words here has this density at least
 LINKED, LINKED_IN_ARTICLE = 0.33, 0.66
 
 # Common function words of English, German, French and Spanish.
@@ -65,21 +74,22 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|[^A-Za-z]+")
 _WORD_EDGE = re.compile(r"^\W+|\W+$")
 
 
-def _is_bad(tag: str, attrs: str, in_content: bool) -> bool:
+def _is_bad(tag: str, attrs: str, in_content: bool) -> tuple[bool, bool]:
+    """(by its tag or hidden, by a name in class, id or role)."""
     if tag in BAD_TAGS or tag == "header" and not in_content:
-        return True
+        return True, False
     if not attrs or tag in ("html", "body"):
-        return False
+        return False, False
     if _HIDDEN.search(attrs):
-        return True
+        return True, False
     words = {w.lower() for m in _ATTR.finditer(attrs) for w in _CAMEL.split(m[2] or m[3] or m[4] or "")}
-    return bool(words & BAD_WORDS) or not in_content and bool(words & HEAD_WORDS)
+    return False, bool(words & BAD_WORDS) or not in_content and bool(words & HEAD_WORDS)
 
 
-def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
-    """(text, link share, in bad element, in article or main, is heading) of each block with text."""
-    out: list[tuple[str, float, bool, bool, bool]] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, content, heading
+def blocks(page: str) -> list[tuple[str, float, bool, int, bool, bool]]:
+    """(text, link share, in bad element, number of elements with bad names around it, in article or main, is heading) of each block with text."""
+    out: list[tuple[str, float, bool, int, bool, bool]] = []
+    stack: list[tuple[str, bool, int, bool, bool]] = []  # tag, bad, named, content, heading
     parts: list[str] = []
     links = in_link = breaks = 0
 
@@ -87,8 +97,8 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         nonlocal links
         text = " ".join("".join(parts).split())
         if text:
-            _, bad, content, heading = stack[-1] if stack else ("", False, False, False)
-            out.append((text, links / len(text), bad, content, heading))
+            _, bad, named, content, heading = stack[-1] if stack else ("", False, 0, False, False)
+            out.append((text, links / len(text), bad, named, content, heading))
         parts.clear()
         links = 0
 
@@ -123,14 +133,15 @@ def blocks(page: str) -> list[tuple[str, float, bool, bool, bool]]:
         if tag in VOID or m["attrs"].endswith("/"):
             continue
         if not m["close"]:
-            _, bad, content, heading = stack[-1] if stack else ("", False, False, False)
-            if tag in BLOCK_TAGS or m["attrs"] and _is_bad(tag, m["attrs"], content):
+            _, bad, named, content, heading = stack[-1] if stack else ("", False, 0, False, False)
+            if tag in BLOCK_TAGS or m["attrs"] and any(_is_bad(tag, m["attrs"], content)):
                 if tag not in BLOCK_TAGS:
                     flush()
                 if tag == "p" and stack[-1:] and stack[-1][0] == "p":  # a paragraph ends where the next begins
                     stack.pop()
-                    _, bad, content, heading = stack[-1] if stack else ("", False, False, False)
-                stack.append((tag, bad or _is_bad(tag, m["attrs"], content), content or tag in CONTENT_TAGS, heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
+                    _, bad, named, content, heading = stack[-1] if stack else ("", False, 0, False, False)
+                by_tag, by_name = _is_bad(tag, m["attrs"], content)
+                stack.append((tag, bad or by_tag, named + by_name, content or tag in CONTENT_TAGS, heading or tag in ("h1", "h2", "h3", "h4", "h5", "h6")))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -147,33 +158,54 @@ def stop_density(text: str) -> float:
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
-def _first_pass(text: str, links: float, bad: bool, content: bool) -> str:
-    if bad or links > (LINKED_IN_ARTICLE if content else LINKED) or text[0] == "©":
+def _first_pass(text: str, links: float, density: float, content: bool, known: bool) -> str:
+    """``known``: stop words tell something about this text."""
+    if links > (LINKED_IN_ARTICLE if content else LINKED) or text[0] == "©":
         return "bad"
-    if content:
-        return "good"
     if len(text) < SHORT:
-        return "short" if links == 0 else "bad"
-    density = stop_density(text)
+        return "short" if links == 0 or content else "bad"
+    if content:
+        if not known or density >= DENSE_IN_ARTICLE:
+            return "good"
+        return "bad" if links > LINKED or density < SPARSE_IN_ARTICLE and len(text) > LONG else "near"
     if density >= DENSE:
         return "good" if len(text) > LONG else "near"
     return "near" if density >= SPARSE else "bad"
 
 
-def main_text(page: str | None) -> str:
-    found = blocks(page or "")
-    labels = [_first_pass(text, links, bad, content) for text, links, bad, content, _ in found]
-    before, last = [], "bad"
+def _level(found: list, density: list[float]) -> int:
+    """How many bad names around a block are set aside: as few as leave body text, which is a block of an article or main, or two blocks."""
+    here: dict[int, int] = {}
+    for (text, links, bad, named, content, _), d in zip(found, density, strict=True):
+        if not bad and links <= LINKED and len(text) >= (SHORT if content else LONG) and d >= (DENSE_IN_ARTICLE if content else DENSE):
+            here[named] = here.get(named, 0) + (2 if content or not named else 1)
+    return min((named for named, n in here.items() if n > 1), default=0)
+
+
+def _decided(labels: list[str], edge: str) -> list[str]:
+    """The nearest decided label before each."""
+    out, last = [], edge
     for x in labels:
-        before.append(last)
+        out.append(last)
         last = x if x in ("good", "bad") else last
-    after, last = [], "bad"
-    for x in reversed(labels):
-        after.append(last)
-        last = x if x in ("good", "bad") else last
-    after.reverse()
+    return out
+
+
+def main_text(page: str | None) -> str:
+    found = blocks(page or "")
+    density = [0.0 if bad else stop_density(text) for text, _, bad, *_ in found]
+    level = _level(found, density)
+    out = [bad or named > level for _, _, bad, named, _, _ in found]
+    inside = [k for k, x in enumerate(found) if x[4] and not out[k]]
+    long = [k for k in inside if len(found[k][0]) >= SHORT and found[k][1] <= LINKED]
+    known = sum(density[k] * len(found[k][0]) for k in long) >= KNOWN * sum(len(found[k][0]) for k in long)
+    labels = ["bad" if out[k] else _first_pass(text, links, density[k], content, known) for k, (text, links, _, _, content, _) in enumerate(found)]
+    own = [labels[k] for k in inside]
+    for k, left, right in zip(inside, _decided(own, "good"), reversed(_decided(own[::-1], "good")), strict=True):
+        if labels[k] in ("short", "near"):
+            labels[k] = left if left == right else "good"
     keep = []
-    for (text, _, _, _, heading), label, left, right in zip(found, labels, before, after, strict=True):
+    for (text, *_, heading), label, left, right in zip(found, labels, _decided(labels, "bad"), reversed(_decided(labels[::-1], "bad")), strict=True):
         if label in ("short", "near"):
             label = left if left == right else "good" if label == "near" or heading and right == "good" else "bad"
         if label == "good":
