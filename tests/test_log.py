@@ -85,6 +85,28 @@ def test_group_commit(spark, tmp_path):
     assert {r["event_id"]: r["leader_id"] for r in spark.table("commits").collect()} == want
 
 
+@pytest.mark.parametrize(("window", "most", "block"), [(60, 2, 4), (60, 8, 16), (0.5, 3, 4), (1e6, 8, 16), (60, 0, 4)])
+def test_group_commit_of_a_hot_user(spark, monkeypatch, window, most, block):
+    import datetime as dt
+    import random
+
+    rng, start = random.Random(3), dt.datetime(2024, 1, 1)
+    data = [(1 if k % 3 else rng.randint(2, 6), k, start + dt.timedelta(seconds=rng.randint(0, 20000) / 2)) for k in range(900)]
+    df = spark.createDataFrame(data, "user_id long, event_id long, ts timestamp").repartition(3)
+    want, open_ = set(), {}
+    for user, event, ts in sorted(data, key=lambda x: (x[0], x[2], x[1])):
+        lead, at, n = open_.get(user, (None, None, 0))
+        new = lead is None or ts >= at + dt.timedelta(seconds=window) or n >= most
+        open_[user] = (event, ts, 0) if new else (lead, at, n + 1)
+        want.add((user, event, open_[user][0], open_[user][2]))
+    monkeypatch.setattr(group_commit, "BLOCK", block, raising=False)
+    out = group_commit.commits(df, window, most)
+    got = [tuple(r) for r in out.collect()]
+    assert len(got) == len(data) and set(got) == want
+    assert "InPandas" not in out._jdf.queryExecution().toString()  # no user is gathered in one frame
+    assert group_commit.commits(df.limit(0), window, most).count() == 0
+
+
 def test_words_and_sizes(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(fn.confine(F.lit("a/./b/../c"))) == "a/c" and one(fn.confine(F.lit("a/../.."))) is None and one(fn.confine(F.lit("/a"))) is None and one(fn.confine(F.lit("."))) == ""
