@@ -111,6 +111,16 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100, 102: 100}
 
 
+def test_repeated_ids_keep_their_texts(spark):
+    text = lambda c: " ".join(f"{c}{k}" for k in range(40))
+    rows = [(2, text("b"), "z"), (5, text("a"), "z"), (5, text("b"), "y"), (5, text("c"), "y"), (5, text("c"), "x"), (7, None, "n"), (7, None, "m"), (None, text("a"), "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = Counter([(2, text("b"), "z"), (5, text("a"), "z"), (5, text("c"), "x"), (7, None, "m"), (None, text("a"), "q")])
+    for n in (1, 5):
+        out = minhash.drop_near_duplicates(df.repartition(n))
+        assert out.columns == df.columns and Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_bpe(docs, nothing, corpus):
     import tiktoken
 

@@ -66,11 +66,11 @@ def _sign(batches):
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(where | signature(s).astype(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return id_text(docs).mapInArrow(_sign, "doc_id long, n_shingles long, set_key binary, sig array<long>")
+    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, set_key binary, sig array<long>")
 
 
 def _pairs_of(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, label: np.ndarray):
@@ -109,6 +109,11 @@ def _block_links(block: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
+    return _judged(docs).drop("text_key", "set_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The same with the keys of each row's text and set."""
     signed = cut(signatures(docs))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     posts = classes.select("node", F.explode("sig").alias("post"))
@@ -158,11 +163,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
     out = signed.drop("sig").join(rep, "set_key", "left")
     component = F.when(F.col("doc_id").isNull() | F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "text_key", "set_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their group; repeated rows of one document stay once."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """The rows of ``docs`` that represent their group.
+
+    Different sets under one doc_id each stay; of rows with equal id and set
+    one stays, that of the least text key, then of the least other columns.
+    """
+    kept = _judged(docs).where("kept and doc_id is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("_text"))
+    kept = kept.select(F.col("doc_id").alias("_id"), "_text").distinct()
+    keyed = docs.where(F.col("doc_id").isNotNull()).withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
+    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null"))
+    one = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min(rest).alias("x"), F.first("text", ignorenulls=True).alias("text"))
+    one = one.select(*(F.when(~F.col("x._null"), F.col("text")).alias(c) if c == "text" else F.col(f"x.{c}").alias(c) for c in docs.columns))
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
