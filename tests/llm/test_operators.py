@@ -111,6 +111,12 @@ def test_components(spark):
     assert got == {**{k: 0 for k in range(1, 41)}, 101: 100, 102: 100}
 
 
+def test_components_say_when_they_have_not_settled(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(40)], "a long, b long")
+    with pytest.raises(RuntimeError, match="settle"):
+        _spark.components(edges, most_rounds=2)
+
+
 def test_repeated_ids_keep_their_texts(spark):
     text = lambda c: " ".join(f"{c}{k}" for k in range(40))
     rows = [(2, text("b"), "z"), (5, text("a"), "z"), (5, text("b"), "y"), (5, text("c"), "y"), (5, text("c"), "x"), (7, None, "n"), (7, None, "m"), (None, text("a"), "q")]

@@ -33,7 +33,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
 
     Alternating large-star and small-star steps; each halves the depth of the
     forest at least, and only the edges of each step are shuffled. Hubs are
-    aggregated map-side and joined back, never gathered in one task.
+    aggregated map-side and joined back, never gathered in one task. Raises if
+    the edges have not settled after ``most_rounds``.
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     if e.isEmpty():
@@ -50,6 +51,8 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         if now == mark:
             break
         mark = now
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
