@@ -127,6 +127,18 @@ def test_repeated_ids_keep_their_texts(spark):
         assert out.columns == df.columns and Counter(tuple(r) for r in out.collect()) == want
 
 
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from tidewater.llm import queries
+
+    db = duckdb.connect()
+    db.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        got, want = queries.QUERIES[name](spark, SF), db.sql(sql)
+        assert Counter(tuple(r) for r in got.select(*want.columns).collect()) == Counter(want.fetchall()), name
+
+
 def test_bpe(docs, nothing, corpus):
     import tiktoken
 
