@@ -37,7 +37,7 @@ WINDOW = 4096
 BINS = 64
 DEPTH = 3
 HELD = 0.05
-CACHED = 1_000_000
+CACHED_BYTES = 16 << 20  # of one worker's known chunks and their ids
 _BUCKET = 8192
 _SLICE = 8 << 20
 _PLAIN = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)  # white space as spaces, ASCII in lower case
@@ -59,7 +59,10 @@ class WordCache:
         self.closes[list(closing.values())] = True
         self.mark = max((w for w in closing if w.isascii() and w.isalpha() and w.islower()), key=lambda w: (len(w), w))  # a rare word of one id
         self.mark_id = closing[self.mark]
-        self.known: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
+        self.chunks, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -79,9 +82,9 @@ class WordCache:
                 out += self._encode(part)
         return out
 
-    def _learn(self, new: list[str]) -> None:
-        """Adds chunks; ASCII symbols after letters are asked for apart, which doesn't change the ids."""
-        known, split, words, rest = self.known, {}, set(), set()
+    def _ids_of(self, new: list[str]) -> list[bytes]:
+        """Ids of chunks; ASCII symbols after letters are asked for apart, which doesn't change the ids."""
+        split, words, rest = {}, set(), set()
         for c in new:
             head = c.rstrip(_TAIL)
             if head.isalpha() and (head.isascii() or max(head) < "İ"):  # from there on lower case can add characters
@@ -92,25 +95,32 @@ class WordCache:
                     split[c] = (head, tail)
             else:
                 rest.add(c)
-        words, rest = list(words.difference(known)), list(rest.difference(known))
-        known.update(zip(words, self._encode_joined(words, ""), strict=True))
-        known.update(zip(rest, self._encode_joined(rest, self.mark), strict=True))
-        known.update({c: known[head] + known[tail] for c, (head, tail) in split.items()})
+        words, rest = list(words), list(rest)
+        known = dict(zip(words, self._encode_joined(words, ""), strict=True)) | dict(zip(rest, self._encode_joined(rest, self.mark), strict=True))
+        return [known[split[c][0]] + known[split[c][1]] if c in split else known[c] for c in new]
+
+    def _places(self, distinct: pa.Array) -> pa.Array:
+        """The place of each chunk among the known ones; unknown ones are learnt. Their store is bounded by CACHED_BYTES and a slice."""
+        if self.chunks.nbytes + self.ids.nbytes > CACHED_BYTES:
+            self.forget()
+        at = pc.index_in(distinct, value_set=self.chunks)
+        if at.null_count:
+            new = distinct.filter(pc.is_null(at))
+            self.ids = pa.concat_arrays([self.ids, pa.array(self._ids_of(new.to_pylist()), pa.large_binary())])
+            self.chunks = pa.concat_arrays([self.chunks, new])
+            at = pc.index_in(distinct, value_set=self.chunks)
+        return at
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, the first of each and the end of the last) of the texts' bytes and offsets."""
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
         low = _PLAIN[data]
         before = np.flatnonzero(data[1:] >= 0x80)  # a mark that follows can join the small letter only, so a capital stays
         low[before] = np.where(IS_SPACE[data[before]], 32, data[before])
         plain = pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(low)])
         chunks = pc.split_pattern(plain, " ")
         coded = chunks.flatten().dictionary_encode()
-        distinct = coded.dictionary.to_pylist()
-        if new := [c for c in distinct if c not in self.known]:
-            self._learn(new)
-        ids = pa.array([self.known[c] for c in distinct], pa.large_binary()).take(coded.indices)
+        places = self._places(coded.dictionary)
+        ids = self.ids.take(places.take(coded.indices))
         flat, bounds = column_bytes(ids)
         size = np.dtype(self.kind).itemsize
         return flat[: bounds[-1]].view(self.kind), bounds[chunks.offsets.to_numpy()] // size
