@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+FILTER_BITS = 24
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +30,20 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns in one struct, so that no name of theirs can clash with an operator's own."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in docs.columns))
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows that may have their ``on`` values in ``keys``: a filter of 2^FILTER_BITS bits, broadcast, for use ahead of an exact join."""
+    bit = F.xxhash64(*on, F.lit("bit")).bitwiseAND((1 << FILTER_BITS) - 1)
+    bits = keys.select(bit.alias("bit")).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("_bit"))
+    bits = cut(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))  # 2^(FILTER_BITS - 6) rows at most
+    seen = rows.withColumn("_at", bit).join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"))
+    return seen.where(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1) = 1")).select(rows.columns)
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(node, root): root is the smallest node reachable over ``edges`` (a, b), for nodes other than their root.
 

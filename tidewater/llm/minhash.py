@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import components, cut, id_text
+from ._spark import components, cut, id_text, whole_row
 from ._text import shingle_sets, slices
 
 K = 48
@@ -167,15 +167,15 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that represent their group.
+    """The rows of ``docs`` that represent their group, whatever their other columns are called.
 
     Different sets under one doc_id each stay; of rows with equal id and set
-    one stays, that of the least text key, then of the least other columns.
+    one stays, that of the least text key, then of the least other columns
+    (as JSON). Of rows without an id, whose texts link with nothing, all stay.
     """
-    kept = _judged(docs).where("kept and doc_id is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("_text"))
-    kept = kept.select(F.col("doc_id").alias("_id"), "_text").distinct()
-    keyed = docs.where(F.col("doc_id").isNotNull()).withColumns({"_id": F.col("doc_id").cast("long"), "_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    rest = F.struct(*(F.col(c) for c in docs.columns if c != "text"), F.col("text").isNull().alias("_null"))
-    one = keyed.join(kept, ["_id", "_text"], "left_semi").groupBy("_id", "_text").agg(F.min(rest).alias("x"), F.first("text", ignorenulls=True).alias("text"))
-    one = one.select(*(F.when(~F.col("x._null"), F.col("text")).alias(c) if c == "text" else F.col(f"x.{c}").alias(c) for c in docs.columns))
-    return one.unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = _judged(docs).where("kept and doc_id is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("mark"))
+    kept = kept.select(F.col("doc_id").alias("id"), "mark").distinct()
+    keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), whole_row(docs).alias("row"))
+    rest = F.to_json(F.struct(F.col("row.text").isNull(), F.col("row").dropFields("text")))
+    one = keyed.where("id is not null").join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", rest).alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -17,7 +17,8 @@ stratum and rule before anything leaves the executors.
 Defined results: null texts have no words and fail the base rule; a null or
 unknown stratum has no cutoffs; labels with null ids or values are ignored,
 of repeated ones the lowest counts; repeated rows each give a row; extra
-columns are ignored.
+columns are ignored by ``judge`` and kept by ``keep_good``, whatever their
+names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from ._spark import cut
+from ._spark import cut, maybe_among, whole_row
 from ._text import IS_SPACE, mix, range_hash, slices, word_bounds
 
 RISK, LEVEL, GOOD_WEIGHT, STEPS = 0.05, 0.05, 20, 64
@@ -93,19 +96,20 @@ def count_features(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     return out
 
 
-def _features(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and COUNTS; the text is read but passed on only if kept."""
-    rows = docs.select(F.col("text").alias("_text"), *keep)
-    fields = [*(f for f in rows.schema.fields if f.name != "_text")]
+def _features(rows: DataFrame) -> DataFrame:
+    """COUNTS after the other columns of ``rows``; the text is the column ``text``, which is not passed on, or the field ``text`` of the struct ``row``, which is."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
+    held, names = "row" in rows.columns, [f.name for f in rows.schema.fields]
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(0)):
+            text = pc.struct_field(batch.column(names.index("row")), "text") if held else batch.column(names.index("text"))
+            for lo, hi, data, offsets in slices(text):
                 got = count_features(data, offsets)
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[1:]), *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*keep, *COUNTS])
+                own = [batch.column(names.index(f.name)).slice(lo, hi - lo) for f in kept]
+                yield pa.RecordBatch.from_arrays([*own, *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*(f.name for f in kept), *COUNTS])
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *(f"{c} long" for c in COUNTS)])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, StructType([*kept, *(StructField(c, LongType()) for c in COUNTS)]))
 
 
 def base_failed():
@@ -179,19 +183,21 @@ def _judged(features: DataFrame, cuts: DataFrame) -> DataFrame:
     return out.withColumn("kept", ~F.col("base_failed") & ~rejected).drop("_stratum", *(f"cut_{r}" for r in RULES))
 
 
-def _stratum(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("stratum", F.col("lang").cast("string"))
-
-
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, BASE..., base_failed, kept, stratum), a row for each row of ``docs``."""
-    features = cut(_features(_stratum(docs).withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", "stratum"]))
+    features = cut(_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), "text")))
     return _judged(features, cutoffs(_labelled(features, labels))).select("doc_id", *BASE, "base_failed", "kept", "stratum")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep. Texts are read twice and never shuffled."""
-    plain = _stratum(docs)
-    some = cut(_features(plain.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "stratum"), ["doc_id", "stratum"]))
-    cuts = cutoffs(_labelled(some, labels))
-    return _judged(_features(plain, [*docs.columns, "stratum"]), cuts).where("kept").select(docs.columns)
+    """The rows of ``docs`` that the rules keep, whatever their other columns are called.
+
+    Rows travel as one struct. Features are counted twice for labelled
+    documents only (a broadcast filter of ids, ahead of the exact join, finds
+    them), so no copy of the texts is written and none is shuffled.
+    """
+    id_ = F.col("doc_id").cast("long").alias("doc_id")
+    some = maybe_among(docs.select(id_, F.col("lang").cast("string").alias("stratum"), "text"), labels.where("quality is not null").select(id_), ["doc_id"])
+    cuts = cutoffs(_labelled(cut(_features(some)), labels))
+    rows = docs.select(whole_row(docs).alias("row"), F.col("lang").cast("string").alias("stratum"))
+    return _judged(_features(rows), cuts).where("kept").select("row.*")

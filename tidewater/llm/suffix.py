@@ -39,12 +39,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from ._spark import cut, written
+from ._spark import cut, maybe_among, whole_row, written
 from ._text import _BYTE_CODE, _P, _P_INV, U64, mix, slices
 
 LENGTH, ANCHOR, PART, BLOCK = 100, 24, 26, 512
-FILTER_BITS = 24
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
 _LONG = struct.Struct("<q")
@@ -179,15 +179,6 @@ def _anchor_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, region, ids[lo + row], marks[lo + row], packed)], names=["fp", "region", "id", "mark", "run"])
 
 
-def _touched(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of ``texts`` that may have a row in ``keys`` (id, mark): a filter of 2^FILTER_BITS bits, broadcast, ahead of an exact join."""
-    bit = F.xxhash64("id", "mark", F.lit("bit")).bitwiseAND((1 << FILTER_BITS) - 1)
-    bits = keys.withColumn("bit", bit).select(F.shiftright("bit", 6).alias("_word"), F.expr("shiftleft(1L, cast(bit & 63 as int))").alias("_bit"))
-    bits = cut(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))  # 2^(FILTER_BITS - 6) rows at most
-    seen = texts.withColumn("_at", bit).join(F.broadcast(bits), F.shiftright("_at", 6) == F.col("_word"))
-    return seen.where(F.expr("(shiftright(_bits, cast(_at & 63 as int)) & 1) = 1")).select(texts.columns)
-
-
 def pieces(raw: bytes, fp: int, run: int):
     """(key, class, run, symbols) of each piece of an owned run: key stands for anchor, part and core, class for the bytes outside the core, of which \\xff takes the place."""
     lo, before, windows = run >> 16, run >> 8 & 0xFF, run & 0xFF
@@ -268,7 +259,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     several = classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1")
     unsure = classes.join(several, "fp").select("first.id", "first.mark", F.struct("fp", F.col("first.run").alias("run")).alias("want"))
     wanted = cut(unsure.groupBy("id", "mark").agg(F.collect_list("want").alias("want")))  # at most as long as the document
-    parted = _touched(texts, wanted.select("id", "mark")).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
+    parted = maybe_among(texts, wanted, ["id", "mark"]).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
     parted = written(parted.mapInArrow(_cut_pieces, "fp long, region long, run long, symbols binary, id long, mark long"))
     part_classes = written(parted.groupBy("fp", "region").agg(F.min(F.struct("id", "mark", "run", "symbols")).alias("first"), F.count("*").alias("n")))
     blocks = part_classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1").select("fp", F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))
@@ -323,7 +314,7 @@ def _digest(batches):
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; a row for each row of ``docs``."""
     spans = repeats(docs)
-    changed = _touched(_keyed(docs), spans.select("id", "mark")).join(spans, ["id", "mark"]).select("id", "mark", "text", "spans")
+    changed = maybe_among(_keyed(docs), spans, ["id", "mark"]).join(spans, ["id", "mark"]).select("id", "mark", "text", "spans")
     changed = changed.mapInArrow(_digest, "id long, mark long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "mark"])
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
@@ -333,21 +324,23 @@ def removal_report(docs: DataFrame) -> DataFrame:
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with the repeated bytes cut out of ``text`` (broken characters at the cuts go too) and ``n_chars`` counted anew."""
-    columns = docs.columns
-    rest = [c for c in columns if c != "text"]
-    spans = repeats(docs)
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)), "_mark": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
-    joined = keyed.join(spans.toDF("_id", "_mark", "_spans"), ["_id", "_mark"], "left").select("text", "_spans", *rest)
+    """``docs`` with the repeated bytes cut out of ``text`` and ``n_chars`` counted anew, whatever the other columns are called.
+
+    A character of which only some bytes are repeated goes as a whole.
+    """
+    names, schema = docs.columns, docs.schema
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), whole_row(docs).alias("row"))
+    joined = keyed.join(repeats(docs), ["id", "mark"], "left").select("row", "spans")
 
     def run(batches):
         for batch in batches:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
-                texts = [t if not s or t is None else _removed(t.encode(), s)[1].decode("utf-8", "ignore") for t, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                own = {c: part.column(2 + k) for k, c in enumerate(rest)} | {"text": pa.array(texts, pa.string())}
-                yield pa.RecordBatch.from_arrays([own[c] for c in columns], names=columns)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = joined.mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)) if "n_chars" in columns else out
+                own = part.column(0).flatten()
+                texts = [t if not s or t is None else _removed(t.encode(), s)[1].decode("utf-8", "ignore") for t, s in zip(own[names.index("text")].to_pylist(), part.column(1).to_pylist(), strict=True)]
+                own[names.index("text")] = pa.array(texts, pa.string())
+                if "n_chars" in names:
+                    own[names.index("n_chars")] = pa.array([len(t or "") for t in texts]).cast(own[names.index("n_chars")].type)
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(own, names=names)], names=["row"])
+
+    return joined.mapInArrow(run, StructType([StructField("row", schema)])).select("row.*")
