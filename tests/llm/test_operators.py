@@ -450,3 +450,114 @@ def test_word_cache_equals_the_library():
         ids, first = own.encode(*column_bytes(pa.array(texts)))
         for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
             assert ids[a:b].tolist() == own.tokenizer.encode(text, add_special_tokens=False).ids, ascii(text)
+
+
+CLASHING = (
+    "id mark row spans stratum n_words n_lines kept base_failed score _text _id _mark _spans _null text_key set_key sig node x rest _at _word _bits n_symbols cut_symbols _stratum _quality "
+    "text_ doc component_id n_shingles pivot toxic low1 window fp region run"
+).split()
+
+
+@pytest.fixture(scope="module")
+def marks(spark):
+    return spark.createDataFrame([(k, int(k % 3 > 0), int(k % 4 == 0)) for k in range(1, 46)], "doc_id long, quality int, toxic int")
+
+
+def stages(marks):
+    return {
+        "quality": lambda d: quality.keep_good(d, marks),
+        "toxicity": lambda d: toxicity.drop_toxic(d, marks),
+        "near": minhash.drop_near_duplicates,
+        "suffix": suffix.drop_repeats,
+    }
+
+
+@pytest.mark.parametrize("name", ["quality", "toxicity", "near", "suffix"])
+def test_stages_keep_any_columns(spark, docs, corpus, marks, name):
+    """Columns that have the names of the operators' own pass through; empty tables, nulls and repeated rows go in."""
+    stage = stages(marks)[name]
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    wide = plain.select("*", *(F.concat(F.lit(f"{c} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(c) for c in CLASHING))
+    out = stage(wide)
+    assert out.columns == wide.columns and [f.dataType for f in out.schema] == [f.dataType for f in wide.schema]
+    rows = out.collect()
+    want = Counter(tuple(r) for r in stage(plain).collect())
+    assert Counter((r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows) == want and want
+    assert all(r[c] == f"{c} {'none' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in CLASHING)
+    assert all(r["n_chars"] == len(r["text"] or "") for r in rows)
+    assert stage(wide.limit(0)).count() == 0
+
+
+def test_cuts_inside_characters(spark):
+    """Two texts share 100 bytes that begin and end inside characters; these go as a whole."""
+    shared = "".join(chr(0x4E00 + 37 * k) for k in range(34))  # 102 bytes
+    a, b = "䷿" + shared + "䷾", "䶿" + shared + "䶾"  # each neighbour shares its first or last byte with its like
+    df = spark.createDataFrame([(1, "left " + a + " right", 9), (2, "other " + b + " side", 9)], "doc_id long, text string, n_chars int")
+    got = {r["doc_id"]: r for r in suffix.drop_repeats(df).collect()}
+    raw, other = ("other " + b + " side").encode(), ("left " + a + " right").encode()
+    gone = [False] * len(raw)
+    for k in range(len(raw) - 99):
+        if raw[k : k + 100] in other:
+            gone[k : k + 100] = [True] * 100
+    want = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+    assert got[1]["text"] == "left " + a + " right" and got[2]["text"] == want and got[2]["n_chars"] == len(want) < 20
+
+
+@pytest.fixture(scope="module")
+def abuse(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    rows = []
+    for i in range(900):
+        w = [rng.choice(words) for _ in range(60)]
+        if i % 4 == 0:
+            for t in rng.sample(["idiot", "moron", "worthless", "pathetic"], rng.randint(1, 3)):
+                w[rng.randrange(60)] = t
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df, spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+
+
+def test_toxicity_masks_misspellings_and_quotations(abuse):
+    model = toxicity.train(*abuse)
+    score = lambda m, *t: toxicity._scores(pa.array(t, pa.string()), toxicity.Matcher(m), m)
+    bad = ["you are such an id1ot and a mor0n", "worthles disgustng pathetc", "such a worthles book", "what an idiiot", "m.o.r.o.n", "looks like an idioooot", "you are an idiot"]
+    good = ["", "a plain text", "the teacher told the class that \"idiot\" is rude", "he wrote \"you are an idiot\" in his letter", "the word idiot comes from greek", "an ideal editor", "path"]
+    assert (score(model, *bad) >= 0.5).all() and (score(model, *good) < 0.5).all()
+    off = model | {"trust": {(e, k): 0.0 for e in model["words"] for k in (toxicity.MASKED, toxicity.ONE, toxicity.TWO)}}
+    assert (score(off, *bad[:-1]) < 0.5).all() and score(off, bad[-1]) >= 0.5  # misspellings act by their own weight
+    quoted = "she said \"{}\" and left"
+    assert score(model, quoted.format("idiot"))[0] < 0.5 <= score(model, quoted.format("idiot").replace('"', ""))[0]
+    assert (np.diff(score(model, "idiot", "idiot moron", "idiot moron worthless")) > 0).all()
+
+
+def test_toxicity_does_not_depend_on_the_order_of_rows(abuse):
+    df, labels = abuse
+    one, two = (toxicity.train(d, x) for d, x in ((df, labels), (df.orderBy(F.desc("doc_id")).repartition(5), labels.orderBy(F.rand(3)))))
+    assert {k: v for k, v in one.items() if k != "weights"} == {k: v for k, v in two.items() if k != "weights"} and np.allclose(one["weights"], two["weights"])
+
+
+def test_toxicity_finds_what_a_search_of_each_chunk_finds(abuse):
+    model = toxicity.train(*abuse)
+    matcher = toxicity.Matcher(model)
+    texts = ["", None, "idiot", "x " * 50 + "idiot", "moron\nidiot\tid1ot   pathetc", *[r["text"] for r in abuse[0].limit(60).collect()]]
+    want = {}
+    for k, t in enumerate(texts):
+        chunks = (t or "").lower().split()
+        own = [(*got, c, chunks[max(0, i - toxicity.WIDE) : i], chunks[i + 1 : i + 1 + toxicity.WIDE]) for i, c in enumerate(chunks) if (got := matcher.look(c))]
+        if own:
+            want[k] = own
+    assert dict(matcher.hits(pa.array(texts, pa.string()))) == want and len(want) > 10
+
+
+def test_toxicity_held_out(spark):
+    """Recall and precision on held-out labels, whole and without each part."""
+    base = SF.replace("0.001", "0.01")
+    docs, labels = (spark.read.parquet(f"{base}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    held = docs.join(labels, "doc_id").where(~toxicity.in_training()).select("text", "toxic").toPandas()
+    is_bad = held["toxic"].to_numpy() == 1
+    hit = toxicity._scores(pa.array(held["text"], pa.string()), toxicity.Matcher(model), model) >= 0.5
+    assert hit[is_bad].mean() >= 0.6 and (~hit[~is_bad]).mean() >= 0.98
+    none = model | {"words": {}, "stems": {}}
+    assert not (toxicity._scores(pa.array(held["text"], pa.string()), toxicity.Matcher(none), none) >= 0.5).any()
