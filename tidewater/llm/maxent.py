@@ -1,25 +1,29 @@
 """Language-model scores from a hashed maximum-entropy model.
 
 Words (runs outside ``\\x20\\x09-\\x0D``, ASCII lower-cased) and one end per
-document are the tokens. The probability of a token is factored over classes:
-P(class | history) P(token | class). The class of a word comes from its last
-three bytes, hashed to ``SUFFIXES`` buckets; the buckets are clustered by the
-buckets they follow. P(class | history) is a softmax over hashed features of
-the history: the word before, the word before that (a skip feature), and the
-pair of both their classes. P(token | class) is the add-one share of the token in
-its class, with one share for all unknown words of the class, so that the
-product is a probability over all tokens.
+document are the tokens. The probability of a token is factored over classes
+and their leaves: P(class | history) P(leaf | class, history) P(token | leaf).
+The class of a word comes from its last three bytes, hashed to ``SUFFIXES``
+buckets; the buckets are clustered by the buckets they follow. A class has
+``LEAVES`` leaves, and a word is in that of its hash, so most frequent words
+make up nearly all of a leaf. Both of the first factors are softmaxes over
+hashed features of the history: the word before and the word before that (a
+skip feature), and for classes also the pair of both their classes; those of
+the second have weights of their own in every class. P(token | leaf) is the
+add-one share of the token in its leaf, with one share for all unknown words of
+the leaf, so that the product is a probability over all tokens.
 
 Training covers every training document: one pass counts words, and each of
 ``UPDATES`` gradient updates sums observed and expected feature counts of all
-of them over all tasks, and moves the weights by iterative scaling. What the driver holds does not grow: weights, bucket counts and the
-``HEAD`` most frequent words, which are looked up in the tasks; all other
-words are joined to the full vocabulary by a shuffle.
+of them over all tasks, and moves the weights by iterative scaling. What the
+driver holds does not grow: weights, bucket counts and the ``HEAD`` most
+frequent words, which are looked up in the tasks; all other words are joined
+to the full vocabulary by a shuffle.
 
 Defined results: null or empty texts are one end token; a null doc_id counts
 as held out of training; without training documents every token is unknown
 and N is 0; repeated rows each count and each give a row; extra columns are
-ignored.
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,6 +40,8 @@ from ._text import LOWER, mix, range_hash, slices, word_bounds
 SUFFIXES, CLASSES, HASHED, UPDATES, HEAD = 4096, 32, 4096, 3, 1 << 18
 CONTEXTS = 256  # buckets of the word before, for clustering
 STEPS = (0.7, 0.5, 0.4)
+PRIOR, LEAF_PRIOR = 0.5, 10.0  # counts added to observed and expected ones, so that few say little
+LEAVES, LEAF_HASHED = 32, 256  # leaves of a class, and buckets of each of their features
 CHUNK = 1 << 14
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 START_HASH = np.uint64(0x14057B7EF767814F)
@@ -75,6 +81,27 @@ def feature_ids(h: np.ndarray, b: np.ndarray, row: np.ndarray, class_of: np.ndar
     return np.stack([(one % np.uint64(HASHED)).astype(np.int64), (two % np.uint64(HASHED)).astype(np.int64) + HASHED, pair + 2 * HASHED], axis=1)
 
 
+def leaves(h: np.ndarray) -> np.ndarray:
+    """The leaf of each token in its class."""
+    return (mix(h) >> np.uint64(40)).astype(np.int64) % LEAVES
+
+
+def leaf_rows(h: np.ndarray, row: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """(tokens, 2): for each feature of the history, its row in the weights of a token's own class."""
+    one, two = (mix(_before(h, row, n, START_HASH)) >> np.uint64(20) for n in (1, 2))
+    hashed = np.stack([(one % np.uint64(LEAF_HASHED)).astype(np.int64), (two % np.uint64(LEAF_HASHED)).astype(np.int64) + LEAF_HASHED], axis=1)
+    return hashed * CLASSES + k[:, None]
+
+
+def log_leaves(rows: np.ndarray, k: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """(tokens, LEAVES) log-probabilities in the tokens' own classes."""
+    z = bias[k] + weights[rows[:, 0]]
+    z += weights[rows[:, 1]]
+    z -= z.max(axis=1, keepdims=True)
+    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z
+
+
 def log_classes(ids: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(tokens, CLASSES) log-probabilities."""
     z = bias + weights[ids[:, 0]]
@@ -135,28 +162,43 @@ def cluster(pairs: np.ndarray, rounds: int = 12) -> np.ndarray:
     return np.append(near, CLASSES - 1).astype(np.int32)
 
 
-def _gradient(class_of, weights, bias):
+def _add_by(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
+    """total[at] += rows, for places that repeat."""
+    order = np.argsort(at.astype(np.uint16), kind="stable")  # all places fit; short integers sort by radix
+    f = at[order]
+    first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
+    total[f[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
+def _gradient(model):
+    """Observed and expected counts of a task's tokens: of classes (part 0) by feature, of leaves (part 1) by feature and class."""
+
     def run(batches):
-        seen, expected = np.zeros(FEATURES * CLASSES), np.zeros((FEATURES, CLASSES))
+        class_of, weights, bias, leaf_weights, leaf_bias = (model[c] for c in ("class_of", "weights", "bias", "leaf_weights", "leaf_bias"))
+        seen, expected = np.zeros(FEATURES * CLASSES), np.zeros((FEATURES, CLASSES), np.float32)
+        leaf_seen, leaf_expected = np.zeros(leaf_weights.size), np.zeros(leaf_weights.shape, np.float32)
         for batch in batches:
             for _, _, data, offsets in slices(batch.column(0)):
                 h, b, row = tokens(data, offsets)
                 ids, k = feature_ids(h, b, row, class_of), class_of[b]
+                own, leaf = leaf_rows(h, row, k), leaves(h)
                 for j in range(3):
                     seen += np.bincount(ids[:, j] * CLASSES + k, minlength=len(seen))
+                for j in range(2):
+                    leaf_seen += np.bincount(own[:, j] * LEAVES + leaf, minlength=len(leaf_seen))
                 for lo in range(0, len(h), CHUNK):
-                    part = ids[lo : lo + CHUNK]
+                    part, near = ids[lo : lo + CHUNK], own[lo : lo + CHUNK]
                     p = np.exp(log_classes(part, weights, bias))
                     for j in range(3):
-                        order = np.argsort(part[:, j].astype(np.uint16), kind="stable")  # FEATURES fit; short integers sort by radix
-                        f = part[order, j]
-                        first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-                        expected[f[first]] += np.add.reduceat(p[order], first, axis=0)
-        both = np.hstack([seen.reshape(FEATURES, CLASSES), expected])
-        at = np.flatnonzero(both.any(axis=1))
-        for lo in range(0, len(at), 2000):
-            own = at[lo : lo + 2000]
-            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), *(pa.array(c) for c in both[own].T)], names=["f", *(f"s{j}" for j in range(2 * CLASSES))])
+                        _add_by(expected, part[:, j], p)
+                    p = np.exp(log_leaves(near, k[lo : lo + CHUNK], leaf_weights, leaf_bias))
+                    for j in range(2):
+                        _add_by(leaf_expected, near[:, j], p)
+        for part, both in enumerate((np.hstack([seen.reshape(FEATURES, CLASSES), expected]), np.hstack([leaf_seen.reshape(leaf_weights.shape), leaf_expected]))):
+            at = np.flatnonzero(both.any(axis=1))
+            for lo in range(0, len(at), 2000):
+                own = at[lo : lo + 2000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(own, pa.int32()), *(pa.array(c, pa.float32()) for c in both[own].T)], names=["part", "f", *(f"s{j}" for j in range(both.shape[1]))])
 
     return run
 
@@ -167,24 +209,45 @@ def train(docs: DataFrame) -> dict:
     counted = learn.select("text").mapInArrow(_count, "word long, bucket int, c long")
     counted = counted.groupBy("word", F.when(F.col("word").isNull(), F.col("bucket")).alias("at")).agg(F.first("bucket").alias("bucket"), F.sum("c").alias("c"))
     counted = written(counted.select("word", "bucket", "c"))
-    vocabulary = counted.where("word is not null")
     pairs = np.zeros((SUFFIXES + 1) * CONTEXTS)
     got = counted.where("word is null").select("bucket", "c").toArrow().to_pandas()  # as many cells at most
     pairs[got["bucket"]] = got["c"]
     class_of = cluster(pairs.reshape(SUFFIXES + 1, CONTEXTS))
+    del pairs
 
-    sums = vocabulary.groupBy("bucket").agg(F.sum("c").alias("n"), F.count("*").alias("v")).toArrow().to_pandas()
-    n = np.bincount(class_of[sums["bucket"]], weights=sums["n"], minlength=CLASSES)
-    v = np.bincount(class_of[sums["bucket"]], weights=sums["v"], minlength=CLASSES)
-    bias = np.log((n + 1) / (n.sum() + CLASSES)).astype(np.float32)
-    weights = np.zeros((FEATURES, CLASSES), np.float32)
-    for k in range(UPDATES):
-        columns = ", ".join(f"s{j} double" for j in range(2 * CLASSES))
-        rows = learn.select("text").mapInArrow(_gradient(class_of, weights, bias), f"f int, {columns}")
-        rows = rows.groupBy("f").agg(*(F.sum(f"s{j}").alias(f"s{j}") for j in range(2 * CLASSES))).toArrow().to_pandas()  # FEATURES rows at most
-        both = rows.drop(columns="f").to_numpy().reshape(len(rows), 2, CLASSES)
-        weights[rows["f"]] += (STEPS[k] * np.clip(np.log((both[:, 0] + 0.5) / (both[:, 1] + 0.5)), -3, 3)).astype(np.float32)
-    return {"vocabulary": vocabulary, "class_of": class_of, "weights": weights, "bias": bias, "n": n, "v": v, "head": _head(vocabulary)}
+    vocabulary = counted.where("word is not null")
+    sums = vocabulary.mapInArrow(_leaf_sums(class_of), "leaf int, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()  # CLASSES * LEAVES rows at most
+    n, v = (np.bincount(sums["leaf"], weights=sums[c], minlength=CLASSES * LEAVES).reshape(CLASSES, LEAVES) for c in ("n", "v"))
+    of_class = n.sum(axis=1)
+    model = {
+        "class_of": class_of, "n": n, "v": v, "bias": np.log((of_class + 1) / (n.sum() + CLASSES)).astype(np.float32), "weights": np.zeros((FEATURES, CLASSES), np.float32),
+        "leaf_bias": np.log((n + 1) / (of_class[:, None] + LEAVES)).astype(np.float32), "leaf_weights": np.zeros((2 * LEAF_HASHED * CLASSES, LEAVES), np.float32),
+    }
+    width = max(CLASSES, LEAVES)
+    columns = [f"s{j}" for j in range(2 * width)]
+    for step in STEPS[:UPDATES]:
+        rows = learn.select("text").mapInArrow(_gradient(model), "part int, f int, " + ", ".join(f"{c} float" for c in columns))
+        rows = rows.groupBy("part", "f").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()  # a row for each row of the weights at most
+        part, f = rows["part"].to_numpy(), rows["f"].to_numpy()
+        both = np.stack([rows[c].to_numpy() for c in columns], axis=1).reshape(len(f), 2, width)
+        prior = np.where(part == 0, PRIOR, LEAF_PRIOR)[:, None]
+        move = (step * np.clip(np.log((both[:, 0] + prior) / (both[:, 1] + prior)), -3, 3)).astype(np.float32)
+        for k, name in enumerate(("weights", "leaf_weights")):
+            model[name] = model[name].copy()
+            model[name][f[part == k]] += move[part == k]
+    return model | {"vocabulary": vocabulary, "head": _head(vocabulary)}
+
+
+def _leaf_sums(class_of):
+    def run(batches):
+        for batch in batches:
+            word, bucket, c = (batch.column(k).to_numpy() for k in range(3))
+            at = class_of[bucket].astype(np.int64) * LEAVES + leaves(word.view(np.uint64))
+            n, v = np.bincount(at, weights=c), np.bincount(at)
+            leaf = np.flatnonzero(v)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int32()), pa.array(n[leaf].astype(np.int64)), pa.array(v[leaf].astype(np.int64))], names=["leaf", "n", "v"])
+
+    return run
 
 
 def _head(vocabulary: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
@@ -204,23 +267,23 @@ def _head(vocabulary: DataFrame, most: int = HEAD) -> tuple[np.ndarray, np.ndarr
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a row for each row of ``docs``."""
     sc = docs.sparkSession.sparkContext
-    class_of, n, v = model["class_of"], model["n"], model["v"]
+    n, v = model["n"], model["v"]
     total = float(n.sum() + v.sum() + 1)
-    within = np.log10(n + v + 1)
-    shared = sc.broadcast((class_of, model["weights"], model["bias"], within, *model["head"]))  # bounded by HEAD and the parameters
+    shared = sc.broadcast((*(model[c] for c in ("class_of", "weights", "bias", "leaf_weights", "leaf_bias")), np.log10(n + v + 1), *model["head"]))  # bounded by HEAD and the parameters
 
     def run(batches):
-        class_of, weights, bias, within, head, head_c = shared.value
+        class_of, weights, bias, leaf_weights, leaf_bias, within, head, head_c = shared.value
         logs = np.log10(head_c + 1.0)
         for batch in batches:
             for lo, hi, data, offsets in slices(batch.column(2)):
                 h, b, row = tokens(data, offsets)
                 ids, k, rows = feature_ids(h, b, row, class_of), class_of[b], hi - lo
-                gained = np.empty(len(h))
+                own, leaf, gained = leaf_rows(h, row, k), leaves(h), np.empty(len(h))
                 for at in range(0, len(h), CHUNK):
-                    p = log_classes(ids[at : at + CHUNK], weights, bias)
-                    gained[at : at + CHUNK] = p[np.arange(len(p)), k[at : at + CHUNK]]
-                gained = gained / np.log(10) - within[k]
+                    part = slice(at, at + CHUNK)
+                    p, q = log_classes(ids[part], weights, bias), log_leaves(own[part], k[part], leaf_weights, leaf_bias)
+                    gained[part] = p[np.arange(len(p)), k[part]] + q[np.arange(len(q)), leaf[part]]
+                gained = gained / np.log(10) - within[k, leaf]
                 words, inverse = np.unique(h.view(np.int64), return_inverse=True)
                 place = np.minimum(np.searchsorted(head, words), max(0, len(head) - 1))
                 hit = head[place] == words if len(head) else np.zeros(len(words), bool)
