@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.llm import _spark, bpe, fingerprint, html_text, maxent, minhash, packing, quality, suffix, token_counts, toxicity
+from tidewater.llm import _grouping, _spark, bpe, fingerprint, html_text, maxent, minhash, packing, quality, suffix, token_counts, toxicity
 from tidewater.llm._text import column_bytes
 
 SF = "/root/testdata/sf0.001"
@@ -214,14 +214,35 @@ def test_nnls():
     assert (x >= 0).all() and gradient.max() < 1e-6 and abs(gradient[x > 0]).max() < 1e-6
 
 
-def test_suffix_array():
+def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(200):
-        s = [rng.randint(1, rng.choice([1, 2, 3, 9])) for _ in range(rng.randint(0, 70))] + [0]
-        assert suffix.gsaca(s) == sorted(range(len(s)), key=lambda i: s[i:])
+        texts = [[rng.randint(1, rng.choice([1, 2, 3, 9, 300])) for _ in range(rng.randint(0, 70))] + [0] for _ in range(rng.randint(1, 9))]
+        bounds = np.cumsum([0, *map(len, texts)])
+        got = _grouping.suffix_arrays(np.array(sum(texts, []), np.uint16), bounds)
+        for s, a, b in zip(texts, bounds, bounds[1:], strict=False):
+            assert (got[a:b] - a).tolist() == sorted(range(len(s)), key=lambda i, s=s: s[i:])
+    assert len(_grouping.suffix_arrays(np.zeros(0, np.uint16), np.zeros(1, np.int64))) == 0
 
 
-@pytest.mark.parametrize("block", [512, 2])
+def test_repeated_windows():
+    rng = random.Random(3)
+    parts = ["".join(rng.choices("ab", k=rng.randint(1, 15))).encode() for _ in range(9)]
+    for _ in range(50):
+        regions = [b"".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(rng.randint(1, 12))]
+        text = sorted(rng.randint(0, 3) for _ in regions)
+        offsets, flat = np.cumsum([0, *map(len, regions)]), np.frombuffer(b"".join(regions), np.uint8)
+        order = np.array(rng.sample(range(10**6), len(flat)))
+        window, _, earliest = suffix.repeated_windows(flat, offsets, np.array(text), order, 10)
+        groups = defaultdict(list)
+        for r, t in enumerate(text):
+            for k in range(offsets[r], offsets[r + 1] - 9):
+                groups[t, flat[k : k + 10].tobytes()].append(k)
+        assert sorted(window.tolist()) == sorted(k for g in groups.values() for k in g)
+        assert {k for k, e in zip(window.tolist(), earliest, strict=True) if e} == {min(g, key=lambda k: order[k]) for g in groups.values()}
+
+
+@pytest.mark.parametrize("block", [32, 2])
 def test_suffix_dedup(docs, nothing, corpus, monkeypatch, block):
     monkeypatch.setattr(suffix, "BLOCK", block)
     seen, want = set(), {}
@@ -238,7 +259,7 @@ def test_suffix_dedup(docs, nothing, corpus, monkeypatch, block):
     got = suffix.removal_report(docs).collect()
     assert len(got) == len(corpus)
     assert all((r["n_removed"], r["n_spans"], r["kept_sha256"]) == want[r["doc_id"], r["n_bytes"]] for r in got)
-    if block == 512:
+    if block == 32:
         assert suffix.removal_report(nothing).count() == 0
         assert suffix.drop_repeats(docs).columns == docs.columns
 
@@ -334,15 +355,89 @@ def test_maxent(docs, nothing, corpus):
 def test_maxent_is_a_probability_and_helps(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = maxent.train(_spark.id_text(docs))
-    ids = np.random.default_rng(1).integers(0, maxent.HASHED, (50, 3)) + np.array([0, maxent.HASHED, 2 * maxent.HASHED]) % maxent.FEATURES
+    rng = np.random.default_rng(1)
+    ids = rng.integers(0, maxent.HASHED, (50, 3)) + np.array([0, maxent.HASHED, 2 * maxent.HASHED]) % maxent.FEATURES
     ids[:, 2] = 2 * maxent.HASHED
     p = np.exp(maxent.log_classes(ids, model["weights"], model["bias"]))
     assert np.allclose(p.sum(axis=1), 1, atol=1e-4)
+    k = rng.integers(0, maxent.CLASSES, 50)
+    own = maxent.leaf_rows(rng.integers(0, 2**63, 50, dtype=np.uint64), np.zeros(50, int), k)
+    assert np.allclose(np.exp(maxent.log_leaves(own, k, model["leaf_weights"], model["leaf_bias"])).sum(axis=1), 1, atol=1e-4)
     counted = model["vocabulary"].toPandas()
-    share = np.bincount(model["class_of"][counted["bucket"]], weights=counted["c"] + 1.0, minlength=maxent.CLASSES) + 1
-    assert np.allclose(share, model["n"] + model["v"] + 1)
+    at = model["class_of"][counted["bucket"]] * maxent.LEAVES + maxent.leaves(counted["word"].to_numpy(np.int64).view(np.uint64))
+    share = np.bincount(at, weights=counted["c"] + 1.0, minlength=maxent.CLASSES * maxent.LEAVES) + 1  # all words of a leaf and one unknown
+    assert np.allclose(share, (model["n"] + model["v"] + 1).ravel())
     held = maxent.score(_spark.id_text(docs), model).where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
-    assert held[0] > held[1]
+    flat = maxent.score(_spark.id_text(docs), model | {"leaf_weights": np.zeros_like(model["leaf_weights"])}).where("held_out").agg(F.sum("score")).first()
+    assert held[0] > flat[0] > held[1]
+
+
+def plain_tokens(text):
+    """(hash, bucket) of each token, an end last."""
+    h, b, _ = maxent.tokens(*column_bytes(pa.array([text], pa.large_string())))
+    return list(zip(h.tolist(), b.tolist(), strict=True))
+
+
+def plain_history(seq, i, class_of):
+    """Rows of the class weights and buckets of the leaf features, word by word."""
+    start, one64 = int(maxent.START_HASH), lambda x: int(maxent.mix(np.array([x], np.uint64))[0])
+    h = [seq[i - d][0] if i >= d else start for d in (1, 2)]
+    k = [int(class_of[seq[i - d][1]]) if i >= d else maxent.CLASSES for d in (1, 2)]
+    ids = [h[0] % maxent.HASHED, h[1] % maxent.HASHED + maxent.HASHED, k[0] * (maxent.CLASSES + 1) + k[1] + 2 * maxent.HASHED]
+    hashed = [(one64(x) >> 20) % maxent.LEAF_HASHED + d * maxent.LEAF_HASHED for d, x in enumerate(h)]
+    return ids, hashed, (one64(seq[i][0]) >> 40) % maxent.LEAVES
+
+
+def plain_softmax(z):
+    e = [math.exp(x - max(z)) for x in z]
+    return [x / sum(e) for x in e]
+
+
+def test_maxent_score_equals_brute_force(spark, corpus, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 40)  # most words come by the join
+    rows = [(r[0], r[1]) for r in corpus if r[0] not in (40, 43, 45)]
+    model = maxent.train(_spark.id_text(spark.createDataFrame(rows, "doc_id long, text string")))
+    counts = {r["word"] & (2**64 - 1): r["c"] for r in model["vocabulary"].collect()}
+    want = Counter()
+    for doc, text in rows:
+        seq, total = plain_tokens(text), 0.0
+        for i, (h, b) in enumerate(seq):
+            k = int(model["class_of"][b])
+            ids, hashed, leaf = plain_history(seq, i, model["class_of"])
+            p = plain_softmax([float(model["bias"][c]) + sum(float(model["weights"][f, c]) for f in ids) for c in range(maxent.CLASSES)])
+            q = plain_softmax([float(model["leaf_bias"][k, x]) + sum(float(model["leaf_weights"][f * maxent.CLASSES + k, x]) for f in hashed) for x in range(maxent.LEAVES)])
+            total += math.log10(p[k] * q[leaf] * (counts.get(h, 0) + 1) / (model["n"][k, leaf] + model["v"][k, leaf] + 1))
+        want[doc, round(total, 2)] += 1
+    got = Counter((r["doc_id"], round(r["score"], 2)) for r in maxent.score(_spark.id_text(spark.createDataFrame(rows, "doc_id long, text string")), model).collect())
+    near = lambda c: sorted((-1 if i is None else i, x) for (i, x), n in c.items() for _ in range(n))
+    assert all(a[0] == b[0] and abs(a[1] - b[1]) < 0.02 for a, b in zip(near(got), near(want), strict=True))
+
+
+def test_maxent_gradient_equals_brute_force():
+    rng = np.random.default_rng(3)
+    model = {
+        "class_of": rng.integers(0, maxent.CLASSES, maxent.SUFFIXES + 1), "weights": rng.normal(0, 0.3, (maxent.FEATURES, maxent.CLASSES)).astype(np.float32), "bias": rng.normal(0, 1, maxent.CLASSES).astype(np.float32),
+        "leaf_weights": rng.normal(0, 0.3, (2 * maxent.LEAF_HASHED * maxent.CLASSES, maxent.LEAVES)).astype(np.float32), "leaf_bias": rng.normal(0, 1, (maxent.CLASSES, maxent.LEAVES)).astype(np.float32),
+    }
+    texts = ["one two three two one", "", "two two", "a b c d e f g a b c"]
+    want: dict = defaultdict(lambda: np.zeros(2 * maxent.CLASSES))
+    for t in texts:
+        seq = plain_tokens(t)
+        for i, (_, b) in enumerate(seq):
+            k = int(model["class_of"][b])
+            ids, hashed, leaf = plain_history(seq, i, model["class_of"])
+            p = plain_softmax((model["bias"] + model["weights"][ids].sum(axis=0)).tolist())
+            own = [f * maxent.CLASSES + k for f in hashed]
+            q = plain_softmax((model["leaf_bias"][k] + model["leaf_weights"][own].sum(axis=0)).tolist())
+            for f in ids:
+                want[0, f][k] += 1
+                want[0, f][maxent.CLASSES :] += p
+            for f in own:
+                want[1, f][leaf] += 1
+                want[1, f][maxent.LEAVES :] += q
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+    got = {(r[0], r[1]): r[2:] for b in maxent._gradient(model)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert set(got) == set(want) and all(np.allclose(got[f], want[f], atol=1e-3) for f in want)
 
 
 def test_maxent_updates_see_every_document(spark, monkeypatch):
@@ -350,8 +445,8 @@ def test_maxent_updates_see_every_document(spark, monkeypatch):
     passes, gradient = [spark.sparkContext.accumulator(0) for _ in range(maxent.UPDATES)], maxent._gradient
     left = iter(passes)
 
-    def counted(*model):
-        seen, run = next(left), gradient(*model)
+    def counted(model):
+        seen, run = next(left), gradient(model)
         return lambda batches: run(b for b in batches if seen.add(len(b)) is None)
 
     monkeypatch.setattr(maxent, "_gradient", counted)

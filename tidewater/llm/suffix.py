@@ -4,36 +4,29 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier
 (in a document of smaller id, or earlier in the same one). Strings meet by
 content: every window of ``LENGTH`` bytes owns the ``ANCHOR``-byte string of
 least hash in it, so equal windows own equal anchors at equal places, and an
-anchor that occurs once owns no repeated window. Occurrences of a repeated
-anchor whose owned regions are equal byte for byte are one class, of which
-the first occurrence is the original. Where an anchor has several classes,
-the windows of a region are parted by how many bytes they hold before the
-anchor, ``PART`` such numbers to a piece. All windows of a piece hold its core
-of ``LENGTH - PART + 1`` bytes, so pieces meet by anchor, part and core, and
-equal pieces are one class again. What is left differs outside the core only:
-the pieces of one core, the core itself written as one symbol, are put in one
+anchor that occurs once owns no repeated window. The windows that an
+occurrence of an anchor owns make its region. Of regions that are equal byte
+for byte (a class) the first and the last go on; what lies between them is
+repeated as a whole, as the last is. All regions of an anchor are put in one
 text and suffix-sorted; windows that are neighbours in the suffix array with
-``PART`` symbols in common are equal, and only the earliest is an original.
-Cores with more than ``BLOCK`` classes are sorted in blocks, whose distinct
-windows then meet by a shuffle.
+``LENGTH`` bytes in common are equal, and only the earliest is an original.
+Anchors with more than ``BLOCK`` classes are sorted in blocks, whose distinct
+windows then meet by a shuffle, so no anchor is gathered in one task.
 
-The suffix array comes from grouping suffixes by their Lyndon prefixes:
-groups are processed in descending order; each suffix finds the previous
-suffix of a smaller group, and those that are found move to new groups above
-their old ones, by how often they were found. Then the array is filled from
-its front, each suffix placing those that point ahead of it at the front of
-their groups; nothing is renamed or sorted recursively.
+The suffix arrays (_grouping.py) come from grouping suffixes by their Lyndon
+prefixes, many texts side by side.
 
 Defined results: null texts are empty; texts shorter than ``LENGTH`` bytes
 keep everything; documents of one id are ordered by a hash of their texts;
 repeated rows (equal id and text) are one document and get the same result;
-null ids come before all others; extra columns are ignored.
+null ids come before all others; other columns are ignored by
+``removal_report`` and kept by ``drop_repeats``, whatever their names; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -41,92 +34,57 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from ._grouping import suffix_arrays
 from ._spark import cut, maybe_among, whole_row, written
-from ._text import _BYTE_CODE, _P, _P_INV, U64, mix, slices
+from ._text import _BYTE_CODE, _P, _P_INV, U64, column_bytes, mix, slices, tidy
 
-LENGTH, ANCHOR, PART, BLOCK = 100, 24, 26, 512
+LENGTH, ANCHOR, BLOCK = 100, 24, 32
+SORTED = 1 << 20  # symbols that are sorted side by side
+ROWS = 20_000  # regions of a task, about
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
-_LONG = struct.Struct("<q")
-_UP = bytes(min(255, b + 2) for b in range(256))
-
-
-def gsaca(s: list[int]) -> list[int]:
-    """The suffix array of ``s``, whose last symbol must be its only least one."""
-    n = len(s)
-    order = np.argsort(np.array(s), kind="stable").tolist()
-    place, group, size, previous = [0] * n, [0] * n, [0] * n, [-1] * n
-    start = 0
-    for k, i in enumerate(order):
-        if k and s[order[k - 1]] != s[i]:
-            start = k
-        place[i], group[i] = k, start
-        size[start] += 1
-    front = list(range(n))
-    end = n
-    while end > 0:
-        g = group[order[end - 1]]
-        found: dict[int, int] = {}
-        for i in order[g:end] if end - g == 1 else sorted(order[g:end]):
-            j = i - 1
-            while j >= 0 and group[j] >= g:
-                j = previous[j]
-            previous[i] = j
-            if j >= 0:
-                found[j] = found.get(j, 0) + 1
-        end = g
-        if len(found) == 1:
-            moves = [((0, group[j]), (j,)) for j in found]
-        else:
-            by: dict[tuple[int, int], list[int]] = {}
-            for j, c in found.items():
-                by.setdefault((c, group[j]), []).append(j)
-            moves = sorted(by.items(), reverse=True) if len(by) > 1 else by.items()
-        for (_, old), some in moves:
-            if len(some) == size[old]:
-                continue  # the whole group moves up: nothing changes
-            to = old + size[old]
-            for j in some:
-                to -= 1
-                k, other = place[j], order[to]
-                order[k], place[other] = other, k
-                order[to], place[j] = j, to
-            size[old] -= len(some)
-            size[to] = len(some)
-            for j in some:
-                group[j] = to
-    out, placed = [-1] * n, [False] * n
-    out[0], placed[n - 1] = n - 1, True
-    front[group[n - 1]] += 1
-    for k in range(n):
-        j = out[k] - 1
-        while j >= 0 and not placed[j]:
-            g = group[j]
-            out[front[g]], placed[j] = j, True
-            front[g] += 1
-            j = previous[j]
-    return out
-
-
-def equal_windows(regions: list[bytes], length: int = LENGTH) -> list[list[tuple[int, int]]]:
-    """Groups of (region, offset) of equal windows of ``length`` bytes, from the suffix array of all regions."""
-    text = list(b"\1".join([*(r.translate(_UP) for r in regions), b"\0"]))  # bytes of UTF-8 stay below 254
-    owner, offset = [], []
-    for k, r in enumerate(regions):
-        windows = len(r) - length + 1
-        owner += [k] * windows + [-1] * (len(r) + 1 - windows)
-        offset += range(len(r) + 1)
-    owner.append(-1)
-    flat = b"\0".join(regions)
-    groups, last = [], b""
-    for i in gsaca(text):
-        if owner[i] >= 0:
-            window = flat[i : i + length]
-            if window != last:
-                groups.append([])
-                last = window
-            groups[-1].append((owner[i], offset[i]))
-    return groups
+_END, _GAP, _SHIFT = 0, 1, 2  # symbols: the end of a text, the end of a region, and what is added to bytes
+
+
+def _equal_to_next(flat: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at each place equal those at the next one; byte for byte, eight at a time."""
+    same = np.ones(max(0, len(at) - 1), bool)
+    if not len(same):
+        return same
+    words = np.lib.stride_tricks.sliding_window_view(flat, 8).view(np.uint64)[:, 0]
+    left = np.arange(len(same))
+    for k in [*range(0, length - 7, 8), length - 8]:
+        own = at[left] + k
+        equal = words[own] == words[at[left + 1] + k]
+        same[left[~equal]] = False
+        left = left[equal]
+    return same
+
+
+def repeated_windows(flat: np.ndarray, offsets: np.ndarray, text: np.ndarray, order: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places of the windows of regions [offsets[r], offsets[r + 1]) of ``flat`` in suffix order, group, is the earliest) of equal windows inside each text.
+
+    Regions of a text (``text``, ascending) stand together; ``order`` is that of each byte in the documents, unique.
+    """
+    n, size = len(text), np.diff(offsets)
+    ends = np.flatnonzero(np.append(text[1:] != text[:-1], True))
+    shift = np.arange(n) + np.searchsorted(ends, np.arange(n))  # gaps and ends ahead of each region
+    symbols = np.full(len(flat) + n + len(ends), _GAP, np.uint16)
+    place = np.arange(len(flat)) + np.repeat(shift, size)
+    symbols[place] = flat.astype(np.uint16) + _SHIFT
+    stop = offsets[1:][ends] + shift[ends] + 1
+    symbols[stop] = _END
+    back = np.full(len(symbols), -1, np.int64)
+    back[place] = np.arange(len(flat))
+    back[place[np.arange(len(flat)) + length > np.repeat(offsets[1:], size)]] = -1  # no window starts there
+    sorted_ = back[suffix_arrays(symbols, np.concatenate([[0], stop + 1]))]
+    window = sorted_[sorted_ >= 0]
+    of = np.repeat(text, size)[window]
+    new = np.ones(len(window), bool)
+    new[1:] = ~_equal_to_next(flat, window, length) | (of[1:] != of[:-1])
+    group = np.cumsum(new) - 1
+    earliest = np.minimum.reduceat(order[window], np.flatnonzero(new)) if len(window) else np.zeros(0, np.int64)
+    return window, group, order[window] == earliest[group] if len(window) else new
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray):
@@ -179,111 +137,98 @@ def _anchor_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, region, ids[lo + row], marks[lo + row], packed)], names=["fp", "region", "id", "mark", "run"])
 
 
-def pieces(raw: bytes, fp: int, run: int):
-    """(key, class, run, symbols) of each piece of an owned run: key stands for anchor, part and core, class for the bytes outside the core, of which \\xff takes the place."""
-    lo, before, windows = run >> 16, run >> 8 & 0xFF, run & 0xFF
-    anchor, least = lo + before, before - windows + 1
-    for part in range(least // PART, before // PART + 1):
-        most_here, least_here = min(before, part * PART + PART - 1), max(least, part * PART)
-        core = anchor - part * PART
-        end = core + LENGTH - PART + 1
-        symbols = raw[anchor - most_here : core] + b"\xff" + raw[end : anchor - least_here + LENGTH]
-        key = hashlib.blake2b(raw[core:end], digest_size=8, salt=struct.pack("<qB", fp, part)).digest()
-        yield *_LONG.unpack(key), *_LONG.unpack(hashlib.blake2b(symbols, digest_size=8).digest()), (anchor - most_here) << 16 | most_here << 8 | most_here - least_here + 1, symbols
-
-
-def _cut_pieces(batches):
+def _cut_regions(batches):
+    """Rows of wanted regions with their bytes."""
+    names, types = ["fp", "block", "blocks", "region", "id", "mark", "run", "raw"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     for batch in batches:
         for at in range(0, len(batch), 64):
             out: list[tuple] = []
             for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                 raw = text.encode()
-                out += [(*p, doc, mark) for w in wanted for p in pieces(raw, w["fp"], w["run"])]
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)], names=["fp", "region", "run", "symbols", "id", "mark"])
-
-
-def _runs(offsets: list[int]) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for o in sorted(offsets):
-        if out and out[-1][1] == o - 1:
-            out[-1][1] = o
-        else:
-            out.append([o, o])
-    return [(a, b) for a, b in out]
+                for w in wanted:
+                    low = w["run"] >> 16
+                    out.append((w["fp"], w["block"], w["blocks"], w["region"], doc, mark, w["run"], raw[low : low + (w["run"] & 0xFF) + LENGTH - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
+
+
+_JUDGED = "fp long, id long, mark long, low long, high long, window binary"
+
+
+def _judge(rows: pa.Table):
+    """(low, high) of each run of repeated windows of the regions of whole blocks, and the distinct windows of anchors in several blocks."""
+    fp, block, blocks, ids, marks, run = (rows[c].to_numpy() for c in ("fp", "block", "blocks", "id", "mark", "run"))
+    flat, offsets = column_bytes(rows["raw"].combine_chunks().cast(pa.large_binary()))
+    flat, offsets = flat[offsets[0] : offsets[-1]].copy(), offsets - offsets[0]
+    text = np.cumsum(np.append(False, (fp[1:] != fp[:-1]) | (block[1:] != block[:-1])))
+    by = np.lexsort((marks, ids))
+    new = np.append(False, (ids[by][1:] != ids[by][:-1]) | (marks[by][1:] != marks[by][:-1]))
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new)
+    size = np.diff(offsets)
+    owner = np.repeat(np.arange(len(size)), size)
+    start = (run >> 16)[owner] + np.arange(len(flat)) - offsets[owner]  # of each byte in its document
+    window, _, earliest = repeated_windows(flat, offsets, text, rank[owner] << 40 | start)
+    again = np.zeros(len(flat) + 1, bool)
+    again[window[~earliest]] = True
+    edge = np.flatnonzero(again[1:] != again[:-1]) + 1
+    low, high = (np.append(0, edge) if again[0] else edge).reshape(-1, 2).T  # no run crosses a region: its last bytes start no window
+    own = owner[low]
+    yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[low]), pa.array(start[high - 1] + LENGTH), pa.nulls(len(own), pa.binary())], names=["fp", "id", "mark", "low", "high", "window"])
+    apart = window[earliest]
+    apart = apart[blocks[owner[apart]] > 1]
+    for lo in range(0, len(apart), 10_000):
+        at = apart[lo : lo + 10_000]
+        own = owner[at]
+        digest = [hashlib.blake2b(flat[k : k + LENGTH].tobytes(), digest_size=16).digest() for k in at.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[at]), pa.array(start[at] + LENGTH), pa.array(digest, pa.binary())], names=["fp", "id", "mark", "low", "high", "window"])
 
 
 def _sort_regions(batches):
-    """Rows arrive sorted by (fp, block); a row for each class with repeated windows, and for blocks of one anchor their distinct windows."""
-    names = ["fp", "region", "repeated", "window", "id", "mark", "run", "offset"]
-    types = [pa.int64(), pa.int64(), pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
-
-    def solve(rows):
-        place = [(r[4], r[5], r[6] >> 16) for r in rows]
-        repeated: dict[int, list[int]] = {}
-        for group in equal_windows([r[7] for r in rows], PART):
-            best = min(group, key=lambda x: (*place[x[0]][:2], place[x[0]][2] + x[1]))
-            first = (*place[best[0]][:2], place[best[0]][2] + best[1])
-            for k, o in group:
-                if (*place[k][:2], place[k][2] + o) != first:
-                    repeated.setdefault(k, []).append(o)
-            if rows[0][2] > 1:
-                k, o = best
-                yield rows[k][0], rows[k][3], None, hashlib.blake2b(rows[k][7][o : o + PART], digest_size=16).digest(), rows[k][4], rows[k][5], rows[k][6], o
-        for k, own in repeated.items():
-            yield rows[k][0], rows[k][3], [{"low": a, "high": b} for a, b in _runs(own)], None, None, None, None, None
-
-    def packed(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 8, types, strict=True)], names=names)
-
-    held, out = [], []
+    """Rows arrive sorted by (fp, block); whole blocks are judged, SORTED bytes or one block at a time."""
+    held: pa.Table | None = None
     for batch in batches:
-        for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and held[-1][:2] != r[:2]:
-                out += solve(held)
-                held = []
-            held.append(r)
-        if len(out) > 10_000:
-            yield packed(out)
-            out = []
-    yield packed([*out, *(solve(held) if held else [])])
+        held = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+        if held["raw"].nbytes > SORTED:
+            fp, block = held["fp"].to_numpy(), held["block"].to_numpy()
+            first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (block[1:] != block[:-1])))
+            weight = np.cumsum(np.append(0, np.diff(column_bytes(held["raw"].combine_chunks().cast(pa.large_binary()))[1])))
+            lo = 0
+            for k in range(1, len(first)):
+                if weight[first[k]] - weight[lo] >= SORTED or k == len(first) - 1:
+                    yield from _judge(held.slice(lo, first[k] - lo))
+                    lo = first[k]
+            held = held.slice(lo)
+    if held is not None and held.num_rows:
+        yield from _judge(held)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(id, mark, spans): the byte ranges to remove from each document that has any, unsorted and overlapping."""
     texts = _keyed(docs)
-    found = texts.mapInArrow(_anchor_batches, "fp long, region long, id long, mark long, run long")
-    often = found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp")
+    place = F.struct("id", "mark", "run")
+    found = texts.mapInArrow(tidy(_anchor_batches), "fp long, region long, id long, mark long, run long")
+    often = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # written, so that a skewed join with it can be split
     occurs = written(found.join(often, "fp"))
-    classes = written(occurs.groupBy("fp", "region").agg(F.min(F.struct("id", "mark", "run")).alias("first"), F.count("*").alias("n")))
-    several = classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1")
-    unsure = classes.join(several, "fp").select("first.id", "first.mark", F.struct("fp", F.col("first.run").alias("run")).alias("want"))
-    wanted = cut(unsure.groupBy("id", "mark").agg(F.collect_list("want").alias("want")))  # at most as long as the document
-    parted = maybe_among(texts, wanted, ["id", "mark"]).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
-    parted = written(parted.mapInArrow(_cut_pieces, "fp long, region long, run long, symbols binary, id long, mark long"))
-    part_classes = written(parted.groupBy("fp", "region").agg(F.min(F.struct("id", "mark", "run", "symbols")).alias("first"), F.count("*").alias("n")))
-    blocks = part_classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1").select("fp", F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks"))
-    sorted_ = part_classes.join(blocks, "fp").select("fp", F.pmod(F.xxhash64("region"), "blocks").cast("int").alias("block"), "blocks", "region", "first.id", "first.mark", "first.run", "first.symbols")
-    sorted_ = sorted_.repartition("fp", "block").sortWithinPartitions("fp", "block")
-    judged = written(sorted_.mapInArrow(_sort_regions, "fp long, region long, repeated array<struct<low:int,high:int>>, window binary, id long, mark long, run long, offset int"))
+    classes = written(occurs.groupBy("fp", "region").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")))
+    sizes = cut(classes.groupBy("fp").agg(F.count("*").alias("classes"), F.bool_or(F.col("first") != F.col("last")).alias("twice")).where("twice or classes > 1").select("fp", F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks")))
+    asked = classes.join(sizes, "fp").select("fp", F.pmod(F.xxhash64("region"), "blocks").cast("int").alias("block"), "blocks", "region", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
+    wanted = asked.groupBy("at.id", "at.mark").agg(F.collect_list(F.struct("fp", "block", "blocks", "region", "at.run")).alias("want"))  # at most as long as the document
+    wanted = written(wanted)
+    regions = maybe_among(texts, wanted, ["id", "mark"]).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
+    regions = regions.mapInArrow(tidy(_cut_regions), "fp long, block int, blocks int, region long, id long, mark long, run long, raw binary")
+    tasks = max(1, -(-wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] // ROWS))
+    regions = regions.repartition(tasks, "fp", "block").sortWithinPartitions("fp", "block").drop("region")  # a fixed number, which isn't coalesced
+    judged = written(regions.mapInArrow(tidy(_sort_regions), _JUDGED))
+    own = judged.where("window is null").select("id", "mark", "low", "high")
     # windows of anchors in several blocks
-    place = F.struct("id", "mark", (F.shiftright("run", 16) + F.col("offset")).alias("at"))
-    windows = judged.where("window is not null").withColumn("place", place)
-    first = windows.groupBy("fp", "window").agg(F.min("place").alias("earliest"))
-    later = windows.join(first, ["fp", "window"]).where("place <> earliest").select("fp", "region", F.struct(F.col("offset").alias("low"), F.col("offset").alias("high")).alias("r"))
-    own = judged.where("repeated is not null").select("fp", "region", F.explode("repeated").alias("r"))
-    partly = own.union(later).groupBy("fp", "region").agg(F.collect_list("r").alias("repeated"))  # offsets of one region
-
-    def copies(of: DataFrame, known: DataFrame) -> DataFrame:
-        first = known.where("n > 1").select("fp", "region", F.struct("first.id", "first.mark", "first.run").alias("first"))
-        return of.select("fp", "region", "id", "mark", "run").join(first, ["fp", "region"]).where(F.struct("id", "mark", "run") != F.col("first"))
-
-    at = copies(occurs, classes).unionByName(copies(parted, part_classes))
-    low, windows_ = F.shiftright("run", 16), F.col("run").bitwiseAND(0xFF)
-    whole = at.select("id", "mark", low.alias("low"), (low + windows_ - 1 + LENGTH).alias("high"))
-    some = part_classes.join(partly, ["fp", "region"]).select("first.id", "first.mark", F.shiftright("first.run", 16).alias("base"), F.explode("repeated").alias("r"))
-    some = some.select("id", "mark", (F.col("base") + F.col("r.low")).alias("low"), (F.col("base") + F.col("r.high") + LENGTH).alias("high"))
-    return cut(whole.union(some).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
+    apart = judged.where("window is not null").withColumn("place", F.struct("id", "mark", "low"))
+    first = apart.groupBy("fp", "window").agg(F.min("place").alias("earliest"))
+    later = apart.join(first, ["fp", "window"]).where("place <> earliest").select("id", "mark", "low", "high")
+    # occurrences between the first and the last of a class
+    between = occurs.join(classes.where("n > 2 and first <> last").select("fp", "region", "first", "last"), ["fp", "region"]).where((place != F.col("first")) & (place != F.col("last")))
+    low = F.shiftright("run", 16)
+    between = between.select("id", "mark", low.alias("low"), (low + F.col("run").bitwiseAND(0xFF) - 1 + LENGTH).alias("high"))
+    return written(own.union(later).union(between).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
 
 
 def _removed(raw: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -315,7 +260,7 @@ def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256; a row for each row of ``docs``."""
     spans = repeats(docs)
     changed = maybe_among(_keyed(docs), spans, ["id", "mark"]).join(spans, ["id", "mark"]).select("id", "mark", "text", "spans")
-    changed = changed.mapInArrow(_digest, "id long, mark long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "mark"])
+    changed = changed.mapInArrow(tidy(_digest), "id long, mark long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "mark"])
     text = F.coalesce(F.col("text"), F.lit(""))
     facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
     out = facts.join(changed, ["id", "mark"], "left")
@@ -343,4 +288,4 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
                     own[names.index("n_chars")] = pa.array([len(t or "") for t in texts]).cast(own[names.index("n_chars")].type)
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(own, names=names)], names=["row"])
 
-    return joined.mapInArrow(run, StructType([StructField("row", schema)])).select("row.*")
+    return joined.mapInArrow(tidy(run), StructType([StructField("row", schema)])).select("row.*")
