@@ -10,6 +10,7 @@ a task whatever the batch size is.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -55,6 +56,18 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return flat, offsets
 
 
+def tidy(run):
+    """A task's function that gives freed memory back to the system at its end, as its worker lives on for other stages."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return wrapped
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets from 0) of row ranges of at most ``most`` bytes, one row at least."""
     flat, offsets = column_bytes(column)

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import components, cut, id_text, whole_row
-from ._text import shingle_sets, slices
+from ._text import shingle_sets, slices, tidy
 
 K = 48
 THRESHOLD = 22
@@ -70,7 +70,7 @@ def _sign(batches):
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(_sign, "doc_id long, text_key long, n_shingles long, set_key binary, sig array<long>")
+    return id_text(docs).withColumn("text_key", F.xxhash64("text")).mapInArrow(tidy(_sign), "doc_id long, text_key long, n_shingles long, set_key binary, sig array<long>")
 
 
 def _pairs_of(sets: list[np.ndarray], sig: np.ndarray, left: np.ndarray, label: np.ndarray):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import id_text, running_total, written
-from ._text import IS_SPACE, LOWER, column_bytes, slices
+from ._text import IS_SPACE, LOWER, column_bytes, slices, tidy
 
 WINDOW = 4096
 BINS = 64
@@ -39,7 +39,7 @@ DEPTH = 3
 HELD = 0.05
 CACHED_BYTES = 16 << 20  # of one worker's known chunks and their ids
 _BUCKET = 8192
-_SLICE = 8 << 20
+_SLICE = 4 << 20
 _PLAIN = np.where(IS_SPACE, 32, LOWER).astype(np.uint8)  # white space as spaces, ASCII in lower case
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"  # ASCII symbols but the apostrophe, which can begin a contraction
 
@@ -142,7 +142,7 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
                 out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), out, pa.array(np.full(hi - lo, ids.itemsize, np.int32))], names=["doc_id", "n", "ids", "width"])
 
-    return id_text(docs).mapInArrow(run, "doc_id long, n long, ids binary, width int")
+    return id_text(docs).mapInArrow(tidy(run), "doc_id long, n long, ids binary, width int")
 
 
 def strategies(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -255,7 +255,7 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> Data
     pieces = full.unionByName(fitted).unionByName(into).unionByName(tail)
     pieces = pieces.withColumn("offset", F.sum("length").over(Window.partitionBy("sequence_id").orderBy("row", "start")) - F.col("length"))
     of_row = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))  # one document's pieces
-    return tokens.join(of_row, "row").select("doc_id", "n", "ids", "width", "pieces").mapInArrow(_digest, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return tokens.join(of_row, "row").select("doc_id", "n", "ids", "width", "pieces").mapInArrow(tidy(_digest), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def _digest(batches):

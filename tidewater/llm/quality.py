@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ._spark import cut, maybe_among, whole_row
-from ._text import IS_SPACE, mix, range_hash, slices, word_bounds
+from ._text import IS_SPACE, mix, range_hash, slices, tidy, word_bounds
 
 RISK, LEVEL, GOOD_WEIGHT, STEPS = 0.05, 0.05, 20, 64
 SYMBOLS = b"#*$%&|<>"
@@ -109,7 +109,7 @@ def _features(rows: DataFrame) -> DataFrame:
                 own = [batch.column(names.index(f.name)).slice(lo, hi - lo) for f in kept]
                 yield pa.RecordBatch.from_arrays([*own, *(pa.array(got[c], pa.int64()) for c in COUNTS)], names=[*(f.name for f in kept), *COUNTS])
 
-    return rows.mapInArrow(run, StructType([*kept, *(StructField(c, LongType()) for c in COUNTS)]))
+    return rows.mapInArrow(tidy(run), StructType([*kept, *(StructField(c, LongType()) for c in COUNTS)]))
 
 
 def base_failed():

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ._spark import cut, whole_row
-from ._text import column_bytes, shingle_sets, slices
+from ._text import column_bytes, shingle_sets, slices, tidy
 from .minhash import signature
 
 SAMPLE, ENTRIES, EVIDENCE, SUPPORT, NEAR, WIDE, CONTEXT, INNOCENT = 20_000, 512, 20.0, 4, 4, 12, 400, 4096
@@ -55,6 +55,7 @@ FEATURES = ("most", "strong", "sum", "near")
 STEMS = (4, 5, 6)
 LOWEST = ("low1", "low2", "low3", "low4")
 _SLICE = 2 << 20
+KNOWN = 200_000  # chunks whose hits a task remembers
 _OUTER = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”‘’„…¡¿"
 _OUTER_BUT_MASKS = "".join(c for c in _OUTER if c not in "@$")
 _QUOTES = "\"'«»“”‘’„"
@@ -75,26 +76,32 @@ def edits(entry: str) -> int:
 
 
 class Trie:
-    """Nodes are dicts of letters; the key "" holds the entry that ends there."""
+    """Nodes are dicts of letters; the key "" holds the entry that ends there.
+
+    An entry with k edits has k + 1 parts, one of which is unchanged in every
+    word that it matches, at most k places away; words without such a part, or
+    of another length, need no automaton.
+    """
 
     def __init__(self, entries):
         self.top: dict = {}
-        self.starts, self.ends = set(), set()
+        self.parts: dict[int, set[tuple[int, str]]] = {}  # by length of the word: (place, part)
         for e in entries:
             node = self.top
             for c in e:
                 node = node.setdefault(c, {})
             node[""] = e
-            if k := edits(e):  # one of k + 1 parts is unchanged; the outer two bound most words out
-                part = len(e) // (k + 1)
-                self.starts.add(e[:part])
-                self.ends.add(e[k * part :])
-        self.lengths = sorted({len(x) for x in self.starts | self.ends})
-        self.inner = {e[len(e) // 3 : 2 * (len(e) // 3)] for e in entries if edits(e) == 2}  # the middle part
+            k = edits(e)
+            cuts = [len(e) * i // (k + 1) for i in range(k + 2)]
+            for size in range(len(e) - k, len(e) + k + 1):
+                own = self.parts.setdefault(size, set())
+                own.update((lo + d, e[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False) for d in range(-k, k + 1) if 0 <= lo + d <= size - (hi - lo))
+        self.tests = {size: sorted({(at, len(part)) for at, part in own}) for size, own in self.parts.items()}
 
     def near(self, word: str) -> tuple[str, int] | None:
         """The entry within its own edit limit of the word, nearest first."""
-        if not any(word[:n] in self.starts or word[-n:] in self.ends for n in self.lengths) and not any(x in word for x in self.inner):
+        own = self.parts.get(len(word))
+        if own is None or not any((at, word[at : at + n]) in own for at, n in self.tests[len(word)]):
             return None
         best: tuple[int, str] | None = None
         stack = [(self.top, list(range(len(word) + 1)))]  # the automaton's state: edits by position in the word
@@ -125,6 +132,7 @@ class Matcher:
         self.words, self.stems = model["words"], model["stems"]
         self.trust, self.innocent = model.get("trust", {}), model.get("innocent", frozenset())
         self.lengths = sorted({len(s) for s in self.stems})
+        self.known: dict[str, tuple[str, int] | None] = {}
         self.trie = Trie(sorted(w for w, v in self.words.items() if v >= STRONG))  # a misspelled weak sign is no sign
 
     def look(self, chunk: str) -> tuple[str, int] | None:
@@ -158,7 +166,13 @@ class Matcher:
             first = rows.offsets.to_numpy()
             coded = rows.flatten().dictionary_encode()
             chunks, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-            found = {k: got for k, c in enumerate(chunks) if (got := self.look(c))}
+            known = self.known
+            if len(known) > KNOWN:
+                known.clear()
+            for c in chunks:
+                if c not in known:
+                    known[c] = self.look(c)
+            found = {k: got for k, got in enumerate(map(known.__getitem__, chunks)) if got}
             if not found:
                 continue
             is_hit = np.zeros(len(chunks), bool)
@@ -360,21 +374,22 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
-    """``keep`` columns and score, a row for each row of ``docs``; one pass, no shuffle."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text_"))
-    fields = rows.schema.fields[:-1]
+    """``keep`` columns and score, a row for each row of ``docs``; one pass, no shuffle. The text is the column ``text``, or the field ``text`` of a kept struct ``row``."""
+    held = "row" in keep
+    rows = docs.select(*keep) if held else docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text_"))
+    fields = [f for f in rows.schema.fields if f.name in keep]
 
     def run(batches):
         matcher = Matcher(model)
         for batch in batches:
             for lo in range(0, len(batch), 1024):
                 part = batch.slice(lo, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(_scores(part.columns[-1], matcher, model), pa.float64())], names=[*keep, "score"])
+                text = pc.struct_field(part.column(keep.index("row")), "text") if held else part.columns[-1]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(_scores(text, matcher, model), pa.float64())], names=[*keep, "score"])
 
-    return rows.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return rows.mapInArrow(tidy(run), StructType([*fields, StructField("score", DoubleType())]))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that score below 0.5, whatever their other columns are called; they travel as one struct."""
-    rows = docs.select(whole_row(docs).alias("row"), "text")
-    return score(rows, train(docs, labels), ["row"]).where("score < 0.5").select("row.*")
+    return score(docs.select(whole_row(docs).alias("row")), train(docs, labels), ["row"]).where("score < 0.5").select("row.*")
