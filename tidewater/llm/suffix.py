@@ -5,13 +5,22 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier
 content: every window of ``LENGTH`` bytes owns the ``ANCHOR``-byte string of
 least hash in it, so equal windows own equal anchors at equal places, and an
 anchor that occurs once owns no repeated window. The windows that an
-occurrence of an anchor owns make its region. Of regions that are equal byte
-for byte (a class) the first and the last go on; what lies between them is
-repeated as a whole, as the last is. All regions of an anchor are put in one
-text and suffix-sorted; windows that are neighbours in the suffix array with
-``LENGTH`` bytes in common are equal, and only the earliest is an original.
-Anchors with more than ``BLOCK`` classes are sorted in blocks, whose distinct
-windows then meet by a shuffle, so no anchor is gathered in one task.
+occurrence of an anchor owns make its region; regions that are equal byte for
+byte are a class. Two kinds of text are suffix-sorted, and windows that are
+neighbours in the suffix array with ``LENGTH`` bytes in common are equal, of
+which only the earliest is an original:
+
+- The first and the last occurrence of a class, joined with those of the
+  classes beside it in the same two documents, up to ``SEGMENT`` windows. What
+  lies between the first and the last of a class is repeated as a whole, as
+  the last is.
+- Where an anchor has several classes, their firsts. The windows of a region
+  are parted by how many bytes they hold before the anchor, ``PART`` such
+  numbers to a piece; all windows of a piece hold its core of
+  ``LENGTH - PART + 1`` bytes, so pieces meet by anchor, part and core, and the
+  core counts as one symbol. Cores with more than ``BLOCK`` pieces are sorted
+  in blocks, whose distinct windows then meet by a shuffle, so neither an
+  anchor nor a core is gathered in one task.
 
 The suffix arrays (_grouping.py) come from grouping suffixes by their Lyndon
 prefixes, many texts side by side.
@@ -27,6 +36,7 @@ table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +48,12 @@ from ._grouping import suffix_arrays
 from ._spark import cut, maybe_among, whole_row, written
 from ._text import _BYTE_CODE, _P, _P_INV, U64, column_bytes, mix, slices, tidy
 
-LENGTH, ANCHOR, BLOCK = 100, 24, 32
-SORTED = 1 << 20  # symbols that are sorted side by side
-ROWS = 20_000  # regions of a task, about
+LENGTH, ANCHOR, PART, SEGMENT, BLOCK = 100, 24, 26, 512, 32
+SORTED, HELD = 1 << 20, 4 << 20  # bytes that are sorted side by side, and that a task holds to sort texts of like sizes together
+TASK = 16 << 20  # bytes that a task sorts in all, about
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
+_LONG = struct.Struct("<q")
 _END, _GAP, _SHIFT = 0, 1, 2  # symbols: the end of a text, the end of a region, and what is added to bytes
 
 
@@ -137,69 +148,131 @@ def _anchor_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, region, ids[lo + row], marks[lo + row], packed)], names=["fp", "region", "id", "mark", "run"])
 
 
-def _cut_regions(batches):
-    """Rows of wanted regions with their bytes."""
-    names, types = ["fp", "block", "blocks", "region", "id", "mark", "run", "raw"], [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+def pieces(raw: bytes, fp: int, run: int):
+    """(key, lowest window's place, windows, symbols) of each piece of an owned run: key stands for anchor, part and core, \xff takes the place of the core."""
+    lo, before, windows = run >> 16, run >> 8 & 0xFF, run & 0xFF
+    anchor, least = lo + before, before - windows + 1
+    for part in range(least // PART, before // PART + 1):
+        most_here, least_here = min(before, part * PART + PART - 1), max(least, part * PART)
+        core = anchor - part * PART
+        end = core + LENGTH - PART + 1
+        key = hashlib.blake2b(raw[core:end], digest_size=8, salt=struct.pack("<qB", fp, part)).digest()
+        yield *_LONG.unpack(key), anchor - most_here, most_here - least_here + 1, raw[anchor - most_here : core] + b"\xff" + raw[end : anchor - least_here + LENGTH]
+
+
+def _segments(batches):
+    """The runs of adjacent regions that a document (its last) shares with another (their first), cut to SEGMENT windows: a row for each side."""
+    for batch in batches:
+        out = []
+        for doc, mark, shared in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            rows = sorted((x["first"]["id"], x["first"]["mark"], (x["run"] >> 16) - (x["first"]["run"] >> 16), x["run"] >> 16, x["run"] & 0xFF) for x in shared)
+            at = 0
+            while at < len(rows):
+                other, its, shift, low, n = rows[at]
+                at += 1
+                while at < len(rows) and rows[at][:3] == (other, its, shift) and rows[at][3] == low + n:
+                    n += rows[at][4]
+                    at += 1
+                for lo in range(low, low + n, SEGMENT):
+                    windows = min(SEGMENT, low + n - lo)
+                    (pair,) = _LONG.unpack(hashlib.blake2b(struct.pack("<6q", other, its, lo - shift, doc, mark, lo), digest_size=8).digest())
+                    out += [(other, its, pair, lo - shift, windows), (doc, mark, pair, lo, windows)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 5)], names=["id", "mark", "fp", "low", "windows"])
+
+
+_CUT = "whole boolean, key long, id long, mark long, low long, windows int, symbols binary"
+
+
+def _cut_wanted(batches):
+    """Wanted segments (whole) and the pieces of wanted regions, with their bytes."""
+    names, types = [x.split()[0] for x in _CUT.split(", ")], [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     for batch in batches:
         for at in range(0, len(batch), 64):
             out: list[tuple] = []
             for doc, mark, text, wanted in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
                 raw = text.encode()
                 for w in wanted:
-                    low = w["run"] >> 16
-                    out.append((w["fp"], w["block"], w["blocks"], w["region"], doc, mark, w["run"], raw[low : low + (w["run"] & 0xFF) + LENGTH - 1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 8, types, strict=True)], names=names)
+                    if w["windows"] is None:
+                        out += [(False, key, doc, mark, low, n, symbols) for key, low, n, symbols in pieces(raw, w["fp"], w["low"])]
+                    else:
+                        out.append((True, w["fp"], doc, mark, w["low"], w["windows"], raw[w["low"] : w["low"] + w["windows"] - 1 + LENGTH]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names=names)
 
 
-_JUDGED = "fp long, id long, mark long, low long, high long, window binary"
+_JUDGED = "key long, id long, mark long, low long, high long, window binary"
 
 
-def _judge(rows: pa.Table):
-    """(low, high) of each run of repeated windows of the regions of whole blocks, and the distinct windows of anchors in several blocks."""
-    fp, block, blocks, ids, marks, run = (rows[c].to_numpy() for c in ("fp", "block", "blocks", "id", "mark", "run"))
-    flat, offsets = column_bytes(rows["raw"].combine_chunks().cast(pa.large_binary()))
-    flat, offsets = flat[offsets[0] : offsets[-1]].copy(), offsets - offsets[0]
-    text = np.cumsum(np.append(False, (fp[1:] != fp[:-1]) | (block[1:] != block[:-1])))
+def _judge(rows: pa.Table, length: int):
+    """(low, high) of each run of repeated windows of whole texts, and the distinct windows of cores in several blocks."""
+    key, block, blocks, ids, marks, low = (rows[c].to_numpy() for c in ("key", "block", "blocks", "id", "mark", "low"))
+    flat, offsets = column_bytes(rows["symbols"].combine_chunks().cast(pa.large_binary()))
+    flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
+    text = np.cumsum(np.append(False, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))
     by = np.lexsort((marks, ids))
     new = np.append(False, (ids[by][1:] != ids[by][:-1]) | (marks[by][1:] != marks[by][:-1]))
     rank = np.empty(len(by), np.int64)
     rank[by] = np.cumsum(new)
     size = np.diff(offsets)
-    owner = np.repeat(np.arange(len(size)), size)
-    start = (run >> 16)[owner] + np.arange(len(flat)) - offsets[owner]  # of each byte in its document
-    window, _, earliest = repeated_windows(flat, offsets, text, rank[owner] << 40 | start)
-    again = np.zeros(len(flat) + 1, bool)
-    again[window[~earliest]] = True
-    edge = np.flatnonzero(again[1:] != again[:-1]) + 1
-    low, high = (np.append(0, edge) if again[0] else edge).reshape(-1, 2).T  # no run crosses a region: its last bytes start no window
-    own = owner[low]
-    yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[low]), pa.array(start[high - 1] + LENGTH), pa.nulls(len(own), pa.binary())], names=["fp", "id", "mark", "low", "high", "window"])
-    apart = window[earliest]
-    apart = apart[blocks[owner[apart]] > 1]
-    for lo in range(0, len(apart), 10_000):
-        at = apart[lo : lo + 10_000]
-        own = owner[at]
-        digest = [hashlib.blake2b(flat[k : k + LENGTH].tobytes(), digest_size=16).digest() for k in at.tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array(fp[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[at]), pa.array(start[at] + LENGTH), pa.array(digest, pa.binary())], names=["fp", "id", "mark", "low", "high", "window"])
-
-
-def _sort_regions(batches):
-    """Rows arrive sorted by (fp, block); whole blocks are judged, SORTED bytes or one block at a time."""
-    held: pa.Table | None = None
-    for batch in batches:
-        held = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
-        if held["raw"].nbytes > SORTED:
-            fp, block = held["fp"].to_numpy(), held["block"].to_numpy()
-            first = np.flatnonzero(np.append(True, (fp[1:] != fp[:-1]) | (block[1:] != block[:-1])))
-            weight = np.cumsum(np.append(0, np.diff(column_bytes(held["raw"].combine_chunks().cast(pa.large_binary()))[1])))
-            lo = 0
-            for k in range(1, len(first)):
-                if weight[first[k]] - weight[lo] >= SORTED or k == len(first) - 1:
-                    yield from _judge(held.slice(lo, first[k] - lo))
-                    lo = first[k]
-            held = held.slice(lo)
-    if held is not None and held.num_rows:
-        yield from _judge(held)
+    weight = np.bincount(text, weights=size)
+    order = np.argsort(weight[text], kind="stable")  # texts of like sizes together; their rows stay together
+    at = np.flatnonzero(np.append(True, text[order][1:] != text[order][:-1]))
+    cuts = [0]
+    total = np.append(0, np.cumsum(size[order]))
+    for k in at[1:].tolist():
+        if total[k] - total[cuts[-1]] > SORTED:
+            cuts.append(k)
+    for a, b in zip(cuts, [*cuts[1:], len(order)], strict=True):
+        mine = order[a:b]
+        n = size[mine]
+        bounds = np.append(0, np.cumsum(n))
+        owner = np.repeat(np.arange(len(mine)), n)
+        inside = np.arange(bounds[-1]) - bounds[owner]
+        part = flat[offsets[mine][owner] + inside]
+        start = low[mine][owner] + inside  # of the window that begins at each symbol
+        window, _, earliest = repeated_windows(part, bounds, text[mine], rank[mine][owner] << 40 | start, length)
+        again = np.zeros(len(part) + 1, bool)
+        again[window[~earliest]] = True
+        edge = np.flatnonzero(again[1:] != again[:-1]) + 1
+        first, end = (np.append(0, edge) if again[0] else edge).reshape(-1, 2).T  # no run crosses a row: its last symbols begin no window
+        own = mine[owner[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[first]), pa.array(start[end - 1] + LENGTH), pa.nulls(len(own), pa.binary())], names=["key", "id", "mark", "low", "high", "window"])
+        apart = window[earliest]
+        apart = apart[blocks[mine[owner[apart]]] > 1]
+        for lo in range(0, len(apart), 10_000):
+            k = apart[lo : lo + 10_000]
+            own = mine[owner[k]]
+            digest = [hashlib.blake2b(part[x : x + length].tobytes(), digest_size=16).digest() for x in k.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[k]), pa.array(start[k] + LENGTH), pa.array(digest, pa.binary())], names=["key", "id", "mark", "low", "high", "window"])
+
+
+def _sort_texts(length: int):
+    """Rows arrive sorted by (key, block); whole texts are judged, HELD bytes or one text at a time."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        weight = 0
+        for batch in batches:
+            held.append(batch)
+            weight += batch.column(batch.schema.get_field_index("symbols")).nbytes
+            if weight > HELD:
+                rows = pa.Table.from_batches(held)
+                key, block = rows["key"].to_numpy(), rows["block"].to_numpy()
+                last = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1])))[-1]  # more of it may come
+                if last:
+                    yield from _judge(rows.slice(0, last), length)
+                held = rows.slice(last).to_batches()
+                weight = sum(b.column(b.schema.get_field_index("symbols")).nbytes for b in held)
+        if weight:
+            yield from _judge(pa.Table.from_batches(held), length)
+
+    return run
+
+
+def _sorted(rows: DataFrame, length: int) -> DataFrame:
+    """Runs of repeated windows and distinct windows of rows with key, block, blocks; a fixed number of tasks, which aren't coalesced."""
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("symbols")), F.lit(0))).first()[0]
+    dealt = rows.repartition(max(1, -(-size // TASK)), "key", "block").sortWithinPartitions("key", "block")
+    return dealt.select("key", "block", "blocks", "id", "mark", "low", "symbols").mapInArrow(tidy(_sort_texts(length)), _JUDGED)
 
 
 def repeats(docs: DataFrame) -> DataFrame:
@@ -210,20 +283,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     often = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # written, so that a skewed join with it can be split
     occurs = written(found.join(often, "fp"))
     classes = written(occurs.groupBy("fp", "region").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")))
-    sizes = cut(classes.groupBy("fp").agg(F.count("*").alias("classes"), F.bool_or(F.col("first") != F.col("last")).alias("twice")).where("twice or classes > 1").select("fp", F.ceil(F.col("classes") / BLOCK).cast("int").alias("blocks")))
-    asked = classes.join(sizes, "fp").select("fp", F.pmod(F.xxhash64("region"), "blocks").cast("int").alias("block"), "blocks", "region", F.explode(F.array_distinct(F.array("first", "last"))).alias("at"))
-    wanted = asked.groupBy("at.id", "at.mark").agg(F.collect_list(F.struct("fp", "block", "blocks", "region", "at.run")).alias("want"))  # at most as long as the document
-    wanted = written(wanted)
+    several = cut(classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1").select("fp"))
+    firsts = classes.join(several, "fp").select("first.id", "first.mark", "fp", F.col("first.run").alias("low"), F.lit(None).cast("long").alias("windows"))
+    twice = classes.where("first <> last")
+    shared = twice.groupBy("last.id", "last.mark").agg(F.collect_list(F.struct("first", "last.run")).alias("shared"))  # at most as long as the document
+    wanted = firsts.union(shared.mapInArrow(_segments, "id long, mark long, fp long, low long, windows long"))
+    wanted = written(wanted.groupBy("id", "mark").agg(F.collect_list(F.struct("fp", "low", "windows")).alias("want")))  # at most as long as the document, and what copies ask of it
     regions = maybe_among(texts, wanted, ["id", "mark"]).join(wanted, ["id", "mark"]).select("id", "mark", "text", "want")
-    regions = regions.mapInArrow(tidy(_cut_regions), "fp long, block int, blocks int, region long, id long, mark long, run long, raw binary")
-    tasks = max(1, -(-wanted.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] // ROWS))
-    regions = regions.repartition(tasks, "fp", "block").sortWithinPartitions("fp", "block").drop("region")  # a fixed number, which isn't coalesced
-    judged = written(regions.mapInArrow(tidy(_sort_regions), _JUDGED))
+    regions = written(regions.mapInArrow(tidy(_cut_wanted), _CUT))
+    pairs = _sorted(regions.where("whole").select("*", F.lit(0).alias("block"), F.lit(1).alias("blocks")), LENGTH)
+    parted = regions.where("not whole")
+    cores = cut(parted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    parted = parted.join(cores, "key").withColumn("block", F.pmod(F.xxhash64("id", "mark", "low"), "blocks").cast("int"))
+    judged = written(_sorted(parted, PART).union(pairs))
     own = judged.where("window is null").select("id", "mark", "low", "high")
-    # windows of anchors in several blocks
+    # windows of cores in several blocks
     apart = judged.where("window is not null").withColumn("place", F.struct("id", "mark", "low"))
-    first = apart.groupBy("fp", "window").agg(F.min("place").alias("earliest"))
-    later = apart.join(first, ["fp", "window"]).where("place <> earliest").select("id", "mark", "low", "high")
+    first = apart.groupBy("key", "window").agg(F.min("place").alias("earliest"))
+    later = apart.join(first, ["key", "window"]).where("place <> earliest").select("id", "mark", "low", "high")
     # occurrences between the first and the last of a class
     between = occurs.join(classes.where("n > 2 and first <> last").select("fp", "region", "first", "last"), ["fp", "region"]).where((place != F.col("first")) & (place != F.col("last")))
     low = F.shiftright("run", 16)
