@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 17
 
 _rng = np.random.default_rng(0x7D1E)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -89,19 +89,31 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return start, end, np.searchsorted(start, offsets)
 
 
+_powers: list[np.ndarray] = [np.zeros(0, U64), np.zeros(0, U64)]
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(P^0 ... P^(n-1), P^0 ... P^-n); those of a slice are kept."""
+    up, back = _powers
+    if len(back) <= n:
+        size = max(n, SLICE_BYTES) + 1
+        up, back = (np.full(size, x, U64) for x in (_P, _P_INV))
+        up[0] = back[0] = 1
+        np.cumprod(up, out=up)
+        np.cumprod(back, out=back)
+        if size <= 4 * SLICE_BYTES:
+            _powers[:] = up, back
+    return up[:n], back[: n + 1]
+
+
 def range_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
     """64-bit hash of each byte range, ASCII lower-cased or not; equal ranges have equal hashes wherever they stand."""
     n = len(data)
     if n == 0 or len(start) == 0:
         return np.zeros(len(start), U64)
-    power = np.full(n, _P, U64)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    power, back = powers(n)
     total = np.zeros(n + 1, U64)
     np.cumsum((_LOWER_CODE if lower else _BYTE_CODE)[data] * power, out=total[1:])
-    back = np.full(n + 1, _P_INV, U64)
-    back[0] = 1
-    np.cumprod(back, out=back)
     return mix((total[end] - total[start]) * back[start] + (end - start).astype(U64))
 
 

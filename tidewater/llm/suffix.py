@@ -46,11 +46,11 @@ from pyspark.sql.types import StructField, StructType
 
 from ._grouping import suffix_arrays
 from ._spark import cut, maybe_among, whole_row, written
-from ._text import _BYTE_CODE, _P, _P_INV, U64, column_bytes, mix, slices, tidy
+from ._text import _BYTE_CODE, U64, column_bytes, mix, powers, slices, tidy
 
 LENGTH, ANCHOR, PART, SEGMENT, BLOCK = 100, 24, 26, 512, 32
 SORTED, HELD = 1 << 20, 4 << 20  # bytes that are sorted side by side, and that a task holds to sort texts of like sizes together
-TASK = 16 << 20  # bytes that a task sorts in all, about
+TASK = 8 << 20  # bytes that a task sorts in all, about
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
 _LONG = struct.Struct("<q")
@@ -106,14 +106,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray):
     n = len(data)
     if n < LENGTH:
         return (np.zeros(0, np.int64),) * 6
-    power = np.full(n, _P, U64)
-    power[0] = 1
-    np.cumprod(power, out=power)
+    power, back = powers(n)
     total = np.zeros(n + 1, U64)
     np.cumsum(_BYTE_CODE[data] * power, out=total[1:])
-    back = np.full(n + 1, _P_INV, U64)
-    back[0] = 1
-    np.cumprod(back, out=back)
     gram = mix((total[ANCHOR:] - total[:-ANCHOR]) * back[: n - ANCHOR + 1])
     key = (gram >> U64(32) << U64(32)) | np.arange(len(gram), dtype=U64)  # least hash, then leftmost
     least, width = key, 1
