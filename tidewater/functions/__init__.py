@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ def normalize_path(s: Column) -> Column:
 
 
 def sanitize_segment(s: Column) -> Column:
-    """Separators, reserved and control characters become ``_``; white space and dots at both ends go."""
-    return F.regexp_replace(F.regexp_replace(s, r'[/\\<>:"|?*\x00-\x1F\x7F]', "_"), r"^[\s.]+|[\s.]+$", "")
+    """Separators, reserved and control characters (C0, DEL, C1) become ``_``; Unicode spaces and dots at both ends go."""
+    return F.regexp_replace(F.regexp_replace(s, r'[/\\<>:"|?*\x00-\x1F\x7F-\x9F]', "_"), r"^[\p{Z}.]+|[\p{Z}.]+$", "")
 
 
 def escapes_root(s: Column) -> Column:
@@ -53,6 +55,123 @@ def has_flags(bits: Column, flags: int) -> Column:
     return bits.bitwiseAND(flags) == flags
 
 
+def durability_primitive(method: Column, system: Column, nvme_flush: Column, ring: Column) -> Column:
+    """What makes a write durable, by method and system; ``nvme_flush``: the drive takes flush commands, ``ring``: a submission ring is open."""
+    linux, macos, windows = (system == x for x in ("linux", "macos", "windows"))
+    on_linux = F.when(nvme_flush, "io_uring + NVMe FLUSH").when(ring, "io_uring + fdatasync").otherwise("O_DIRECT + pwrite + fdatasync")
+    on_windows = F.when(nvme_flush, "FILE_FLAG_WRITE_THROUGH + NVMe IOCTL").otherwise("FILE_FLAG_WRITE_THROUGH")
+    direct = F.when(linux, on_linux).when(macos, "F_NOCACHE + F_FULLFSYNC").when(windows, on_windows).otherwise("fsync")
+    data = F.when(linux, "fdatasync").when(macos, "F_FULLFSYNC").otherwise("fsync")
+    whole = F.when(macos, "F_FULLFSYNC").otherwise("fsync")
+    return F.when(method == "mmap", "mmap + msync").when(method == "sync", whole).when(method == "data", data).when(method == "direct", direct).otherwise("fsync")
+
+
+def is_reserved(method: Column) -> Column:
+    return method == "journal"
+
+
+def method_error(method: Column, feature: Column) -> Column:
+    """The error of choosing a method, null if it can be chosen; ``feature``: the user-space driver is compiled in (it has no backend yet)."""
+    return F.when(is_reserved(method), "UnsupportedMethod").when((method == "spdk") & ~feature, "FeatureNotEnabled").when(method == "spdk", "SpdkUnavailable")
+
+
+# Fixed values: (vendor, model) substrings of drives that keep their cache through a power loss.
+PROTECTED_DRIVES = [
+    ("INTEL", "SSDSC2KB"), ("INTEL", "SSDSC2KG"), ("SOLIDIGM", "SBFPF2BU"), ("SAMSUNG", "PM983"), ("SAMSUNG", "PM9A3"), ("SAMSUNG", "PM1735"), ("SAMSUNG", "PM1733"), ("SAMSUNG", "PM1725"),
+    ("MICRON", "7300"), ("MICRON", "7400"), ("MICRON", "7450"), ("MICRON", "9300"), ("MICRON", "9400"), ("WDC", "ULTRASTAR DC SN"), ("HGST", "ULTRASTAR SN"), ("WESTERN DIGITAL", "ULTRASTAR DC SN"),
+    ("KIOXIA", "CD"), ("KIOXIA", "CM"), ("TOSHIBA", "PX"), ("SEAGATE", "NYTRO"),
+]
+
+
+def power_loss_protection(vendor: Column, model: Column) -> Column:
+    """"yes" for drives known to be protected, else "unknown"; never "no"."""
+    known = F.lit(False)
+    for v, m in PROTECTED_DRIVES:
+        known = known | (F.upper(vendor).contains(v) & F.upper(model).contains(m))
+    return F.when(known, "yes").otherwise("unknown")
+
+
+# What a user-space driver needs.
+HUGE_PAGES_MB, CORES = 256, 4
+
+
+def skip_reasons(system: Column, huge_pages_mb: Column, privileged: Column, devices: Column, usable: Column, iommu: Column, cores: Column) -> Column:
+    """Why the user-space driver can't be used, in the order of the checks; an empty array if it can."""
+    checks = F.array(
+        F.when(huge_pages_mb < HUGE_PAGES_MB, "HugepagesNotConfigured"),
+        F.when(~privileged, "InsufficientPrivileges"),
+        F.when(devices == 0, "NoNvmeDevices"),
+        F.when((devices > 0) & (usable == 0), "AllDevicesInUse"),
+        F.when(~iommu, "IommuNotConfigured"),
+        F.when(cores < CORES, "InsufficientCores"),
+    )
+    return F.when(system != "linux", F.array(F.lit("NotLinux"))).otherwise(F.array_compact(checks))
+
+
+def first_reason(reasons: Column) -> Column:
+    return F.get(reasons, 0)
+
+
+MOST_AGE_S = 30 * 86400
+
+
+def is_stale(found: dict[str, Column], current: dict[str, Column], probed_at: Column, now: Column) -> Column:
+    """Whether a cached probe must be taken again: schema, version, kernel or system differ, or it is 30 days old (seconds; a probe in the future is new)."""
+    differs = F.lit(False)
+    for k in ("schema", "version", "kernel", "system"):
+        differs = differs | ~found[k].eqNullSafe(current[k])
+    return differs | (F.greatest(now - probed_at, F.lit(0)) >= MOST_AGE_S)
+
+
+def fits_mapping(size: Column, page: int, is_file: Column | None = None) -> Column:
+    """Whether a payload, or a regular file, holds a page at least."""
+    return size >= page if is_file is None else is_file & (size >= page)
+
+
+def current_mode(first: Column, second: Column) -> Column:
+    """The mode that the first of two settings names, else the second, else prod."""
+    return F.coalesce(mode_of(first), mode_of(second), F.lit("prod"))
+
+
+# Features of submission rings and their names.
+RING_FEATURES = {
+    "FastPoll": "fast_poll", "RegisterBuffers": "register_buffers", "RegisterFiles": "register_files", "UringCmd": "uring_cmd", "SubmitAll": "submit_all",
+    "CoopTaskrun": "coop_taskrun", "SingleIssuer": "single_issuer", "DeferTaskrun": "defer_taskrun", "SqPoll": "sqpoll",
+}
+
+
+def ring_feature_name(feature: Column) -> Column:
+    return F.create_map(*(F.lit(x) for pair in RING_FEATURES.items() for x in pair))[feature]
+
+
+def ring_feature(name: Column) -> Column:
+    """The feature of a name; null if there is none."""
+    return F.create_map(*(F.lit(x) for k, v in RING_FEATURES.items() for x in (v, k)))[name]
+
+
+def commit_window_us(us: Column) -> Column:
+    """A group-commit window in microseconds: null for none, 100 ms at most."""
+    return F.when(us > 0, F.least(us, F.lit(100_000)))
+
+
+def clamp(n: Column, low: int, high: int) -> Column:
+    """Commit batches are clamped to 1 ... 4096, shards to 1 ... 64."""
+    return F.greatest(F.lit(low), F.least(n, F.lit(high)))
+
+
+MOST_NAME = 255
+
+
+def temp_name(name: Column, owner: Column, nonce: Column, prefix: str = ".tmp") -> Column:
+    """A hidden name beside ``name`` for its replacement, <prefix>-<owner>-<nonce>.<name>; a name that would make it too long for a file system is hashed."""
+    head = F.concat(F.lit(prefix + "-"), F.lower(F.hex(owner)), F.lit("-"), F.lpad(F.lower(F.hex(nonce)), 16, "0"), F.lit("."))
+    return F.concat(head, F.when(F.octet_length(head) + F.octet_length(name) <= MOST_NAME, name).otherwise(F.lpad(F.lower(F.hex(F.xxhash64(name))), 16, "0")))
+
+
+def is_temp_name(name: Column, prefix: str = ".tmp") -> Column:
+    return name.rlike(f"^{re.escape(prefix)}-[0-9a-f]+-[0-9a-f]{{16}}\\.")
+
+
 def cache_size(s: Column) -> Column:
     """"32K", "1M" or a number of bytes; null if neither."""
     digits = F.regexp_extract(s, r"^\s*(\d+)\s*([KMkm]?)\s*$", 1)

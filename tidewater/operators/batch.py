@@ -7,13 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .lineage import cut
+from .log import running_total
 
 
-def outcomes(ops: DataFrame, batch: str, order: list[Column], failed: Column) -> DataFrame:
-    """Per batch: operations, completed before the first failure, and its index (null: none failed)."""
-    numbered = ops.select(batch, failed.alias("failed"), (F.row_number().over(Window.partitionBy(batch).orderBy(*order)) - 1).alias("op_idx"))
-    out = numbered.groupBy(batch).agg(F.count("*").alias("ops"), F.min(F.when(F.col("failed"), F.col("op_idx"))).cast("long").alias("failed_at"))
-    return out.withColumn("completed", F.coalesce("failed_at", "ops"))
+def outcomes(ops: DataFrame, batch: str, order: list[Column], failed: Column, error: Column | None = None) -> DataFrame:
+    """Per batch: operations, completed before the first failure, and its index (null: none failed).
+
+    With ``error``, also the ``error_code`` of that failure. A batch is never
+    sorted: the index is the number of operations before the first failure.
+    """
+    marked = ops.select(batch, F.struct(*order).alias("at"), failed.alias("failed"), (F.lit(None).cast("string") if error is None else error).alias("error"))
+    first = marked.where("failed").groupBy(batch).agg(F.min("at").alias("first"), F.min_by("error", "at").alias("error_code"))
+    joined = marked.join(first, batch, "left")
+    out = joined.groupBy(batch).agg(F.count("*").alias("ops"), F.count_if(F.col("at") < F.col("first")).alias("_before"), F.bool_or(F.col("first").isNotNull()).alias("_any"), F.max("error_code").alias("error_code"))
+    out = out.withColumn("failed_at", F.when(F.col("_any"), F.col("_before"))).withColumn("completed", F.coalesce("failed_at", "ops")).drop("_any", "_before")
+    return out if error is not None else out.drop("error_code")
+
+
+def build(rows: DataFrame, kind: str, path: Column, src: Column | None = None, data: Column | None = None) -> DataFrame:
+    """Operations of one kind (write, delete, copy) from rows that keep their other columns; union builders to mix kinds."""
+    none = F.lit(None)
+    return rows.select("*", F.lit(kind).alias("kind"), path.alias("path"), (none if src is None else src).cast("string").alias("src"), (none if data is None else data).cast("string").alias("data"))
 
 
 def last_write_wins(ops: DataFrame, path: str, order: str, deleted: Column) -> DataFrame:
@@ -39,8 +53,9 @@ def apply_ops(ops: DataFrame, batch: str, order: str) -> tuple[DataFrame, DataFr
     ``ops`` has ``kind`` (write, delete, copy), ``path``, ``src`` and ``data``; ``order`` is unique in a batch.
     A copy reads what its source holds just then, so it points to the last
     operation on that path before it. Pointers to other copies are followed by
-    doubling, which takes as many joins as the logarithm of the longest chain;
-    no batch is gathered in one task. A copy of nothing fails and ends its batch.
+    doubling, which takes as many joins as the logarithm of the longest chain.
+    Operations are numbered by ranges of (batch, order), so a batch of any size
+    spreads over tasks; those on one path of a batch meet in one. A copy of nothing fails and ends its batch.
     files: batch, path, origin (the write whose data it holds), data. outcomes:
     batch, ops, failed_at (null: none failed), completed, by number in the batch.
     """
@@ -49,7 +64,8 @@ def apply_ops(ops: DataFrame, batch: str, order: str) -> tuple[DataFrame, DataFr
     earlier = Window.partitionBy(batch, "place").orderBy("at", "touch").rowsBetween(Window.unboundedPreceding, -1)
     seen = touched.union(reads).withColumn("from", F.last(F.when(F.col("touch") == 1, F.col("at")), ignorenulls=True).over(earlier))
     target = seen.where("touch = 0").select(batch, F.col("at").alias(order), "from")
-    kept = ops.select(batch, order, "kind", "path", "data", (F.row_number().over(Window.partitionBy(batch).orderBy(order)) - 1).cast("long").alias("op_idx"))
+    numbered = cut(running_total(ops.select(batch, order, "kind", "path", F.lit(1).alias("one")), [batch, order], "one", "pos"))
+    kept = numbered.join(numbered.groupBy(batch).agg(F.min("pos").alias("_base")), batch).withColumn("op_idx", (F.col("pos") - F.col("_base")).cast("long"))
     # state: write, delete or nothing are settled; copy points on
     state = F.when(F.col("kind") != "copy", F.col("kind")).when(F.col("from").isNull(), "nothing").otherwise("copy")
     step = cut(kept.join(target, [batch, order], "left").select(batch, order, "kind", "path", "op_idx", state.alias("state"), F.coalesce("from", order).alias("origin")))

@@ -50,16 +50,39 @@ def append_all(old: DataFrame, appends: DataFrame, key: str, order: str, data: s
     return joined.select(key, grown.alias(data))
 
 
+def _made(tree: DataFrame, moves: DataFrame, key: str, rest: list[str]) -> DataFrame:
+    """(key, rest) of each target; of several sources the last by ``order`` wins, or the greatest where moves have none."""
+    last = F.struct(*(["order"] if "order" in moves.columns else []), "src")
+    made = tree.join(moves, tree[key] == moves["src"]).select(F.col("dst"), last.alias("_last"), F.struct(*(tree[c] for c in rest)).alias("_row"))
+    return made.groupBy("dst").agg(F.max_by("_row", "_last").alias("x")).select(F.col("dst").alias(key), *(F.col(f"x.{c}").alias(c) for c in rest))
+
+
 def copy(tree: DataFrame, moves: DataFrame, key: str) -> DataFrame:
-    """Copies (src, dst) of ``moves``, all at once: sources stay, targets are replaced, copies of nothing do nothing."""
+    """Copies (src, dst[, order]) of ``moves``, all at once from the tree as it was: sources stay, targets are replaced, copies of nothing do nothing."""
     rest = [c for c in tree.columns if c != key]
-    made = tree.join(moves, tree[key] == moves["src"]).select(F.col("dst").alias(key), *rest)
+    made = _made(tree, moves, key, rest)
     return tree.join(made.select(key), key, "left_anti").select(key, *rest).union(made)
 
 
 def rename(tree: DataFrame, moves: DataFrame, key: str) -> DataFrame:
-    """Renames (src, dst) of ``moves``, all at once: targets are replaced, renames of nothing do nothing."""
+    """Renames (src, dst[, order]) of ``moves``, all at once from the tree as it was, so swaps work: sources go, targets are replaced, renames of nothing do nothing."""
     rest = [c for c in tree.columns if c != key]
-    made = tree.join(moves, tree[key] == moves["src"]).select(F.col("dst").alias(key), *rest)
+    made = _made(tree, moves, key, rest)
     gone = made.select(key).union(moves.select("src")).distinct()
     return tree.join(gone, key, "left_anti").select(key, *rest).union(made)
+
+
+def delete(tree: DataFrame, doomed: DataFrame, key: str) -> DataFrame:
+    """The tree without the keys of ``doomed``; missing ones are no error."""
+    return tree.join(doomed.select(key), key, "left_anti").select(tree.columns)
+
+
+def exists(wanted: DataFrame, tree: DataFrame, key: str, is_file: Column | None = None) -> DataFrame:
+    """``wanted`` with ``exists``: whether it is in the tree, as a regular file where ``is_file`` is given."""
+    there = (tree if is_file is None else tree.where(is_file)).select(key).distinct().withColumn("_there", F.lit(True))
+    return wanted.join(there, key, "left").withColumn("exists", F.coalesce("_there", F.lit(False))).drop("_there")
+
+
+def meta(tree: DataFrame, key: str, content: Column, is_file: Column) -> DataFrame:
+    """(key, size, is_file, is_dir): directories have size 0."""
+    return tree.select(key, F.when(is_file, F.octet_length(content)).otherwise(0).cast("long").alias("size"), is_file.alias("is_file"), (~is_file).alias("is_dir"))

@@ -7,9 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in ``spark.checkpoint.dir``; a temporary folder only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
+def folder(spark) -> str:
+    """The shared folder; a machine-local one is taken on a local master only."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewater-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewater-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """checkpoint() in ``spark.checkpoint.dir``."""
+    folder(df.sparkSession)
     return df.checkpoint()

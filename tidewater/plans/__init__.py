@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from ..operators import batch, files, log, namespace, telemetry
+from ..operators import batch, files, lineage, log, namespace, telemetry
 from ..sources import journal
 from ..streaming import group_commit
 
@@ -44,19 +46,43 @@ def log_batch_append(spark, sf_dir):
     return log.append_batches(_t(spark, sf_dir, "conversations"), "conv_id", "text").select("conv_id", "records", "bytes", "start_lsn", "end_lsn")
 
 
-@_query(f"SELECT event_id, next_lsn - fl AS lsn FROM ({_LOG}) WHERE next_lsn - fl >= 65536")
+def _stored(spark, sf_dir):
+    return log.stored(_log(spark, sf_dir).select("event_id", "lsn", "next_lsn"), f"{lineage.folder(spark)}/log-{uuid.uuid4().hex}")
+
+
+@_query(f"SELECT event_id, next_lsn - fl AS lsn FROM ({_LOG}) WHERE next_lsn - fl >= 32768")
 def log_range_scan(spark, sf_dir):
-    return _log(spark, sf_dir).where("lsn >= 65536").select("event_id", "lsn")
+    return log.scan(_stored(spark, sf_dir), 32768).select("event_id", "lsn")
 
 
-@_query(f"SELECT event_id, next_lsn - fl AS lsn, next_lsn FROM ({_LOG}) WHERE next_lsn - fl = 0")
+@_query(f"""WITH l AS (SELECT event_id, next_lsn - fl AS lsn, next_lsn FROM ({_LOG})), w AS (SELECT CAST(unnest(range(0, 40)) * 997 AS BIGINT) AS lsn UNION SELECT lsn FROM l WHERE event_id % 100 = 0)
+SELECT w.lsn, l.event_id, l.next_lsn, CASE WHEN l.lsn IS NOT NULL THEN 'Ok' WHEN w.lsn >= (SELECT max(next_lsn) FROM l) THEN 'UnexpectedEof' ELSE 'InvalidData' END AS state FROM w LEFT JOIN l USING (lsn)""")
 def log_point_lookup(spark, sf_dir):
-    return _log(spark, sf_dir).where("lsn = 0").select("event_id", "lsn", "next_lsn")
+    """Positions of every hundredth record, and some that are no record's."""
+    stored = _stored(spark, sf_dir)
+    wanted = spark.range(40).select((F.col("id") * 997).alias("lsn")).union(stored.where("event_id % 100 = 0").select("lsn")).distinct()
+    return log.lookup(stored, wanted).select("lsn", "event_id", "next_lsn", "state")
+
+
+@_query(f"SELECT max(next_lsn) AS lsn FROM ({_LOG})")
+def log_frontier(spark, sf_dir):
+    return log.frontier(_log(spark, sf_dir))
+
 
+@_query("SELECT conv_id, records, rejected, bytes, CASE WHEN NOT rejected THEN e - bytes END AS start_lsn, CASE WHEN NOT rejected THEN e END AS end_lsn FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS e FROM (SELECT conv_id, count(*) AS records, max(strlen(text)) > 400 AS rejected, CAST(CASE WHEN max(strlen(text)) > 400 THEN 0 ELSE sum(strlen(text) + 12) END AS BIGINT) AS bytes FROM conversations GROUP BY conv_id))")
+def log_batch_reject(spark, sf_dir):
+    """With a cap of 400 bytes: a batch with a record over it is refused whole."""
+    return log.append_batches(_t(spark, sf_dir, "conversations"), "conv_id", "text", 400).select("conv_id", "records", "rejected", "bytes", "start_lsn", "end_lsn")
 
-@_query(f"""WITH l AS ({_LOG}), c AS (SELECT unnest([0, 5, 100, 1000, 4096, 65536]) AS cut)
-SELECT cut, records, clean_end, CASE WHEN cut = clean_end THEN 'CleanEnd' WHEN cut - clean_end < 8 THEN 'TruncatedHeader' ELSE 'TruncatedPayload' END AS state
-FROM (SELECT CAST(cut AS BIGINT) AS cut, count(*) FILTER (WHERE next_lsn <= cut) AS records, coalesce(max(next_lsn) FILTER (WHERE next_lsn <= cut), 0) AS clean_end FROM c LEFT JOIN l ON next_lsn - fl < cut GROUP BY cut)""")
+
+@_query("SELECT event_id, strlen(props) > 40 AS rejected, CASE WHEN strlen(props) <= 40 THEN CAST(sum(CASE WHEN strlen(props) <= 40 THEN strlen(props) + 12 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) END AS next_lsn FROM events")
+def log_record_reject(spark, sf_dir):
+    return log.assign_lsn(_t(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props", 40).select("event_id", "rejected", "next_lsn")
+
+
+@_query(f"""WITH l AS ({_LOG}), c AS (SELECT CAST(unnest([0, 5, 100, 1000, 4096, 65536]) AS BIGINT) AS cut), e AS (SELECT max(next_lsn) AS total FROM l)
+SELECT cut, records, clean_end, CASE WHEN least(cut, total) = clean_end THEN 'CleanEnd' WHEN least(cut, total) - clean_end < 8 THEN 'TruncatedHeader' ELSE 'TruncatedPayload' END AS state
+FROM (SELECT cut, count(*) FILTER (WHERE next_lsn <= cut) AS records, coalesce(max(next_lsn) FILTER (WHERE next_lsn <= cut), 0) AS clean_end FROM c LEFT JOIN l ON next_lsn - fl < cut GROUP BY cut), e""")
 def log_torn_tail(spark, sf_dir):
     cuts = spark.createDataFrame([(x,) for x in (0, 5, 100, 1000, 4096, 65536)], "cut long")
     return log.torn_tails(_log(spark, sf_dir), cuts).select("cut", "records", "clean_end", "state")
@@ -87,28 +113,98 @@ def frame_header_hex(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", log.frame_header_hex(F.col("text")).alias("header"))
 
 
-def _crc_query(spark, sf_dir):
-    """The checksum of every document's frame; DuckDB has no CRC-32C, so known answers test it."""
-    return _t(spark, sf_dir, "documents").select("doc_id", journal.frame_crc(F.col("text").cast("binary")).alias("crc32c"))
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 1, 2, 3, 4, 5, 6, 7], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 2197175160) ELSE r >> 1 END))"
+
+
+@_query(f"""WITH t AS (SELECT {_CRC_TABLE} AS t), b AS (SELECT event_id, '46535901' || printf('%02x%02x0000', strlen(props) % 256, strlen(props) // 256) || hex(encode(props)) AS h FROM events),
+f AS (SELECT event_id, list_transform(range(strlen(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT)) AS f FROM b)
+SELECT event_id, xor(list_reduce(list_prepend(4294967295, f), lambda c, x: xor(t[CAST(xor(c, x) & 255 AS INTEGER) + 1], c >> 8)), 4294967295) AS crc32c FROM f, t""")
+def frame_crc32c(spark, sf_dir):
+    """The checksum of every event's frame."""
+    return _t(spark, sf_dir, "events").select("event_id", journal.frame_crc(F.col("props").cast("binary")).alias("crc32c"))
+
+
+def _logged(spark, sf_dir):
+    """The events' payloads appended to a log of files, in two commits."""
+    path = f"{lineage.folder(spark)}/log-{uuid.uuid4().hex}"
+    events = _t(spark, sf_dir, "events").select("event_id", "props")
+    for half in (events.where("event_id < 500"), events.where("event_id >= 500")):
+        journal.append(half, ["event_id"], "props", path)
+    return path
+
+
+_FILE_LOG = "SELECT event_id, props, CAST(sum(strlen(props) + 12) OVER (ORDER BY event_id) AS BIGINT) AS next_lsn, strlen(props) + 12 AS fl FROM events"
+
+
+@_query(f"SELECT next_lsn - fl AS lsn, next_lsn, md5(props) AS digest FROM ({_FILE_LOG})")
+def log_read_frames(spark, sf_dir):
+    """A log written to files and read back, in ranges of 64 KiB."""
+    return journal.read_segments(spark, _logged(spark, sf_dir), 1 << 16).select("lsn", "next_lsn", F.md5("payload").alias("digest"))
+
+
+def _broken_logs(spark, sf_dir):
+    """Three logs of the regions' names: whole, torn and with a byte wrong."""
+    names = [r["r_name"].encode() for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]  # five rows
+    whole = b"".join(map(journal.encode_frame, names))
+    broken = bytearray(whole)
+    broken[len(journal.encode_frame(names[0])) + 8] ^= 1
+    path = f"{lineage.folder(spark)}/log-{uuid.uuid4().hex}"
+    for name, data in (("0.log", whole + bytes(77)), ("1.log", whole[:-3]), ("2.log", bytes(broken))):
+        journal.put(f"{path}/{name}", data)
+    return path
+
+
+_LENGTHS = "SELECT CAST(sum(strlen(r_name) + 12) AS BIGINT) AS whole, CAST(sum(CASE WHEN r_regionkey < 4 THEN strlen(r_name) + 12 END) AS BIGINT) AS four, CAST(sum(CASE WHEN r_regionkey < 1 THEN strlen(r_name) + 12 END) AS BIGINT) AS one FROM region"
+
+
+@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole + 77, whole - 3, whole]) AS file_len, unnest([whole, four, one]) AS clean_end, unnest([5, 4, 1]) AS records, unnest(['CleanEnd', 'TruncatedPayload', 'ChecksumMismatch']) AS state FROM ({_LENGTHS})")
+def log_tails(spark, sf_dir):
+    tails = journal.log_tails(spark, _broken_logs(spark, sf_dir))
+    return tails.select(F.regexp_extract("path", r"(\d)\.log$", 1).cast("int").alias("log"), "file_len", "clean_end", "records", "state")
 
 
-QUERIES["frame_crc32c"] = _crc_query
+@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole, four, one]) AS clean_end, unnest(['Zeros', 'Preserved', 'Preserved']) AS tail, unnest([NULL, '1.log.corrupt-' || four, '2.log.corrupt-' || one]) AS sidecar, unnest([whole, four, one]) AS new_len FROM ({_LENGTHS})")
+def log_repair(spark, sf_dir):
+    """Logs cut back to their clean ends, tails saved; and what the logs look like then."""
+    path = _broken_logs(spark, sf_dir)
+    done, after = journal.repair(spark, path), journal.log_tails(spark, path).select("path", F.col("file_len").alias("new_len"))
+    return done.join(after, "path").select(F.regexp_extract("path", r"(\d)\.log$", 1).cast("int").alias("log"), "clean_end", "tail", "sidecar", "new_len")
 
 
+@_query(f"SELECT unnest([0, 0, 0]) AS log, unnest([0, one, whole]) AS lsn, unnest(['Ok', 'Ok', 'InvalidData']) AS state, unnest([(SELECT r_name FROM region WHERE r_regionkey = 0), (SELECT r_name FROM region WHERE r_regionkey = 1), NULL]) AS payload FROM ({_LENGTHS})")
+def log_read_at(spark, sf_dir):
+    """Two records by their positions, and the zeros behind the last."""
+    path = _broken_logs(spark, sf_dir) + "/0.log"
+    ends = [r["r_name"] for r in _t(spark, sf_dir, "region").orderBy("r_regionkey").collect()]
+    places = (0, 12 + len(ends[0]), sum(12 + len(n) for n in ends))
+    out = [journal.read_at(spark, path, lsn) for lsn in places]
+    return out[0].union(out[1]).union(out[2]).select(F.lit(0).alias("log"), "lsn", "state", F.col("payload").cast("string").alias("payload"))
+
+
+@_query("""WITH RECURSIVE p AS (SELECT user_id, event_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE event_type = 'purchase'),
+w AS (SELECT user_id, event_id, r, event_id AS leader_id, ts AS lead, 0 AS n FROM p WHERE r = 1
+  UNION ALL SELECT p.user_id, p.event_id, p.r, CASE WHEN p.ts >= w.lead + INTERVAL 3600 SECOND OR w.n >= 8 THEN p.event_id ELSE w.leader_id END, CASE WHEN p.ts >= w.lead + INTERVAL 3600 SECOND OR w.n >= 8 THEN p.ts ELSE w.lead END, CASE WHEN p.ts >= w.lead + INTERVAL 3600 SECOND OR w.n >= 8 THEN 0 ELSE w.n + 1 END FROM w JOIN p ON p.user_id = w.user_id AND p.r = w.r + 1)
+SELECT user_id, event_id, leader_id, CAST(n AS BIGINT) AS followers_before FROM w""")
 def log_group_commit(spark, sf_dir):
     """Sync requests (purchases) of a user gathered into commits: 3600 s or 8 followers, whichever is first."""
     return group_commit.commits(_t(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts"), window_s=3600.0, most_followers=8)
 
 
-QUERIES["log_group_commit"] = log_group_commit
-
-
 @_query("SELECT l_orderkey, count(*) AS ops, min(i) FILTER (WHERE l_returnflag = 'R') AS failed_at, coalesce(min(i) FILTER (WHERE l_returnflag = 'R'), count(*)) AS completed FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
 def batch_partial_failure(spark, sf_dir):
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")]
     return batch.outcomes(_t(spark, sf_dir, "lineitem"), "l_orderkey", order, F.col("l_returnflag") == "R").select("l_orderkey", "ops", "failed_at", "completed")
 
 
+@_query("SELECT conv_id, count(*) AS ops, min(i) FILTER (WHERE turn % 5 = 3) AS failed_at, coalesce(min(i) FILTER (WHERE turn % 5 = 3), count(*)) AS completed, CASE WHEN count(*) FILTER (WHERE turn % 5 = 3) > 0 THEN 'FS-00001' END AS error_code FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id")
+def batch_error_codes(spark, sf_dir):
+    """Two kinds of operations from builders; the fourth of a batch's turns fails."""
+    turns = _t(spark, sf_dir, "conversations")
+    path = F.col("role")
+    ops = batch.build(turns.where("role = 'user'"), "write", path, data=F.col("text")).union(batch.build(turns.where("role <> 'user'"), "delete", path))
+    return batch.outcomes(ops, "conv_id", [F.col("turn")], F.col("turn") % 5 == 3, F.lit("FS-00001")).select("conv_id", "ops", "failed_at", "completed", "error_code")
+
+
 @_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
 def batch_last_write_wins(spark, sf_dir):
     return batch.last_write_wins(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error")
@@ -150,12 +246,18 @@ def file_write_copy(spark, sf_dir):
 @_query("SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)")
 def file_delete_anti(spark, sf_dir):
     gone = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey")).distinct()
-    return _t(spark, sf_dir, "part").join(gone, "p_partkey", "left_anti").select("p_partkey", "p_name")
+    return files.delete(_t(spark, sf_dir, "part"), gone, "p_partkey").select("p_partkey", "p_name")
+
+
+@_query("SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F') AS \"exists\" FROM customer")
+def file_exists(spark, sf_dir):
+    tree = _t(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey")
+    return files.exists(_t(spark, sf_dir, "customer").select("c_custkey"), tree, "c_custkey", F.col("o_orderstatus") == "F")
 
 
-@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)")
-def file_exists_semi(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").join(_t(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey", "c_name")
+@_query("SELECT doc_id, CASE WHEN lang = 'en' THEN strlen(text) ELSE 0 END AS size, lang = 'en' AS is_file, lang <> 'en' AS is_dir FROM documents")
+def file_meta(spark, sf_dir):
+    return files.meta(_t(spark, sf_dir, "documents"), "doc_id", F.col("text"), F.col("lang") == "en")
 
 
 def _bytes(spark, sf_dir, change):
@@ -227,21 +329,55 @@ def ns_brace_find(spark, sf_dir):
     return namespace.find(_t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")), "**/{de,fr}/*")
 
 
+@_query(f"SELECT page_id, path FROM (SELECT page_id, {_URL} AS path FROM pages) WHERE regexp_full_match(path, '[^/]*/[^a-e/][^/]*/[^/]*[0-4]\\.[a-z][^/]*')")
+def ns_class_find(spark, sf_dir):
+    return namespace.find(_t(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path")), "./*/[!a-e]*/*[0-4].[a-z]*")
+
+
+@_query(f"SELECT path, is_file FROM ({_TREE}) WHERE NOT is_file AND path LIKE 'A%/%'")
+def ns_find_dirs(spark, sf_dir):
+    """A pattern that ends in ** finds directories only."""
+    return namespace.find(_tree(spark, sf_dir), "A*/**", ~F.col("is_file"))
+
+
+@_query(f"""WITH t AS ({_TREE}), w AS (SELECT n_name AS path FROM nation UNION ALL SELECT r_name || '/NEW' FROM region UNION ALL SELECT r_name || '/NEW' FROM region WHERE r_regionkey = 1 UNION ALL SELECT r_name || '/NEW/SUB' FROM region UNION ALL SELECT r_name FROM region),
+o AS (SELECT path, count(*) AS asked FROM w GROUP BY path),
+s AS (SELECT path, asked, CASE WHEN path IN (SELECT path FROM t) THEN 'AlreadyExists' WHEN path LIKE '%/%' AND regexp_replace(path, '/[^/]*$', '') NOT IN (SELECT path FROM t WHERE NOT is_file) THEN 'NotFound' ELSE 'made' END AS state FROM o)
+SELECT path, state, CASE WHEN state = 'made' THEN asked - 1 ELSE asked END AS errors FROM s""")
+def ns_mkdir(spark, sf_dir):
+    region, nation = _t(spark, sf_dir, "region"), _t(spark, sf_dir, "nation")
+    new = region.select(F.concat("r_name", F.lit("/NEW")))
+    wanted = nation.select("n_name").union(new).union(region.where("r_regionkey = 1").select(F.concat("r_name", F.lit("/NEW")))).union(region.select(F.concat("r_name", F.lit("/NEW/SUB")))).union(region.select("r_name"))
+    return namespace.make_dirs(_tree(spark, sf_dir), wanted.toDF("path"))
+
+
+@_query(f"SELECT path, path IN ('ASIA/JAPAN', 'ASIA/INDIA') AS failed FROM ({_TREE}) WHERE path LIKE 'ASIA/%' AND path NOT LIKE 'ASIA/JAPAN/%' AND path NOT LIKE 'ASIA/INDIA/%'")
+def ns_scan_partial(spark, sf_dir):
+    unreadable = spark.createDataFrame([("ASIA/JAPAN",), ("ASIA/INDIA",), ("EUROPE",)], "path string")
+    return namespace.scan_partial(_tree(spark, sf_dir), "ASIA", unreadable).select("path", "failed")
+
+
 @_query(r"SELECT page_id, array_to_string(list_filter(regexp_split_to_array(url, '[/\\]'), lambda x: x <> ''), '/') AS path FROM pages")
 def path_normalize(spark, sf_dir):
     return _t(spark, sf_dir, "pages").select("page_id", fn.normalize_path(F.col("url")).alias("path"))
 
 
-@_query(r"""SELECT page_id, regexp_replace(regexp_replace(url, '[/\\<>:"|?*\x00-\x1F\x7F]', '_', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS segment FROM pages""")
+@_query(r"""SELECT page_id, regexp_replace(regexp_replace(chr(160) || ' .' || url || chr(133) || chr(8195) || '. ', '[/\\<>:"|?*\x00-\x1F\x7F-\x{9F}]', '_', 'g'), '^[\pZ.]+|[\pZ.]+$', '', 'g') AS segment FROM pages""")
 def path_sanitize(spark, sf_dir):
-    return _t(spark, sf_dir, "pages").select("page_id", fn.sanitize_segment(F.col("url")).alias("segment"))
+    """Around each url a no-break space, a dot, a C1 control character and an em space."""
+    framed = F.concat(F.lit("\u00a0 ."), F.col("url"), F.lit("\u0085\u2003. "))
+    return _t(spark, sf_dir, "pages").select("page_id", fn.sanitize_segment(framed).alias("segment"))
 
 
-@_query("SELECT s_suppkey, lpad(lower(hex(s_suppkey % 65536)), 4, '0') || ':' || lpad(lower(hex(s_suppkey % 256)), 2, '0') || ':' || lpad(lower(hex(s_suppkey % 32)), 2, '0') || '.' || lower(hex(s_suppkey % 8)) AS address, CAST(s_suppkey % 256 AS INTEGER) AS bus FROM supplier")
+@_query("""SELECT s_suppkey, lpad(lower(hex(s_suppkey % 65536)), 4, '0') || ':' || lpad(lower(hex(s_suppkey % 256)), 2, '0') || ':' || lpad(lower(hex(s_suppkey % 32)), 2, '0') || '.' || lower(hex(s_suppkey % 8)) AS address,
+CASE WHEN s_suppkey % 5 = 0 THEN 0 WHEN s_suppkey % 5 < 4 THEN s_suppkey % 65536 END AS domain, CASE WHEN s_suppkey % 5 < 4 THEN s_suppkey % 256 END AS bus, CASE WHEN s_suppkey % 5 < 4 THEN s_suppkey % 32 END AS device, CASE WHEN s_suppkey % 5 < 4 THEN s_suppkey % 8 END AS function FROM supplier""")
 def pci_round_trip(spark, sf_dir):
+    """Every fifth address is read without its domain, every fifth is broken."""
     k = F.col("s_suppkey")
     out = _t(spark, sf_dir, "supplier").select("s_suppkey", fn.pci_format(k % 65536, k % 256, k % 32, k % 8).alias("address"))
-    return out.withColumn("bus", fn.pci_parse(F.col("address"))["bus"])
+    raw = F.when(k % 5 == 0, F.regexp_replace("address", "^[^:]*:", "")).when(k % 5 == 4, F.concat("address", F.lit("x"))).otherwise(F.col("address"))
+    read = fn.pci_parse(raw)
+    return out.select("s_suppkey", "address", *(read[c].cast("long").alias(c) for c in ("domain", "bus", "device", "function")))
 
 
 @_query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 AND p_size > 25 THEN 'direct' WHEN p_size % 4 IN (0, 1) THEN 'data' ELSE 'sync' END AS method FROM part")
@@ -260,16 +396,94 @@ def align_up(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", fn.align_up(F.col("n_chars"), 512).alias("aligned"))
 
 
-@_query("SELECT o_orderkey, o_orderpriority <> '1-URGENT' OR o_orderstatus = 'F' OR date_diff('second', o_orderdate, TIMESTAMP '1998-08-02') >= 30 * 86400 AS stale FROM orders")
+@_query("SELECT o_orderkey, o_orderkey % 11 <> 3 OR o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 2 = 0 OR date_diff('second', o_orderdate, TIMESTAMP '1995-08-02') >= 30 * 86400 AS stale FROM orders")
 def capability_stale(spark, sf_dir):
-    age = F.lit("1998-08-02").cast("timestamp").cast("long") - F.col("o_orderdate").cast("timestamp").cast("long")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", ((F.col("o_orderpriority") != "1-URGENT") | (F.col("o_orderstatus") == "F") | (age >= 30 * 86400)).alias("stale"))
+    found = {"schema": F.col("o_orderkey") % 11, "version": F.col("o_orderpriority"), "kernel": F.col("o_orderstatus"), "system": F.col("o_custkey") % 2}
+    current = {"schema": F.lit(3), "version": F.lit("1-URGENT"), "kernel": F.lit("F"), "system": F.lit(1)}
+    seconds = lambda c: c.cast("timestamp").cast("long")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", fn.is_stale(found, current, seconds(F.col("o_orderdate")), seconds(F.lit("1995-08-02"))).alias("stale"))
 
 
-@_query("SELECT p_partkey, array_to_string(list_filter([CASE WHEN p_size < 10 THEN 'memory' END, CASE WHEN p_retailprice < 1000 THEN 'privilege' END, CASE WHEN p_size % 2 = 1 THEN 'cores' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part")
+@_query("""SELECT p_partkey, array_to_string(r, ',') AS reasons, r[1] AS first FROM (SELECT p_partkey, CASE WHEN p_partkey % 9 = 0 THEN ['NotLinux'] ELSE list_filter([CASE WHEN p_size * 10 < 256 THEN 'HugepagesNotConfigured' END, CASE WHEN p_retailprice < 1000 THEN 'InsufficientPrivileges' END,
+CASE WHEN p_partkey % 4 = 0 THEN 'NoNvmeDevices' END, CASE WHEN p_partkey % 4 > 0 AND p_partkey % 4 - p_partkey % 3 <= 0 THEN 'AllDevicesInUse' END, CASE WHEN p_partkey % 2 = 1 THEN 'IommuNotConfigured' END, CASE WHEN p_size % 8 < 4 THEN 'InsufficientCores' END], lambda x: x IS NOT NULL) END AS r FROM part)""")
 def skip_reasons(spark, sf_dir):
-    checks = F.array(F.when(F.col("p_size") < 10, "memory"), F.when(F.col("p_retailprice") < 1000, "privilege"), F.when(F.col("p_size") % 2 == 1, "cores"))
-    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(F.array_compact(checks), ",").alias("reasons"))
+    k, size = F.col("p_partkey"), F.col("p_size")
+    reasons = fn.skip_reasons(F.when(k % 9 == 0, "macos").otherwise("linux"), size * 10, F.col("p_retailprice") >= 1000, k % 4, F.greatest(k % 4 - k % 3, F.lit(0)), k % 2 == 0, size % 8)
+    return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(reasons, ",").alias("reasons"), fn.first_reason(reasons).alias("first"))
+
+
+@_query("""SELECT p_partkey, CASE m WHEN 'mmap' THEN 'mmap + msync' WHEN 'sync' THEN CASE s WHEN 'macos' THEN 'F_FULLFSYNC' ELSE 'fsync' END
+WHEN 'data' THEN CASE s WHEN 'linux' THEN 'fdatasync' WHEN 'macos' THEN 'F_FULLFSYNC' ELSE 'fsync' END
+WHEN 'direct' THEN CASE WHEN s = 'linux' AND nvme THEN 'io_uring + NVMe FLUSH' WHEN s = 'linux' AND ring THEN 'io_uring + fdatasync' WHEN s = 'linux' THEN 'O_DIRECT + pwrite + fdatasync' WHEN s = 'macos' THEN 'F_NOCACHE + F_FULLFSYNC' WHEN s = 'windows' AND nvme THEN 'FILE_FLAG_WRITE_THROUGH + NVMe IOCTL' WHEN s = 'windows' THEN 'FILE_FLAG_WRITE_THROUGH' ELSE 'fsync' END ELSE 'fsync' END AS primitive,
+CASE WHEN m = 'journal' THEN 'UnsupportedMethod' WHEN m = 'spdk' AND NOT ring THEN 'FeatureNotEnabled' WHEN m = 'spdk' THEN 'SpdkUnavailable' END AS error
+FROM (SELECT p_partkey, ['mmap', 'sync', 'data', 'direct', 'journal', 'spdk'][p_partkey % 6 + 1] AS m, ['linux', 'macos', 'windows', 'bsd'][p_size % 4 + 1] AS s, p_retailprice > 1200 AS nvme, p_size > 25 AS ring FROM part)""")
+def durability_ladder(spark, sf_dir):
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    method, system = pick(("mmap", "sync", "data", "direct", "journal", "spdk"), F.col("p_partkey") % 6), pick(("linux", "macos", "windows", "bsd"), F.col("p_size") % 4)
+    nvme, ring = F.col("p_retailprice") > 1200, F.col("p_size") > 25
+    return _t(spark, sf_dir, "part").select("p_partkey", fn.durability_primitive(method, system, nvme, ring).alias("primitive"), fn.method_error(method, ring).alias("error"))
+
+
+_DRIVES = ["Intel SSDSC2KB019", "samsung pm9a3", "Samsung 990 PRO", "WDC Ultrastar DC SN640", "KIOXIA CD6", "Intel 660p", "Micron_7450", "Seagate Nytro 5050", "Toshiba PX05", "none"]
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 10 IN (0, 1, 3, 4, 6, 7, 8) THEN 'yes' ELSE 'unknown' END AS protection FROM part")
+def power_loss_protection(spark, sf_dir):
+    name = F.element_at(F.array(*map(F.lit, _DRIVES)), (F.col("p_partkey") % 10 + 1).cast("int"))
+    return _t(spark, sf_dir, "part").select("p_partkey", fn.power_loss_protection(name, name).alias("protection"))
+
+
+@_query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1048576 WHEN 2 THEN p_size END AS cache, CASE WHEN p_size % 3 = 0 THEN 'nvme' WHEN p_size % 4 = 0 THEN 'ssd' WHEN p_size % 4 = 1 THEN 'hdd' ELSE 'unknown' END AS drive,
+CASE WHEN p_size % 3 = 0 THEN 'dev' WHEN p_size % 3 = 1 THEN 'prod' WHEN p_size % 2 = 0 THEN 'dev' ELSE 'prod' END AS mode, CASE WHEN p_size % 2 = 0 THEN p_size * 1024 ELSE 0 END AS kib, CASE WHEN p_size % 2 = 0 THEN p_size END AS total,
+CASE WHEN p_size % 7 > 0 THEN (p_size + 1) * 512 END AS atomic_unit, replace(replace(p_name, ' ', chr(92) || 'n'), 'e', chr(92) || '"') AS escaped FROM part""")
+def word_parsers(spark, sf_dir):
+    """Cache sizes, drives, modes, sizes with units, fields, atomic units and escapes, read from texts made of each part."""
+    n, k = F.col("p_size"), F.col("p_size").cast("string")
+    cache = F.when(n % 5 == 0, F.concat(k, F.lit("K"))).when(n % 5 == 1, F.concat(k, F.lit("M"))).when(n % 5 == 2, k).otherwise(F.concat(F.lit("x"), k))
+    first = F.when(n % 3 == 0, " Debug ").when(n % 3 == 1, "RELEASE").otherwise("staging")
+    second = F.when(n % 2 == 0, "development").otherwise("?")
+    line = F.when(n % 2 == 0, F.concat(F.lit("MemTotal:   "), k, F.lit(" kB"))).otherwise(F.concat(F.lit("MemFree: "), k, F.lit(" kB")))
+    raw = F.replace(F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit("e"), F.lit('\x01"'))
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", fn.cache_size(cache).alias("cache"), fn.drive_kind(F.when(n % 3 == 0, "nvme0n1").otherwise("sda"), n % 4).alias("drive"), fn.current_mode(first, second).alias("mode"),
+        fn.kib(F.when(n % 2 == 0, F.concat(k, F.lit(" kB"))).otherwise("many")).alias("kib"), fn.field_of(line, "MemTotal").alias("total"),
+        fn.atomic_write_unit(F.when(n % 7 > 0, n), F.lit(512)).alias("atomic_unit"), fn.escape_quoted(raw).alias("escaped"),
+    )
+
+
+@_query("""SELECT p_partkey, CASE WHEN w > 0 THEN least(w, 100000) END AS window_us, greatest(1, least(p_size * 200 - 1000, 4096)) AS most, greatest(1, least(p_size * 2 - 5, 64)) AS shards, p_size * 100 >= 4096 AS write_mapped, p_size % 2 = 0 AND p_size * 100 >= 4096 AS read_mapped
+FROM (SELECT p_partkey, p_size, (p_partkey % 4) * 50000 AS w FROM part)""")
+def option_clamps(spark, sf_dir):
+    n, window = F.col("p_size"), F.col("p_partkey") % 4 * 50000
+    return _t(spark, sf_dir, "part").select(
+        "p_partkey", fn.commit_window_us(window).alias("window_us"), fn.clamp(n * 200 - 1000, 1, 4096).alias("most"), fn.clamp(n * 2 - 5, 1, 64).alias("shards"),
+        fn.fits_mapping(n * 100, 4096).alias("write_mapped"), fn.fits_mapping(n * 100, 4096, n % 2 == 0).alias("read_mapped"),
+    )
+
+
+@_query("SELECT event_id, CASE WHEN event_id % 10 < 9 THEN ['fast_poll', 'register_buffers', 'register_files', 'uring_cmd', 'submit_all', 'coop_taskrun', 'single_issuer', 'defer_taskrun', 'sqpoll'][event_id % 10 + 1] END AS name, CASE WHEN event_id % 10 < 9 THEN event_id % 10 END AS place FROM events")
+def ring_features(spark, sf_dir):
+    k = F.col("event_id") % 10
+    feature = F.element_at(F.array(*map(F.lit, [*fn.RING_FEATURES, "Other"])), (k + 1).cast("int"))
+    back = fn.ring_feature(fn.ring_feature_name(feature))
+    return _t(spark, sf_dir, "events").select("event_id", fn.ring_feature_name(feature).alias("name"), F.when(back.eqNullSafe(feature) & back.isNotNull(), k).alias("place"))
+
+
+@_query("SELECT page_id, strlen(url) * 4 + 5 + strlen(lower(hex(page_id))) + 18 <= 255 AS kept, true AS fits, true AS known FROM pages")
+def temp_names(spark, sf_dir):
+    """Of names four urls long: kept or hashed, never over 255 bytes."""
+    name = F.repeat("url", 4)
+    made = fn.temp_name(name, F.col("page_id"), F.xxhash64("url"))
+    return _t(spark, sf_dir, "pages").select("page_id", made.endswith(name).alias("kept"), (F.octet_length(made) <= 255).alias("fits"), fn.is_temp_name(made).alias("known"))
+
+
+@_query("SELECT conv_id, count(DISTINCT s) = 1 AND min(s) >= 0 AND max(s) < 7 AS whole FROM (SELECT conv_id, 0 AS s FROM conversations) GROUP BY conv_id")
+def batch_shards(spark, sf_dir):
+    """All operations of a batch are in the shard of its first path."""
+    ops = _t(spark, sf_dir, "conversations")
+    first = ops.groupBy("conv_id").agg(F.min_by("text", "turn").alias("path"))
+    dealt = ops.join(first, "conv_id").withColumn("s", batch.shard(F.col("path"), 7))
+    return dealt.groupBy("conv_id").agg(((F.count_distinct("s") == 1) & (F.min("s") >= 0) & (F.max("s") < 7)).alias("whole"))
 
 
 @_query("SELECT event_type, count(*) AS calls, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY event_type")
@@ -294,12 +508,37 @@ def tel_tail_verdict(spark, sf_dir):
     return telemetry.tail_verdict(_ranked(spark, sf_dir)).select("event_type", "status")
 
 
-@_query("SELECT year, CASE WHEN pct IS NULL THEN 'skipped' WHEN pct <= 5 THEN 'pass' WHEN pct <= 10 THEN 'critical' WHEN pct <= 25 THEN 'standard' ELSE 'loose' END AS gate FROM (SELECT year, 100.0 * (n - lag(n) OVER (ORDER BY year)) / lag(n) OVER (ORDER BY year) AS pct FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n FROM lineitem GROUP BY 1))")
+@_query("""SELECT year, strictness, CASE WHEN pct IS NULL THEN 'skipped' WHEN strictness = 'critical' THEN CASE WHEN pct > 5 THEN 'fail' ELSE 'pass' END WHEN strictness = 'standard' THEN CASE WHEN pct > 10 THEN 'fail' ELSE 'pass' END ELSE CASE WHEN pct > 25 THEN 'warn' ELSE 'pass' END END AS gate
+FROM (SELECT year, 100.0 * (n - lag(n) OVER (ORDER BY year)) / lag(n) OVER (ORDER BY year) AS pct FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, count(*) AS n FROM lineitem GROUP BY 1)), (SELECT unnest(['critical', 'standard', 'loose']) AS strictness)""")
 def tel_regression_gate(spark, sf_dir):
+    """Years against the year before, once as a benchmark of each class."""
     years = _t(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year")).agg(F.count("*").alias("n"))
     before = years.select((F.col("year") + 1).alias("year"), F.col("n").alias("base"))
     pct = 100.0 * (F.col("n") - F.col("base")) / F.col("base")
-    return years.join(before, "year", "left").select("year", telemetry.regression(pct).alias("gate"))
+    each = years.join(before, "year", "left").select("year", pct.alias("pct"), F.explode(F.array(*map(F.lit, telemetry.LIMITS))).alias("strictness"))
+    return each.select("year", "strictness", telemetry.regression(F.col("pct"), F.col("strictness")).alias("gate"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_size % 4 < 2 THEN 'write_' || p_size END AS name, CASE WHEN p_size % 4 = 0 THEN p_size + 0.5 END AS value FROM part")
+def tel_baselines(spark, sf_dir):
+    """Lines of a file of baselines: numbers, null, other words, and keys that begin with an underscore."""
+    n, k = F.col("p_size"), F.col("p_size").cast("string")
+    value = F.when(n % 4 == 0, F.concat(k, F.lit(".5"))).when(n % 4 == 1, F.lit("null")).otherwise('"text"')
+    line = F.concat(F.lit('    "'), F.when(n % 4 == 3, "_").otherwise(""), F.lit("write_"), k, F.lit('": '), value, F.lit(","))
+    got = telemetry.baselines(line)
+    return _t(spark, sf_dir, "part").select("p_partkey", got["name"].alias("name"), got["value"].alias("value"))
+
+
+@_query("SELECT conv_id, records, CASE WHEN error THEN 0 ELSE bytes END AS bytes, error FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes, max(strlen(text)) > 400 AS error FROM conversations GROUP BY conv_id)")
+def tel_append_events(spark, sf_dir):
+    return telemetry.append_events(_t(spark, sf_dir, "conversations"), "conv_id", "text", F.octet_length("text") > 400)
+
+
+@_query("SELECT event_type AS kind, CAST(sum(CASE WHEN value > 100 THEN 0 ELSE strlen(props) END) AS BIGINT) AS bytes, CAST(sum(event_id % 1000) AS BIGINT) AS duration_ns, CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS errors FROM (SELECT event_id, value, props, CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'write' ELSE 'read_at' END AS event_type FROM events) WHERE event_type IN ('read', 'write') GROUP BY 1")
+def tel_io_events(spark, sf_dir):
+    op = F.when(F.col("event_type") == "click", "read").when(F.col("event_type") == "view", "write").otherwise("read_at")
+    events = telemetry.io_events(_t(spark, sf_dir, "events"), op, F.octet_length("props"), F.col("event_id") % 1000, F.col("value") > 100)
+    return events.groupBy("kind").agg(F.sum("bytes").alias("bytes"), F.sum("duration_ns").alias("duration_ns"), F.count_if("error").alias("errors"))
 
 
 @_query("SELECT event_id, lsn, previous_end FROM (SELECT event_id, next_lsn - fl AS lsn, lag(next_lsn) OVER (ORDER BY event_id) AS previous_end FROM (" + _LOG + ") WHERE event_id % 1000 <> 7) WHERE previous_end <> lsn")
@@ -340,11 +579,12 @@ def file_append(spark, sf_dir):
     return grown.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_MOVED = "WITH m AS (SELECT p_partkey + 1 AS d, p_name FROM part WHERE p_size = 1) SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT d FROM m)"
+_MOVED = "WITH a AS (SELECT p_partkey AS src, (p_partkey // 7) * 7 AS dst, p_name FROM part WHERE p_size < 4), m AS (SELECT dst AS d, arg_max(p_name, src) AS p_name FROM a GROUP BY dst) SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT d FROM m)"
 
 
 def _moves(spark, sf_dir):
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "part").where("p_size = 1").select(F.col("p_partkey").alias("src"), (F.col("p_partkey") + 1).alias("dst"))
+    """Several parts go to one number, some to their own."""
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "part").where("p_size < 4").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 7 * 7").alias("dst"))
 
 
 @_query(f"{_MOVED} UNION ALL SELECT d, p_name FROM m")
@@ -352,7 +592,7 @@ def file_copy(spark, sf_dir):
     return files.copy(*_moves(spark, sf_dir), "p_partkey")
 
 
-@_query(f"{_MOVED} AND p_size <> 1 UNION ALL SELECT d, p_name FROM m")
+@_query(f"{_MOVED} AND p_size >= 4 UNION ALL SELECT d, p_name FROM m")
 def file_rename(spark, sf_dir):
     return files.rename(*_moves(spark, sf_dir), "p_partkey")
 

@@ -22,17 +22,18 @@ BLOCK = 1 << 14  # rows of a block of positions, as long as a commit is shorter
 _SCHEMA = "user_id long, event_id long, leader_id long, followers_before long"
 
 
-def _assign(rows: pd.DataFrame, open_: tuple | None, window_s: float, most: int) -> tuple[pd.DataFrame, tuple | None]:
-    """``open_``: (leader's id, leader's time in seconds, followers so far)."""
-    out = []
+def _assign(rows: pd.DataFrame, open_: tuple | None, window_s: float, most: int) -> tuple[pd.DataFrame, tuple | None, list[tuple]]:
+    """(leaders of the rows, open commit, closed commits); a commit: (leader's id, leader's time in seconds, followers so far)."""
+    out, closed = [], []
     for user, event, ts in rows[["user_id", "event_id", "ts"]].itertuples(index=False):
         now = ts.timestamp()
         if open_ is None or now >= open_[1] + window_s or open_[2] >= most:
+            closed += [open_] if open_ else []
             open_ = (event, now, 0)
         else:
             open_ = (open_[0], open_[1], open_[2] + 1)
         out.append((user, event, open_[0], open_[2]))
-    return pd.DataFrame(out, columns=["user_id", "event_id", "leader_id", "followers_before"]), open_
+    return pd.DataFrame(out, columns=["user_id", "event_id", "leader_id", "followers_before"]), open_, closed
 
 
 def commits(requests: DataFrame, window_s: float, most_followers: int) -> DataFrame:
@@ -77,8 +78,36 @@ def stream_commits(requests: DataFrame, window_s: float, most_followers: int) ->
     def run(key, batches, state):
         open_ = state.get if state.exists else None
         rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        out, open_ = _assign(rows, open_, window_s, most_followers)
+        out, open_, _ = _assign(rows, open_, window_s, most_followers)
         state.update(open_)
         yield out
 
     return requests.groupBy("user_id").applyInPandasWithState(run, _SCHEMA, "leader_id long, at double, followers long", "append", GroupStateTimeout.NoTimeout)
+
+
+def stream_syncs(requests: DataFrame, window_s: float, most_followers: int) -> DataFrame:
+    """One event a commit over a stream with a watermark on ``ts``: (user_id, leader_id, followers), by its leader only.
+
+    A commit closes when it is full, when a request comes after its window, or,
+    if none comes, when the watermark passes its deadline.
+    """
+
+    def run(key, batches, state):
+        open_ = state.get if state.exists else None
+        if state.hasTimedOut:
+            closed, open_ = [open_], None
+        else:
+            rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+            _, open_, closed = _assign(rows, open_, window_s, most_followers)
+        if open_ is None:
+            state.remove()
+        else:
+            if open_[2] >= most_followers:
+                closed.append(open_)
+                state.remove()
+            else:
+                state.update(open_)
+                state.setTimeoutTimestamp(max(int((open_[1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(key[0], leader, n) for leader, _, n in closed], columns=["user_id", "leader_id", "followers"])
+
+    return requests.groupBy("user_id").applyInPandasWithState(run, "user_id long, leader_id long, followers long", "leader_id long, at double, followers long", "append", GroupStateTimeout.EventTimeTimeout)
