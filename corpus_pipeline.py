@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``. All but the
 last return the columns of ``documents``.
+
+Defined results: rows travel whole, so other columns pass whatever their names
+are; an empty table stays empty. Documents without text fail the quality rules;
+those without an id are kept by all stages but link with no other, come first
+in the removal of passages, and pass through packing. Repeated rows are judged
+alike, and one of them stays. Labels with nulls are ignored, and without labels
+the first two stages use the base rule and keep all.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality_rules", quality_rules), ("toxicity", drop_toxic), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("packing", pack)]
 
-ORACLE_SQL = None  # tokenizers and learned models are beyond SQL; tests/llm holds the stages against brute force
+ORACLE_SQL = None  # tokenizers and learned models are beyond SQL; a test holds each stage and run() against brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
