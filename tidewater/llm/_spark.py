@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lineage import cut, folder
+
 FILTER_BITS = 24
 
 
@@ -16,15 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewater-"))
-    return df.checkpoint()
-
-
 def id_text(docs: DataFrame) -> DataFrame:
     """(doc_id, text), whatever else the input holds; null texts are empty."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
@@ -72,11 +67,23 @@ def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+_tables: list[str] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Drops this application's tables when it ends; stores that pyarrow doesn't know keep them in the checkpoint folder."""
+    while _tables:
+        with contextlib.suppress(Exception):
+            store, place = fs.FileSystem.from_uri(_tables.pop())
+            store.delete_dir(place)
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cuts lineage with a compressed Parquet table in the shared checkpoint folder; for rows that checkpoint() would store unpacked."""
     spark = df.sparkSession
-    cut(spark.range(0))  # sets the folder where it is unset
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

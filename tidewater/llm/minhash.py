@@ -109,11 +109,15 @@ def _block_links(block: pd.DataFrame) -> pd.DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of ``docs``."""
-    return _judged(docs).drop("text_key", "set_key")
+    signed, classes, roots = _linked(docs)
+    rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
+    out = signed.drop("sig").join(rep, "set_key", "left")
+    component = F.when(F.col("doc_id").isNull() | F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """The same with the keys of each row's text and set."""
+def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows with the keys of their texts and sets, classes of equal sets by their least id, roots of the classes that have another one)."""
     signed = cut(signatures(docs))
     classes = signed.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("sig").alias("sig"))
     posts = classes.select("node", F.explode("sig").alias("post"))
@@ -160,10 +164,7 @@ def _judged(docs: DataFrame) -> DataFrame:
         links = links.union(cut(meet(again)))
         roots = components(links)
 
-    rep = classes.select("set_key", "node").join(roots, "node", "left").select("set_key", F.coalesce("root", "node").alias("component"))
-    out = signed.drop("sig").join(rep, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull() | F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component"))
-    return out.select("doc_id", "text_key", "set_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return signed, classes, roots
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -173,8 +174,11 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     one stays, that of the least text key, then of the least other columns
     (as JSON). Of rows without an id, whose texts link with nothing, all stay.
     """
-    kept = _judged(docs).where("kept and doc_id is not null").groupBy("doc_id", "set_key").agg(F.min("text_key").alias("mark"))
-    kept = kept.select(F.col("doc_id").alias("id"), "mark").distinct()
+    signed, classes, roots = _linked(docs)
+    keyed = signed.where("doc_id is not null").select("doc_id", "set_key", "text_key")
+    reps = classes.join(roots, "node", "left_anti").select(F.col("node").alias("doc_id"), "set_key")  # joined by id, so that no group of copies meets in a task
+    own = keyed.join(reps, ["doc_id", "set_key"], "left_semi").union(keyed.where("set_key is null"))
+    kept = own.groupBy("doc_id", "set_key").agg(F.min("text_key").alias("mark")).select(F.col("doc_id").alias("id"), "mark").distinct()
     keyed = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), whole_row(docs).alias("row"))
     rest = F.to_json(F.struct(F.col("row.text").isNull(), F.col("row").dropFields("text")))
     one = keyed.where("id is not null").join(kept, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", rest).alias("row"))
