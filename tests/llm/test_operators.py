@@ -487,11 +487,46 @@ def test_sampling_meets_generalised_jaccard(spark):
     a, b = {f"w{k}": 1 + k % 5 for k in range(60)}, {f"w{k}": 1 + k % 3 for k in range(20, 80)}
     text = lambda x: " ".join(w for w, n in x.items() for _ in range(n))
     df = spark.createDataFrame([(1, text(a)), (2, text(b))], "id long, text string").repartition("id")
-    rows = {r["id"]: r for r in fingerprint.fingerprints(df, ["id"], "text", 400).collect()}
-    same = sum((rows[1][f"key_{k}"] & 0xFFFFFFFF) == (rows[2][f"key_{k}"] & 0xFFFFFFFF) for k in range(400)) / 400
+    rows = {r["id"]: r["print"] for r in fingerprint.fingerprints(df, ["id"], "text", 2000).collect()}
+    same = sum(rows[1][8 * k : 8 * k + 8] == rows[2][8 * k : 8 * k + 8] for k in range(2000)) / 2000
     words = a.keys() | b.keys()
     want = sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
-    assert abs(same - want) < 0.08
+    assert len(rows[1]) == 16000 and abs(same - want) < 0.04
+
+
+def test_exponential_draws(spark):
+    """Every pattern of bits against the logarithm, and the mean and the variance of a gamma draw."""
+    n = 1 << fingerprint.BITS
+    bits = spark.range(n * n)
+    got = bits.select("id", fingerprint._exponential(F.col("id"), 0).alias("e")).toPandas()
+    low, x = (got["id"] % n).to_numpy(), (got["id"] // n).to_numpy() + 0.5
+    zeros = np.array([fingerprint.BITS if v == 0 else (v & -v).bit_length() - 1 for v in low.tolist()])
+    assert np.abs(got["e"] - (zeros * np.log(2) - np.log(1 - x / (2 * n)))).max() < 1e-4
+    assert abs(got["e"].mean() - 1) < 0.01 and abs(got["e"].var() - 1) < 0.02
+
+
+def test_fingerprint_likenesses(docs, corpus):
+    """Likenesses of whole documents against the exact similarities: no bias, and the stated error."""
+    def similarity(a, b):
+        x, y = (Counter(w for w in re.split("[ \t-\r]+", t.lower()) if w) for t in (a, b))
+        top = sum(max(x[w], y[w]) for w in x.keys() | y.keys())
+        return sum(min(x[w], y[w]) for w in x.keys() | y.keys()) / top if top else 1.0
+
+    rows = sorted({(r[0], r[1] or "") for r in corpus if r[0] is not None}, key=lambda x: -x[0])
+    rows += [(None, next(r[1] for r in corpus if r[0] is None))]
+    want = {}
+    for k, (i, t) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        edited = t[: len(t) - len(t) // 2] + following[: len(t) // 2]
+        want[i] = (similarity(t, edited), similarity(t, following))
+    errors = []
+    for r in fingerprint.compare_edited(docs).collect():
+        assert len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 8 * fingerprint.SAMPLES
+        for got, exact in zip((r["near_edited"], r["near_next"]), want[r["doc_id"]], strict=True):
+            errors.append(got - exact)
+            assert exact not in (0, 1) or got == exact
+    errors = np.array(errors)
+    assert np.sqrt((errors**2).mean()) < 0.5 / np.sqrt(fingerprint.SAMPLES) * 1.3 and abs(errors.mean()) < 0.03 and np.abs(errors).max() < 0.25
 
 
 def test_html(spark):

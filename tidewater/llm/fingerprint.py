@@ -1,17 +1,23 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
-A document is a weighted set: its words (runs outside ``\\x20\\x09-\\x0D``),
-ASCII lower-cased, weighted by count. For each of ``SAMPLES`` samples a word
-of weight w draws r and c from Gamma(2, 1) and b from U(0, 1), all seeded by
-word and sample alone, and gets
+A document is a weighted set: its words (runs outside ``\\x20\\x09-\\x0D``), in
+lower case, weighted by count. For each of ``SAMPLES`` samples a word of weight
+w draws r and c from Gamma(2, 1) and b from U(0, 1), all seeded by word and
+sample alone, and gets
 
     t = floor(ln w / r + b),    ln a = ln c - r (t - b) - r;
 
 the word of least a is the sample. The probability that two documents draw
 the same (word, t) is their generalised Jaccard similarity, the sum of minima
-over the sum of maxima of the weights. A sample is kept as one 64-bit number:
-the order of ln a above, a hash of word and t below, so a plain minimum picks
-it; the fingerprint holds the low halves in hexadecimal.
+over the sum of maxima of the weights, so the share of equal samples has a
+standard error of at most 0.5 / sqrt(SAMPLES), 0.063. A sample is kept as one
+64-bit number: the order of ln a above, a hash of word and t below, so a plain
+minimum picks it; the fingerprint holds the low halves in hexadecimal.
+
+A gamma draw is the sum of two exponential ones, and each of these takes its
+whole halvings from trailing zeros of a hash and the rest from a polynomial,
+as logarithms are by far the dearest part. Samples are drawn ``AT_ONCE`` at a
+time: more would make the generated code too long for the JVM's compiler.
 
 Texts are dealt out by doc_id once; words, weights and minima of a document
 then meet in the same task without further shuffles.
@@ -25,46 +31,50 @@ all others; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ._spark import cut
 
-SAMPLES = 24
+SAMPLES, AT_ONCE = 64, 4
 _NULL_ID = -(2**63)
 SPACE = "[\\x20\\x09-\\x0D]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _uniform(bits: Column, shift: int, width: int) -> Column:
-    """U(0, 1) from ``width`` bits; never 0 or 1."""
-    return (F.shiftrightunsigned(bits, shift).bitwiseAND((1 << width) - 1).cast("double") + 0.5) * (2.0**-width)
-
+BITS = 10  # of the halvings and of the rest of an exponential draw each
+_REST = np.polyfit(np.linspace(0, 1 << BITS, 4001), -np.log(1 - np.linspace(0, 0.5, 4001)), 5).tolist()  # -ln(1 - x / 2^(BITS + 1)), to about 1e-5
 
-def sample_key(word: Column, log_weight: Column, k: int) -> Column:
-    """Order of ln a in the upper 32 bits (signed), hash of (word, t) in the lower."""
-    one, two = F.xxhash64(word, F.lit(k)), F.xxhash64(word, F.lit(-1 - k))
-    r = -F.log(_uniform(one, 0, 20) * _uniform(one, 20, 20))
-    log_c = F.log(-F.log(_uniform(two, 0, 20) * _uniform(two, 20, 20)))
-    b = _uniform(one, 40, 24)
-    t = F.floor(log_weight / r + b)
-    log_a = log_c - r * (t - b) - r
-    order = (F.greatest(F.lit(-1000.0), F.least(F.lit(1000.0), log_a)) * 2_000_000).cast("long")
-    tie = F.xxhash64(two, t).bitwiseAND(0xFFFFFFFF)
-    return F.shiftleft(order, 32).bitwiseOR(tie)
 
-
-def words_of(text: Column) -> Column:
-    return F.filter(F.split(F.translate(text, _UPPER, _LOWER), SPACE), lambda w: w != "")
+def _exponential(bits: Column, shift: int) -> Column:
+    """-ln U from 2 BITS bits, U = 2^-zeros (1 - rest / 2)."""
+    low = F.shiftrightunsigned(bits, shift).bitwiseAND((1 << BITS) - 1).bitwiseOR(1 << BITS)
+    zeros = F.bit_count((low - 1).bitwiseAND(F.bitwise_not(low)))
+    x = F.shiftrightunsigned(bits, shift + BITS).bitwiseAND((1 << BITS) - 1).cast("double") + 0.5
+    rest = F.lit(_REST[0])
+    for c in _REST[1:]:
+        rest = rest * x + F.lit(c)
+    return zeros * F.lit(float(np.log(2))) + rest
 
 
 def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and key_0 ... of every text; texts must be dealt by (a prefix of) ``keys`` already. Texts without words give no row."""
-    word = texts.select(*keys, F.explode(words_of(F.col(text))).alias("word")).select(*keys, F.xxhash64("word").alias("word"))
+    """``keys`` and print of every text; texts must be dealt by (a prefix of) ``keys`` already. Texts without words give no row."""
+    word = texts.select(*keys, F.explode(F.split(F.lower(F.col(text)), SPACE)).alias("word")).where("word <> ''").select(*keys, F.xxhash64("word").alias("word"))
     weight = word.groupBy(*keys, "word").agg(F.count("*").alias("w"))
-    drawn = weight.select(*keys, "word", F.log("w").alias("log_w"))
-    return drawn.groupBy(*keys).agg(*(F.min(sample_key(F.col("word"), F.col("log_w"), k)).alias(f"key_{k}") for k in range(samples)))
+    drawn = weight.select(*keys, "word", F.log("w").alias("log_w"), F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("part"))
+    own, some = [*keys, "part", "word", "log_w"], range(AT_ONCE)
+    # stepwise, so that nothing is computed twice
+    drawn = drawn.select(*own, *(F.xxhash64("word", F.col("part") * AT_ONCE + j).alias(f"g{j}") for j in some), *(F.xxhash64("word", -1 - F.col("part") * AT_ONCE - j).alias(f"h{j}") for j in some))
+    gamma = lambda c: _exponential(F.col(c), 0) + _exponential(F.col(c), 2 * BITS)
+    b = lambda c: (F.shiftrightunsigned(c, 4 * BITS).cast("double") + 0.5) * 2.0 ** (4 * BITS - 64)
+    drawn = drawn.select(*own, *(x for j in some for x in (gamma(f"g{j}").alias(f"r{j}"), F.log(gamma(f"h{j}")).alias(f"log_c{j}"), b(f"g{j}").alias(f"b{j}"))))
+    drawn = drawn.select("*", *(F.floor(F.col("log_w") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}") for j in some))
+    log_a = lambda j: F.col(f"log_c{j}") - F.col(f"r{j}") * (F.col(f"t{j}") - F.col(f"b{j}") + 1)
+    name = lambda j: F.shiftrightunsigned("word", 32).bitwiseXOR(F.shiftleft(F.col(f"t{j}"), 8)).bitwiseAND(0xFFFFFFFF)
+    key = lambda j: F.shiftleft((log_a(j) * 2_000_000).cast("int").cast("long"), 32).bitwiseOR(name(j))
+    least = drawn.groupBy(*keys, "part").agg(*(F.min(key(j)).alias(f"k{j}") for j in some))
+    hexed = F.concat(*(F.lpad(F.lower(F.hex(F.col(f"k{j}").bitwiseAND(0xFFFFFFFF))), 8, "0") for j in some))
+    parts = least.select(*keys, F.struct("part", hexed.alias("x")).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_list("part"))["x"].alias("x"))  # samples / AT_ONCE parts
+    return parts.select(*keys, F.array_join("x", "").alias("print"))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -73,10 +83,6 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return equal / F.lit(float(samples))
 
 
-def _signature(samples: int) -> Column:
-    return F.concat(*(F.lpad(F.lower(F.hex(F.coalesce(F.col(f"key_{k}"), F.lit(0)).bitwiseAND(0xFFFFFFFF))), 8, "0") for k in range(samples)))
-
-
 def _in_order(keys: DataFrame) -> DataFrame:
     """``keys`` (id, mark) with ``place``: 0, 1, ... by descending id, then mark; dealt over range partitions."""
     dealt = cut(keys.distinct().repartitionByRange(F.desc("id"), F.asc("mark")).withColumn("part", F.spark_partition_id()))
@@ -107,7 +113,7 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     pair = dealt.join(head, ["id", "mark"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.col("head")))
     sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
     both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.explode(sides).alias("x")).select("id", "mark", "x.side", "x.t")
-    printed = fingerprints(both, ["id", "mark", "side"], "t", samples).select("id", "mark", "side", _signature(samples).alias("print"))
+    printed = fingerprints(both, ["id", "mark", "side"], "t", samples)
     printed = printed.groupBy("id", "mark").agg(*(F.max(F.when(F.col("side") == k, F.col("print"))).alias(name) for k, name in ((0, "fingerprint"), (1, "edited_fingerprint"))))
     facts = pair.select("id", "mark", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     # one job for both, so that the exchange of the texts is written once
