@@ -157,7 +157,7 @@ def _broken_logs(spark, sf_dir):
 _LENGTHS = "SELECT CAST(sum(strlen(r_name) + 12) AS BIGINT) AS whole, CAST(sum(CASE WHEN r_regionkey < 4 THEN strlen(r_name) + 12 END) AS BIGINT) AS four, CAST(sum(CASE WHEN r_regionkey < 1 THEN strlen(r_name) + 12 END) AS BIGINT) AS one FROM region"
 
 
-@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole + 77, whole - 3, whole]) AS file_len, unnest([whole, four, one]) AS clean_end, unnest([5, 4, 1]) AS records, unnest(['CleanEnd', 'TruncatedPayload', 'ChecksumMismatch']) AS state FROM ({_LENGTHS})")
+@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole + 77, whole - 3, whole]) AS file_len, unnest([whole, four, one]) AS clean_end, CAST(unnest([5, 4, 1]) AS BIGINT) AS records, unnest(['CleanEnd', 'TruncatedPayload', 'ChecksumMismatch']) AS state FROM ({_LENGTHS})")
 def log_tails(spark, sf_dir):
     tails = journal.log_tails(spark, _broken_logs(spark, sf_dir))
     return tails.select(F.regexp_extract("path", r"(\d)\.log$", 1).cast("int").alias("log"), "file_len", "clean_end", "records", "state")
@@ -433,9 +433,9 @@ def power_loss_protection(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", fn.power_loss_protection(name, name).alias("protection"))
 
 
-@_query("""SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1048576 WHEN 2 THEN p_size END AS cache, CASE WHEN p_size % 3 = 0 THEN 'nvme' WHEN p_size % 4 = 0 THEN 'ssd' WHEN p_size % 4 = 1 THEN 'hdd' ELSE 'unknown' END AS drive,
-CASE WHEN p_size % 3 = 0 THEN 'dev' WHEN p_size % 3 = 1 THEN 'prod' WHEN p_size % 2 = 0 THEN 'dev' ELSE 'prod' END AS mode, CASE WHEN p_size % 2 = 0 THEN p_size * 1024 ELSE 0 END AS kib, CASE WHEN p_size % 2 = 0 THEN p_size END AS total,
-CASE WHEN p_size % 7 > 0 THEN (p_size + 1) * 512 END AS atomic_unit, replace(replace(p_name, ' ', chr(92) || 'n'), 'e', chr(92) || '"') AS escaped FROM part""")
+@_query("""SELECT p_partkey, CAST(CASE p_size % 5 WHEN 0 THEN p_size * 1024 WHEN 1 THEN p_size * 1048576 WHEN 2 THEN p_size END AS BIGINT) AS cache, CASE WHEN p_size % 3 = 0 THEN 'nvme' WHEN p_size % 4 = 0 THEN 'ssd' WHEN p_size % 4 = 1 THEN 'hdd' ELSE 'unknown' END AS drive,
+CASE WHEN p_size % 3 = 0 THEN 'dev' WHEN p_size % 3 = 1 THEN 'prod' WHEN p_size % 2 = 0 THEN 'dev' ELSE 'prod' END AS mode, CAST(CASE WHEN p_size % 2 = 0 THEN p_size * 1024 ELSE 0 END AS BIGINT) AS kib, CAST(CASE WHEN p_size % 2 = 0 THEN p_size END AS BIGINT) AS total,
+CAST(CASE WHEN p_size % 7 > 0 THEN (p_size + 1) * 512 END AS BIGINT) AS atomic_unit, replace(replace(p_name, ' ', chr(92) || 'n'), 'e', chr(92) || '"') AS escaped FROM part""")
 def word_parsers(spark, sf_dir):
     """Cache sizes, drives, modes, sizes with units, fields, atomic units and escapes, read from texts made of each part."""
     n, k = F.col("p_size"), F.col("p_size").cast("string")
