@@ -15,9 +15,10 @@ standard error of at most 0.5 / sqrt(SAMPLES), 0.063. A sample is kept as one
 minimum picks it; the fingerprint holds the low halves in hexadecimal.
 
 A gamma draw is the sum of two exponential ones, and each of these takes its
-whole halvings from trailing zeros of a hash and the rest from a polynomial,
-as logarithms are by far the dearest part. Samples are drawn ``AT_ONCE`` at a
-time: more would make the generated code too long for the JVM's compiler.
+whole halvings from trailing zeros of a hash and the rest from a polynomial;
+ln c comes from its fourth root and a polynomial, as logarithms are by far the
+dearest part. Samples are drawn ``AT_ONCE`` at a time: more would make the
+generated code too long for the JVM's compiler.
 
 Texts are dealt out by doc_id once; words, weights and minima of a document
 then meet in the same task without further shuffles.
@@ -38,7 +39,7 @@ from pyspark.sql.window import Window
 
 from ._spark import cut
 
-SAMPLES, AT_ONCE = 64, 4
+SAMPLES, AT_ONCE = 64, 2
 _NULL_ID = -(2**63)
 SPACE = "[\\x20\\x09-\\x0D]+"
 BITS = 10  # of the halvings and of the rest of an exponential draw each
@@ -56,25 +57,47 @@ def _exponential(bits: Column, shift: int) -> Column:
     return zeros * F.lit(float(np.log(2))) + rest
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` and print of every text; texts must be dealt by (a prefix of) ``keys`` already. Texts without words give no row."""
-    word = texts.select(*keys, F.explode(F.split(F.lower(F.col(text)), SPACE)).alias("word")).where("word <> ''").select(*keys, F.xxhash64("word").alias("word"))
-    weight = word.groupBy(*keys, "word").agg(F.count("*").alias("w"))
-    drawn = weight.select(*keys, "word", F.log("w").alias("log_w"), F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("part"))
-    own, some = [*keys, "part", "word", "log_w"], range(AT_ONCE)
+_MIDDLE = 0.6
+_Y = np.cos(np.pi * (np.arange(400) + 0.5) / 400) * 0.62
+_ATANH = np.linalg.lstsq(np.stack([_Y ** (2 * k + 1) for k in range(5)], axis=1), 8 * np.arctanh(_Y), rcond=None)[0].tolist()
+
+
+def _four_logs(y: Column) -> Column:
+    """4 ln s from y = (s - _MIDDLE) / (s + _MIDDLE), for s between 0.14 and 2.5 to about 1e-5: the logarithm of a gamma draw from its fourth root."""
+    square, out = y * y, F.lit(_ATANH[-1])
+    for c in _ATANH[-2::-1]:
+        out = out * square + F.lit(c)
+    return out * y + float(4 * np.log(_MIDDLE))
+
+
+def fingerprints(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
+    """``keys`` and, under their names, the prints of the texts in ``columns``; rows must be dealt by (a prefix of) ``keys`` already.
+
+    A column without words has a null print; a row without any is left out. A
+    word of several columns is hashed and draws once.
+    """
+    sides, some = range(len(columns)), range(AT_ONCE)
+    each = texts.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("t")) for k, c in enumerate(columns)))).alias("x"))
+    word = each.select(*keys, F.col("x.side").alias("side"), F.explode(F.split(F.lower("x.t"), SPACE)).alias("word")).where("word <> ''").select(*keys, "side", F.xxhash64("word").alias("word"))
+    weight = word.groupBy(*keys, "word").agg(*(F.count(F.when(F.col("side") == k, 1)).alias(f"w{k}") for k in sides))
+    parts = F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("part")
+    own = [*keys, "part", "word", *(f"log_w{k}" for k in sides)]
+    drawn = weight.select(*keys, "word", *(F.log(F.nullif(F.col(f"w{k}"), F.lit(0))).alias(f"log_w{k}") for k in sides), parts)
     # stepwise, so that nothing is computed twice
     drawn = drawn.select(*own, *(F.xxhash64("word", F.col("part") * AT_ONCE + j).alias(f"g{j}") for j in some), *(F.xxhash64("word", -1 - F.col("part") * AT_ONCE - j).alias(f"h{j}") for j in some))
     gamma = lambda c: _exponential(F.col(c), 0) + _exponential(F.col(c), 2 * BITS)
     b = lambda c: (F.shiftrightunsigned(c, 4 * BITS).cast("double") + 0.5) * 2.0 ** (4 * BITS - 64)
-    drawn = drawn.select(*own, *(x for j in some for x in (gamma(f"g{j}").alias(f"r{j}"), F.log(gamma(f"h{j}")).alias(f"log_c{j}"), b(f"g{j}").alias(f"b{j}"))))
-    drawn = drawn.select("*", *(F.floor(F.col("log_w") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}") for j in some))
-    log_a = lambda j: F.col(f"log_c{j}") - F.col(f"r{j}") * (F.col(f"t{j}") - F.col(f"b{j}") + 1)
-    name = lambda j: F.shiftrightunsigned("word", 32).bitwiseXOR(F.shiftleft(F.col(f"t{j}"), 8)).bitwiseAND(0xFFFFFFFF)
-    key = lambda j: F.shiftleft((log_a(j) * 2_000_000).cast("int").cast("long"), 32).bitwiseOR(name(j))
-    least = drawn.groupBy(*keys, "part").agg(*(F.min(key(j)).alias(f"k{j}") for j in some))
-    hexed = F.concat(*(F.lpad(F.lower(F.hex(F.col(f"k{j}").bitwiseAND(0xFFFFFFFF))), 8, "0") for j in some))
-    parts = least.select(*keys, F.struct("part", hexed.alias("x")).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_list("part"))["x"].alias("x"))  # samples / AT_ONCE parts
-    return parts.select(*keys, F.array_join("x", "").alias("print"))
+    drawn = drawn.select(*own, *(x for j in some for x in (gamma(f"g{j}").alias(f"r{j}"), F.sqrt(F.sqrt(gamma(f"h{j}"))).alias(f"c{j}"), b(f"g{j}").alias(f"b{j}"))))
+    drawn = drawn.select(*own, *(x for j in some for x in (f"r{j}", f"b{j}", ((F.col(f"c{j}") - _MIDDLE) / (F.col(f"c{j}") + _MIDDLE)).alias(f"y{j}"))))
+    drawn = drawn.select(*own, *(x for j in some for x in (f"r{j}", f"b{j}", _four_logs(F.col(f"y{j}")).alias(f"log_c{j}"))))
+    drawn = drawn.select("*", *(F.floor(F.col(f"log_w{k}") / F.col(f"r{j}") + F.col(f"b{j}")).alias(f"t{j}_{k}") for j in some for k in sides))
+    log_a = lambda j, t: F.col(f"log_c{j}") - F.col(f"r{j}") * (t - F.col(f"b{j}") + 1)
+    name = lambda t: F.shiftrightunsigned("word", 32).bitwiseXOR(F.shiftleft(t, 8)).bitwiseAND(0xFFFFFFFF)
+    key = lambda j, t: F.shiftleft((log_a(j, t) * 2_000_000).cast("int").cast("long"), 32).bitwiseOR(name(t))
+    least = drawn.groupBy(*keys, "part").agg(*(F.min(key(j, F.col(f"t{j}_{k}"))).alias(f"k{j}_{k}") for j in some for k in sides))
+    hexed = lambda k: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"k{j}_{k}").bitwiseAND(0xFFFFFFFF))), 8, "0") for j in some))
+    one = least.select(*keys, F.struct("part", *(hexed(k).alias(f"x{k}") for k in sides)).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("x"))  # samples / AT_ONCE parts
+    return one.select(*keys, *(F.nullif(F.array_join(F.col("x")[f"x{k}"], ""), F.lit("")).alias(c) for k, c in enumerate(columns)))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -111,10 +134,8 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     if repeated:
         head = head.dropDuplicates(["id", "mark"])
     pair = dealt.join(head, ["id", "mark"]).withColumn("edited", F.concat(F.expr("left(text, char_length(text) - char_length(text) div 2)"), F.col("head")))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("t")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("t")))
-    both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.explode(sides).alias("x")).select("id", "mark", "x.side", "x.t")
-    printed = fingerprints(both, ["id", "mark", "side"], "t", samples)
-    printed = printed.groupBy("id", "mark").agg(*(F.max(F.when(F.col("side") == k, F.col("print"))).alias(name) for k, name in ((0, "fingerprint"), (1, "edited_fingerprint"))))
+    both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
+    printed = fingerprints(both, ["id", "mark"], ["fingerprint", "edited_fingerprint"], samples)
     facts = pair.select("id", "mark", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     # one job for both, so that the exchange of the texts is written once
     out = cut(facts.join(printed, ["id", "mark"], "left").na.fill("0" * 8 * samples, ["fingerprint", "edited_fingerprint"]))
