@@ -3,14 +3,14 @@
 Documents longer than a window give full windows and a remainder. Remainders
 are binned by length (rounded up); every combination of at most ``DEPTH`` bins
 that fills the window is a strategy, and non-negative least squares against
-the histogram gives how often to repeat each. Repeat counts are rounded down
-(after holding back ``HELD`` of them), which assigns most remainders to
-sequences; the residual remainders are then poured greedily, cut where needed,
+the histogram gives how often to repeat each. Repeat counts are rounded down,
+and what that leaves is solved for again, until nothing whole comes out or only
+``SLACK`` times what will fill the gaps is left; these residuals are then poured greedily, cut where needed,
 first into the gaps that binning left and then into new windows. So only the
 last sequence, or the gaps that no residual is left for, is padded.
 
-The driver sees a histogram of ``BINS`` counts and at most a few hundred
-strategies. Ranks and running sums are two-level (per source partition, then
+The driver sees a histogram of ``BINS`` counts and two thousand strategies, of
+which a few dozen are used. Ranks and running sums are two-level (per source partition, then
 over partition sums), and the pouring is an interval join on position buckets.
 
 Defined results: null or empty texts are the one token ``end``; a null doc_id
@@ -35,8 +35,8 @@ from ._text import IS_SPACE, LOWER, column_bytes, slices, tidy
 
 WINDOW = 4096
 BINS = 64
-DEPTH = 3
-HELD = 0.05
+DEPTH = 4
+SLACK = 1.5
 CACHED_BYTES = 16 << 20  # of one worker's known chunks and their ids
 _BUCKET = 8192
 _SLICE = 4 << 20
@@ -183,23 +183,34 @@ def nnls(a: np.ndarray, b: np.ndarray, most: int = 1000) -> np.ndarray:
     return x
 
 
-def repeats(histogram: np.ndarray, held: float = HELD) -> list[tuple[tuple[int, ...], int]]:
-    """(strategy, repeat count) by rounded-down NNLS; never takes more of a bin than there is."""
-    if not histogram.any():
-        return []
-    plans = strategies(len(histogram))
-    a = np.zeros((len(histogram), len(plans)))
+def repeats(histogram: np.ndarray, slack: float = SLACK) -> list[tuple[tuple[int, ...], int]]:
+    """(strategy, repeat count) by rounded-down NNLS; never takes more of a bin than there is.
+
+    What rounding leaves is solved for again, until nothing whole comes out or
+    no more is left than ``slack`` times what will fill the gaps (half a bin a
+    remainder).
+    """
+    bins, plans = len(histogram), strategies(len(histogram))
+    a = np.zeros((bins, len(plans)))
     for k, plan in enumerate(plans):
         for b in plan:
             a[b - 1, k] += 1
-    x, left, out = nnls(a, histogram.astype(float)), histogram.astype(np.int64).copy(), []
-    for k in np.argsort(-x, kind="stable"):
-        need = a[:, k].astype(np.int64)
-        n = min(int(x[k] * (1 - held)), *(left[need > 0] // need[need > 0]).tolist())
-        if n > 0:
-            left -= n * need
-            out.append((plans[k], n))
-    return out
+    left, out, parts = histogram.astype(np.int64).copy(), {}, 0
+    while left.any():
+        x, placed = nnls(a, left.astype(float)), 0
+        for k in np.argsort(-x, kind="stable").tolist():
+            if x[k] <= 0:
+                break
+            need, own = a[:, k].astype(np.int64), len(plans[k])
+            spare = float(left @ np.arange(1, bins + 1)) - slack / 2 * parts
+            n = min(int(x[k]), *(left[need > 0] // need[need > 0]).tolist(), int(spare / (bins + slack / 2 * own)))
+            if n > 0:
+                left -= n * need
+                placed, parts = placed + n, parts + n * own
+                out[k] = out.get(k, 0) + n
+        if not placed:
+            break
+    return [(plans[k], n) for k, n in out.items()]
 
 
 def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> DataFrame:
