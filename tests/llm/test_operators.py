@@ -215,6 +215,22 @@ def test_nnls():
     assert (x >= 0).all() and gradient.max() < 1e-6 and abs(gradient[x > 0]).max() < 1e-6
 
 
+def test_strategies_place_most_remainders():
+    rng = np.random.default_rng(1)
+    for mu, most in ((6.6, 0.85), (8.0, 0.85), (4.5, 0.0)):
+        n = np.minimum(40950, rng.lognormal(mu, 0.8, 5000)).astype(int) % 4096
+        h = np.bincount(-(-n[n > 0] // 64) - 1, minlength=64)
+        got, left = packing.repeats(h), h.copy()
+        for plan, count in got:
+            assert sum(plan) == 64 and len(plan) <= packing.DEPTH and count > 0
+            for b in plan:
+                left[b - 1] -= count
+        placed = sum(len(plan) * count for plan, count in got)
+        assert (left >= 0).all() and left @ np.arange(1, 65) >= placed / 2  # what is left fills the gaps
+        assert (h - left) @ np.arange(1, 65) >= most * (h @ np.arange(1, 65))
+    assert packing.repeats(np.zeros(64, int)) == []
+
+
 def test_suffix_arrays():
     rng = random.Random(2)
     for _ in range(200):
@@ -487,7 +503,7 @@ def test_sampling_meets_generalised_jaccard(spark):
     a, b = {f"w{k}": 1 + k % 5 for k in range(60)}, {f"w{k}": 1 + k % 3 for k in range(20, 80)}
     text = lambda x: " ".join(w for w, n in x.items() for _ in range(n))
     df = spark.createDataFrame([(1, text(a)), (2, text(b))], "id long, text string").repartition("id")
-    rows = {r["id"]: r["print"] for r in fingerprint.fingerprints(df, ["id"], "text", 2000).collect()}
+    rows = {r["id"]: r["text"] for r in fingerprint.fingerprints(df, ["id"], ["text"], 2000).collect()}
     same = sum(rows[1][8 * k : 8 * k + 8] == rows[2][8 * k : 8 * k + 8] for k in range(2000)) / 2000
     words = a.keys() | b.keys()
     want = sum(min(a.get(w, 0), b.get(w, 0)) for w in words) / sum(max(a.get(w, 0), b.get(w, 0)) for w in words)
@@ -503,6 +519,10 @@ def test_exponential_draws(spark):
     zeros = np.array([fingerprint.BITS if v == 0 else (v & -v).bit_length() - 1 for v in low.tolist()])
     assert np.abs(got["e"] - (zeros * np.log(2) - np.log(1 - x / (2 * n)))).max() < 1e-4
     assert abs(got["e"].mean() - 1) < 0.01 and abs(got["e"].var() - 1) < 0.02
+    c = np.exp(np.linspace(np.log(5e-4), np.log(30), 5000))
+    y = (c**0.25 - fingerprint._MIDDLE) / (c**0.25 + fingerprint._MIDDLE)
+    logs = spark.createDataFrame([(float(v),) for v in y], "y double").select(fingerprint._four_logs(F.col("y")).alias("x")).toPandas()["x"]
+    assert np.abs(np.sort(logs) - np.log(c)).max() < 1e-4
 
 
 def test_fingerprint_likenesses(docs, corpus):
@@ -710,12 +730,31 @@ def plain_cut(rows):
     return out
 
 
-def test_pipeline_equals_brute_force(spark):
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """The smallest tables with toxic documents and their labels, enough to learn from."""
+    folder, rng = str(tmp_path_factory.mktemp("tables")), random.Random(21)
+    words = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(500)]
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    more, marks = [], []
+    for k in range(120):
+        w = [rng.choice(words) for _ in range(80)]
+        if bad := k % 3 == 0:
+            for t in rng.sample(["idiot", "moron", "worthless", "pathetic"], 2):
+                w[rng.randrange(80)] = t
+        more.append((10_000 + k, " ".join(w), "en", "more", len(" ".join(w))))
+        marks.append((10_000 + k, 1, int(bad)))
+    docs.unionByName(spark.createDataFrame(more, docs.schema)).write.parquet(f"{folder}/documents.parquet")
+    labels.unionByName(spark.createDataFrame(marks, labels.schema)).write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_pipeline_equals_brute_force(spark, small):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "toxicity", "near_dedup", "suffix_dedup", "packing"]
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
     columns, rows = docs.columns, {r["doc_id"]: r.asDict() for r in docs.collect()}
     assert len(rows) == docs.count()
     step = dict(corpus_pipeline.STAGES)
@@ -723,7 +762,7 @@ def test_pipeline_equals_brute_force(spark):
 
     kept, _ = plain_quality([(i, r["text"], r["lang"]) for i, r in rows.items()], {r["doc_id"]: r["quality"] for r in labels.collect()})
     want = {i: r for (i, r), k in zip(rows.items(), kept, strict=True) if k}
-    docs = _spark.written(step["quality_rules"](spark, docs, SF))
+    docs = _spark.written(step["quality_rules"](spark, docs, small))
     assert docs.columns == columns and held(docs) == want and len(want) < len(rows)
 
     model = toxicity.train(docs, labels)
@@ -734,23 +773,23 @@ def test_pipeline_equals_brute_force(spark):
         x = toxicity.features(hits, matcher, model["context"]) if hits else [0.0] * len(toxicity.FEATURES)
         if w[0] + sum(a * b for a, b in zip(w[1:], x, strict=True)) >= 0:
             del want[i]
-    before, docs = docs.count(), _spark.written(step["toxicity"](spark, docs, SF))
+    before, docs = docs.count(), _spark.written(step["toxicity"](spark, docs, small))
     assert docs.columns == columns and held(docs) == want and len(want) < before
 
     stay = plain_near([(i, r["text"]) for i, r in want.items()])
     want = {i: r for i, r in want.items() if i in stay}
-    before, docs = docs.count(), _spark.written(step["near_dedup"](spark, docs, SF))
+    before, docs = docs.count(), _spark.written(step["near_dedup"](spark, docs, small))
     assert docs.columns == columns and held(docs) == want and len(want) < before
 
     texts = plain_cut([(i, r["text"]) for i, r in want.items()])
     want = {i: r | {"text": texts[i], "n_chars": len(texts[i])} for i, r in want.items()}
-    docs = _spark.written(step["suffix_dedup"](spark, docs, SF))
+    docs = _spark.written(step["suffix_dedup"](spark, docs, small))
     assert docs.columns == columns and held(docs) == want
 
     own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     own.encode_special_tokens = True
     ids = {i: np.array([*own.encode(r["text"], add_special_tokens=False).ids, 2], "<u4") for i, r in want.items()}
-    for rows in (step["packing"](spark, docs, SF).collect(), corpus_pipeline.run(spark, SF).collect()):
+    for rows in (step["packing"](spark, docs, small).collect(), corpus_pipeline.run(spark, small).collect()):
         pieces, sequences = defaultdict(list), defaultdict(list)
         for r in rows:
             pieces[r["doc_id"]].append(r)
@@ -819,6 +858,19 @@ def test_stages_keep_any_columns(spark, docs, corpus, marks, name):
     assert stage(wide.limit(0)).count() == 0
 
 
+def test_suffix_dedup_of_long_copies(spark):
+    """Copies of several segments, shifted, with edits, and one that repeats inside itself."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdehinrst") for _ in range(rng.randint(1, 7))) for _ in range(300)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = text(900)
+    edited = base[:1500] + "###" + base[1500:3000] + "@" + base[3100:]
+    rows = [(1, base), (2, "shifted " + base), (3, edited), (4, text(50) + base[700:2500] + text(50) + base[700:2500]), (5, "ab" * 1500), (6, "xab" * 900 + base[:120]), (7, base)]
+    want = plain_cut(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["text"] for r in suffix.drop_repeats(df).collect()} == want
+
+
 def test_cuts_inside_characters(spark):
     """Two texts share 100 bytes that begin and end inside characters; these go as a whole."""
     shared = "".join(chr(0x4E00 + 37 * k) for k in range(34))  # 102 bytes

@@ -27,7 +27,7 @@ from ._spark import id_text
 
 LONG = 256
 NONE = np.int32(2**31 - 1)
-CACHED = 400_000  # matches kept by a worker between batches; beyond it the cache starts anew
+CACHED_BYTES = 48 << 20  # of the matches that a worker keeps between batches, about; beyond it the cache starts anew
 _WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, 64, 96, 128, LONG)
 
 
@@ -85,6 +85,7 @@ class Encoder:
 
     def _empty(self) -> None:
         self.index: dict[str, int] = {}
+        self.weight = 0
         self.ids, self.used = np.zeros(1 << 16, np.int32), 0
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
 
@@ -97,6 +98,7 @@ class Encoder:
         self.ids[self.used : self.used + n] = ids
         self.start[k], self.count[k], self.index[match] = self.used, n, k
         self.used += n
+        self.weight += 160 + 2 * len(match) + 4 * n
 
     def learn(self, matches: list[str]) -> None:
         """Encodes matches that the cache does not hold yet."""
@@ -170,7 +172,7 @@ class Encoder:
     def encode(self, texts: list[str]):
         """The ids of each text."""
         found = [self.find(t) for t in texts]
-        if len(self.index) > CACHED:
+        if self.weight > CACHED_BYTES:
             self._empty()
         if new := {m for f in found for m in f}.difference(self.index):
             self.learn(sorted(new))
