@@ -433,8 +433,12 @@ def test_maxent_score_equals_brute_force(spark, corpus, monkeypatch):
 def test_maxent_gradient_equals_brute_force():
     rng = np.random.default_rng(3)
     model = {
-        "class_of": rng.integers(0, maxent.CLASSES, maxent.SUFFIXES + 1), "weights": rng.normal(0, 0.3, (maxent.FEATURES, maxent.CLASSES)).astype(np.float32), "bias": rng.normal(0, 1, maxent.CLASSES).astype(np.float32),
-        "leaf_weights": rng.normal(0, 0.3, (2 * maxent.LEAF_HASHED * maxent.CLASSES, maxent.LEAVES)).astype(np.float32), "leaf_bias": rng.normal(0, 1, (maxent.CLASSES, maxent.LEAVES)).astype(np.float32),
+        "class_of": rng.integers(0, maxent.CLASSES, maxent.SUFFIXES + 1), "weights": rng.normal(
+            0, 0.3, (maxent.FEATURES, maxent.CLASSES)
+        ).astype(np.float32), "bias": rng.normal(0, 1, maxent.CLASSES).astype(np.float32),
+        "leaf_weights": rng.normal(
+            0, 0.3, (2 * maxent.LEAF_HASHED * maxent.CLASSES, maxent.LEAVES)
+        ).astype(np.float32), "leaf_bias": rng.normal(0, 1, (maxent.CLASSES, maxent.LEAVES)).astype(np.float32),
     }
     texts = ["one two three two one", "", "two two", "a b c d e f g a b c"]
     want: dict = defaultdict(lambda: np.zeros(2 * maxent.CLASSES))
@@ -905,7 +909,10 @@ def test_toxicity_masks_misspellings_and_quotations(abuse):
     model = toxicity.train(*abuse)
     score = lambda m, *t: toxicity._scores(pa.array(t, pa.string()), toxicity.Matcher(m), m)
     bad = ["you are such an id1ot and a mor0n", "worthles disgustng pathetc", "such a worthles book", "what an idiiot", "m.o.r.o.n", "looks like an idioooot", "you are an idiot"]
-    good = ["", "a plain text", "the teacher told the class that \"idiot\" is rude", "he wrote \"you are an idiot\" in his letter", "the word idiot comes from greek", "an ideal editor", "path"]
+    good = [
+        "", "a plain text", "the teacher told the class that \"idiot\" is rude", "he wrote \"you are an idiot\" in his letter",
+        "the word idiot comes from greek", "an ideal editor", "path"
+    ]
     assert (score(model, *bad) >= 0.5).all() and (score(model, *good) < 0.5).all()
     off = model | {"trust": {(e, k): 0.0 for e in model["words"] for k in (toxicity.MASKED, toxicity.ONE, toxicity.TWO)}}
     assert (score(off, *bad[:-1]) < 0.5).all() and score(off, bad[-1]) >= 0.5  # misspellings act by their own weight

@@ -78,13 +78,18 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: list[str], samples:
     """
     sides, some = range(len(columns)), range(AT_ONCE)
     each = texts.select(*keys, F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("t")) for k, c in enumerate(columns)))).alias("x"))
-    word = each.select(*keys, F.col("x.side").alias("side"), F.explode(F.split(F.lower("x.t"), SPACE)).alias("word")).where("word <> ''").select(*keys, "side", F.xxhash64("word").alias("word"))
+    word = each.select(
+        *keys, F.col("x.side").alias("side"), F.explode(F.split(F.lower("x.t"), SPACE)).alias("word")
+    ).where("word <> ''").select(*keys, "side", F.xxhash64("word").alias("word"))
     weight = word.groupBy(*keys, "word").agg(*(F.count(F.when(F.col("side") == k, 1)).alias(f"w{k}") for k in sides))
     parts = F.explode(F.sequence(F.lit(0), F.lit(samples // AT_ONCE - 1))).alias("part")
     own = [*keys, "part", "word", *(f"log_w{k}" for k in sides)]
     drawn = weight.select(*keys, "word", *(F.log(F.nullif(F.col(f"w{k}"), F.lit(0))).alias(f"log_w{k}") for k in sides), parts)
     # stepwise, so that nothing is computed twice
-    drawn = drawn.select(*own, *(F.xxhash64("word", F.col("part") * AT_ONCE + j).alias(f"g{j}") for j in some), *(F.xxhash64("word", -1 - F.col("part") * AT_ONCE - j).alias(f"h{j}") for j in some))
+    drawn = drawn.select(
+        *own, *(F.xxhash64("word", F.col("part") * AT_ONCE + j).alias(f"g{j}") for j in some),
+        *(F.xxhash64("word", -1 - F.col("part") * AT_ONCE - j).alias(f"h{j}") for j in some)
+    )
     gamma = lambda c: _exponential(F.col(c), 0) + _exponential(F.col(c), 2 * BITS)
     b = lambda c: (F.shiftrightunsigned(c, 4 * BITS).cast("double") + 0.5) * 2.0 ** (4 * BITS - 64)
     drawn = drawn.select(*own, *(x for j in some for x in (gamma(f"g{j}").alias(f"r{j}"), F.sqrt(F.sqrt(gamma(f"h{j}"))).alias(f"c{j}"), b(f"g{j}").alias(f"b{j}"))))
@@ -96,7 +101,10 @@ def fingerprints(texts: DataFrame, keys: list[str], columns: list[str], samples:
     key = lambda j, t: F.shiftleft((log_a(j, t) * 2_000_000).cast("int").cast("long"), 32).bitwiseOR(name(t))
     least = drawn.groupBy(*keys, "part").agg(*(F.min(key(j, F.col(f"t{j}_{k}"))).alias(f"k{j}_{k}") for j in some for k in sides))
     hexed = lambda k: F.concat(*(F.lpad(F.lower(F.hex(F.col(f"k{j}_{k}").bitwiseAND(0xFFFFFFFF))), 8, "0") for j in some))
-    one = least.select(*keys, F.struct("part", *(hexed(k).alias(f"x{k}") for k in sides)).alias("part")).groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("x"))  # samples / AT_ONCE parts
+    # samples / AT_ONCE parts
+    one = least.select(
+        *keys, F.struct("part", *(hexed(k).alias(f"x{k}") for k in sides)).alias("part")
+    ).groupBy(*keys).agg(F.array_sort(F.collect_list("part")).alias("x"))
     return one.select(*keys, *(F.nullif(F.array_join(F.col("x")[f"x{k}"], ""), F.lit("")).alias(c) for k, c in enumerate(columns)))
 
 

@@ -272,6 +272,11 @@ def extract(pages: DataFrame) -> DataFrame:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
                 texts = [main_text(p) for p in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+                    names=["page_id", "url", "text", "n_chars"]
+                )
+
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), "html"
+    ).mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -198,7 +198,10 @@ def _gradient(model):
             at = np.flatnonzero(both.any(axis=1))
             for lo in range(0, len(at), 2000):
                 own = at[lo : lo + 2000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), part, np.int32)), pa.array(own, pa.int32()), *(pa.array(c, pa.float32()) for c in both[own].T)], names=["part", "f", *(f"s{j}" for j in range(both.shape[1]))])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), part, np.int32)), pa.array(own, pa.int32()), *(pa.array(c, pa.float32()) for c in both[own].T)],
+                    names=["part", "f", *(f"s{j}" for j in range(both.shape[1]))]
+                )
 
     return run
 
@@ -216,7 +219,10 @@ def train(docs: DataFrame) -> dict:
     del pairs
 
     vocabulary = counted.where("word is not null")
-    sums = vocabulary.mapInArrow(_leaf_sums(class_of), "leaf int, n long, v long").groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()  # CLASSES * LEAVES rows at most
+    # CLASSES * LEAVES rows at most
+    sums = vocabulary.mapInArrow(
+        _leaf_sums(class_of), "leaf int, n long, v long"
+    ).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).toArrow().to_pandas()
     n, v = (np.bincount(sums["leaf"], weights=sums[c], minlength=CLASSES * LEAVES).reshape(CLASSES, LEAVES) for c in ("n", "v"))
     of_class = n.sum(axis=1)
     model = {
@@ -310,8 +316,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     parts = rows.mapInArrow(run, "row long, doc_id long, word long, n_tokens long, n_known long, counts double, gained double")
     found = parts.join(model["vocabulary"].select("word", "c"), "word", "left")
     rare = (F.col("n_tokens") == 0) & F.col("c").isNotNull()
-    found = found.select("row", "doc_id", "n_tokens", (F.col("n_known") + rare.cast("long")).alias("n_known"), (F.col("counts") + F.when(rare, F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("counts"), "gained")
-    out = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("counts").alias("counts"), F.sum("gained").alias("gained"))
+    found = found.select(
+        "row", "doc_id", "n_tokens", (F.col("n_known") + rare.cast("long")).alias("n_known"),
+        (F.col("counts") + F.when(rare, F.log10(F.col("c") + 1.0)).otherwise(0.0)).alias("counts"), "gained"
+    )
+    out = found.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"), F.sum("counts").alias("counts"),
+        F.sum("gained").alias("gained")
+    )
     return out.select(
         "doc_id", (~in_training()).alias("held_out"), "n_tokens", "n_known", F.lit(int(n.sum())).cast("long").alias("train_tokens"),
         (F.col("counts") - F.col("n_tokens") * float(np.log10(total))).alias("base_score"), (F.col("counts") + F.col("gained")).alias("score"),

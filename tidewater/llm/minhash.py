@@ -66,7 +66,10 @@ def _sign(batches):
                 n.append(len(s))
                 key.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                 sig.append(where | signature(s).astype(np.int64) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], names=["doc_id", "text_key", "n_shingles", "set_key", "sig"])
+            yield pa.RecordBatch.from_arrays(
+                [ids.slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.list_(pa.int64()))],
+                names=["doc_id", "text_key", "n_shingles", "set_key", "sig"]
+            )
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     blocks = F.ceil(F.col("n") / (BLOCK - 1))
     own = F.pmod(F.xxhash64("node"), blocks)
     first = around.withColumn("block", own.cast("string"))
-    pivot_too = around.where(F.col("n") > BLOCK - 1).select("pivot", "n").distinct().select("pivot", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")).cast("array<string>")).alias("block"), F.col("pivot").alias("node"))
+    pivot_too = around.where(F.col("n") > BLOCK - 1).select("pivot", "n").distinct().select(
+        "pivot", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")).cast("array<string>")).alias("block"), F.col("pivot").alias("node")
+    )
     first = first.select("pivot", "block", "node").union(pivot_too).distinct()
     links = cut(meet(first.select("*", F.lit(True).alias("is_left"), F.col("node").alias("label"))))
     roots = components(links)
@@ -152,7 +157,9 @@ def _linked(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     large = around.where(F.col("n") > BLOCK - 1)
     if not large.isEmpty():
         named = cut(large.join(roots, "node", "left").select("pivot", "node", "n", F.coalesce("root", "node").alias("label")))
-        main = named.groupBy("pivot", "label").agg(F.count("*").alias("c")).groupBy("pivot").agg(F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("n_apart"))
+        main = named.groupBy("pivot", "label").agg(F.count("*").alias("c")).groupBy("pivot").agg(
+            F.max(F.struct("c", "label"))["label"].alias("main"), (F.sum("c") - F.max("c")).alias("n_apart")
+        )
         main = main.where("n_apart > 0").select("pivot", "main", "n_apart")
         own = F.pmod(F.xxhash64("node"), blocks).cast("int")
         apart_blocks = F.ceil(F.col("n_apart") / (BLOCK // 2)).cast("int")

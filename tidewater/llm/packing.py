@@ -140,7 +140,10 @@ def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
                 flat, first = own.encode(data, offsets)
                 ids, first = np.insert(flat, first[1:], end), first + np.arange(hi - lo + 1)
                 out = pa.Array.from_buffers(pa.large_binary(), hi - lo, [None, pa.py_buffer(first * ids.itemsize), pa.py_buffer(ids)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), out, pa.array(np.full(hi - lo, ids.itemsize, np.int32))], names=["doc_id", "n", "ids", "width"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), out, pa.array(np.full(hi - lo, ids.itemsize, np.int32))],
+                    names=["doc_id", "n", "ids", "width"]
+                )
 
     return id_text(docs).mapInArrow(tidy(run), "doc_id long, n long, ids binary, width int")
 
@@ -218,10 +221,14 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> Data
     spark = docs.sparkSession
     tokens = written(token_ids(docs, path, end).withColumn("row", F.monotonically_increasing_id()))
     step = window // BINS
-    rows = tokens.select("row", "n", F.shiftright("row", 33).alias("part"), F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest")).withColumn("bin", F.ceil(F.col("rest") / step))
+    rows = tokens.select(
+        "row", "n", F.shiftright("row", 33).alias("part"), F.expr(f"n div {window}").alias("full"), (F.col("n") % window).alias("rest")
+    ).withColumn("bin", F.ceil(F.col("rest") / step))
 
     # full windows, a sequence each
-    full = running_total(rows.where("full > 0"), "part", "row", "full", "before").select("row", F.posexplode(F.expr("sequence(before, before + full - 1)")).alias("k", "sequence_id"))
+    full = running_total(rows.where("full > 0"), "part", "row", "full", "before").select(
+        "row", F.posexplode(F.expr("sequence(before, before + full - 1)")).alias("k", "sequence_id")
+    )
     full = full.select("row", (F.col("k") * F.lit(window).cast("long")).alias("start"), F.lit(window).cast("long").alias("length"), "sequence_id")
     n_full = rows.agg(F.coalesce(F.sum("full"), F.lit(0))).first()[0]
 
@@ -239,9 +246,13 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> Data
     slot = F.broadcast(spark.createDataFrame(slots, "bin long, low long, high long, per long, first long"))  # DEPTH rows a strategy at most
     counts = rows.where("rest > 0").groupBy("part", "bin").count()
     ahead = counts.withColumn("ahead", F.sum("count").over(Window.partitionBy("bin").orderBy("part")) - F.col("count")).drop("count")
-    ranked = rows.where("rest > 0").withColumn("own", F.row_number().over(Window.partitionBy("part", "bin").orderBy("row")) - 1).join(ahead, ["part", "bin"]).withColumn("rank", F.col("own") + F.col("ahead"))
+    ranked = rows.where("rest > 0").withColumn(
+        "own", F.row_number().over(Window.partitionBy("part", "bin").orderBy("row")) - 1
+    ).join(ahead, ["part", "bin"]).withColumn("rank", F.col("own") + F.col("ahead"))
     start = F.col("full") * window
-    placed = ranked.join(slot, (ranked["bin"] == slot["bin"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").select("row", "part", "rest", start.alias("start"), (F.col("first") + F.expr("(rank - low) div per")).alias("sequence_id"))
+    placed = ranked.join(slot, (ranked["bin"] == slot["bin"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")), "left").select(
+        "row", "part", "rest", start.alias("start"), (F.col("first") + F.expr("(rank - low) div per")).alias("sequence_id")
+    )
     placed = written(placed)
     fitted = placed.where("sequence_id is not null").select("row", "start", F.col("rest").alias("length"), "sequence_id")
 
@@ -261,12 +272,17 @@ def pack(docs: DataFrame, path: str, end: int = 2, window: int = WINDOW) -> Data
     )
     tail = poured.where(F.col("to") > n_gap).withColumn("at", F.greatest("from", F.lit(n_gap)) - n_gap).withColumn("until", F.col("to") - n_gap)
     tail = tail.select("*", F.explode(F.expr(f"sequence(at div {window}, (until - 1) div {window})")).alias("k")).withColumns({"low": F.greatest("at", F.col("k") * window), "high": F.least("until", (F.col("k") + 1) * window)})
-    tail = tail.select("row", (F.col("start") + F.lit(n_gap) + F.col("low") - F.col("from")).alias("start"), (F.col("high") - F.col("low")).alias("length"), (F.lit(base) + F.col("k")).alias("sequence_id"))
+    tail = tail.select(
+        "row", (F.col("start") + F.lit(n_gap) + F.col("low") - F.col("from")).alias("start"), (F.col("high") - F.col("low")).alias("length"),
+        (F.lit(base) + F.col("k")).alias("sequence_id")
+    )
 
     pieces = full.unionByName(fitted).unionByName(into).unionByName(tail)
     pieces = pieces.withColumn("offset", F.sum("length").over(Window.partitionBy("sequence_id").orderBy("row", "start")) - F.col("length"))
     of_row = pieces.groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))  # one document's pieces
-    return tokens.join(of_row, "row").select("doc_id", "n", "ids", "width", "pieces").mapInArrow(tidy(_digest), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return tokens.join(of_row, "row").select("doc_id", "n", "ids", "width", "pieces").mapInArrow(
+        tidy(_digest), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    )
 
 
 def _digest(batches):

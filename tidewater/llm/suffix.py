@@ -230,14 +230,20 @@ def _judge(rows: pa.Table, length: int):
         edge = np.flatnonzero(again[1:] != again[:-1]) + 1
         first, end = (np.append(0, edge) if again[0] else edge).reshape(-1, 2).T  # no run crosses a row: its last symbols begin no window
         own = mine[owner[first]]
-        yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[first]), pa.array(start[end - 1] + LENGTH), pa.nulls(len(own), pa.binary())], names=["key", "id", "mark", "low", "high", "window"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[first]), pa.array(start[end - 1] + LENGTH), pa.nulls(len(own), pa.binary())],
+            names=["key", "id", "mark", "low", "high", "window"]
+        )
         apart = window[earliest]
         apart = apart[blocks[mine[owner[apart]]] > 1]
         for lo in range(0, len(apart), 10_000):
             k = apart[lo : lo + 10_000]
             own = mine[owner[k]]
             digest = [hashlib.blake2b(part[x : x + length].tobytes(), digest_size=16).digest() for x in k.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[k]), pa.array(start[k] + LENGTH), pa.array(digest, pa.binary())], names=["key", "id", "mark", "low", "high", "window"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[own]), pa.array(ids[own]), pa.array(marks[own]), pa.array(start[k]), pa.array(start[k] + LENGTH), pa.array(digest, pa.binary())],
+                names=["key", "id", "mark", "low", "high", "window"]
+            )
 
 
 def _sort_texts(length: int):
@@ -297,7 +303,9 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = apart.groupBy("key", "window").agg(F.min("place").alias("earliest"))
     later = apart.join(first, ["key", "window"]).where("place <> earliest").select("id", "mark", "low", "high")
     # occurrences between the first and the last of a class
-    between = occurs.join(classes.where("n > 2 and first <> last").select("fp", "region", "first", "last"), ["fp", "region"]).where((place != F.col("first")) & (place != F.col("last")))
+    between = occurs.join(
+        classes.where("n > 2 and first <> last").select("fp", "region", "first", "last"), ["fp", "region"]
+    ).where((place != F.col("first")) & (place != F.col("last")))
     low = F.shiftright("run", 16)
     between = between.select("id", "mark", low.alias("low"), (low + F.col("run").bitwiseAND(0xFF) - 1 + LENGTH).alias("high"))
     return written(own.union(later).union(between).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
@@ -325,7 +333,10 @@ def _digest(batches):
                 gone, kept = _removed(text.encode(), spans)
                 out.append((doc, mark, sum(b - a for a, b in gone), len(gone), hashlib.sha256(kept).hexdigest()))
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)], names=["id", "mark", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, types, strict=True)],
+                names=["id", "mark", "n_removed", "n_spans", "kept"]
+            )
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
@@ -334,7 +345,10 @@ def removal_report(docs: DataFrame) -> DataFrame:
     changed = maybe_among(_keyed(docs), spans, ["id", "mark"]).join(spans, ["id", "mark"]).select("id", "mark", "text", "spans")
     changed = changed.mapInArrow(tidy(_digest), "id long, mark long, n_removed long, n_spans long, kept string").dropDuplicates(["id", "mark"])
     text = F.coalesce(F.col("text"), F.lit(""))
-    facts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole"))
+    facts = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"),
+        F.xxhash64(text).alias("mark"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text.cast("binary"), 256).alias("whole")
+    )
     out = facts.join(changed, ["id", "mark"], "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return out.select("doc_id", "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "whole").alias("kept_sha256"))
@@ -346,7 +360,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
     A character of which only some bytes are repeated goes as a whole.
     """
     names, schema = docs.columns, docs.schema
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"), whole_row(docs).alias("row"))
+    keyed = docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("id"), F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("mark"),
+        whole_row(docs).alias("row")
+    )
     joined = keyed.join(repeats(docs), ["id", "mark"], "left").select("row", "spans")
 
     def run(batches):
@@ -354,7 +371,10 @@ def drop_repeats(docs: DataFrame) -> DataFrame:
             for at in range(0, len(batch), 128):
                 part = batch.slice(at, 128)
                 own = part.column(0).flatten()
-                texts = [t if not s or t is None else _removed(t.encode(), s)[1].decode("utf-8", "ignore") for t, s in zip(own[names.index("text")].to_pylist(), part.column(1).to_pylist(), strict=True)]
+                texts = [
+                    t if not s or t is None else _removed(t.encode(), s)[1].decode("utf-8", "ignore") for t,
+                    s in zip(own[names.index("text")].to_pylist(), part.column(1).to_pylist(), strict=True)
+                ]
                 own[names.index("text")] = pa.array(texts, pa.string())
                 if "n_chars" in names:
                     own[names.index("n_chars")] = pa.array([len(t or "") for t in texts]).cast(own[names.index("n_chars")].type)

@@ -309,7 +309,10 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(text, toxic) of SAMPLE labelled documents at most, near copies once; which ones depends on ids and texts alone."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("long").alias("toxic")).where(in_training())
     chosen = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).toDF("_id", "_toxic")
-    picked = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))  # SAMPLE rows at most
+    # SAMPLE rows at most
+    picked = docs.select(
+        F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text")
+    ).join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
     signed = cut(picked.select("text", F.col("_toxic").alias("toxic"), F.xxhash64("text").alias("mark")).mapInArrow(_lowest, "text string, toxic long, mark long, " + ", ".join(f"{k} long" for k in LOWEST)))
     left = signed.drop("text").distinct()
     for k in LOWEST:  # of documents that share a minimum-hash coordinate that of the least text hash stays
@@ -348,7 +351,10 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
                 seen.update({(entry, kind, chunk.strip(_OUTER), toxic[row]) for entry, kind, chunk, *_ in hits if kind != EXACT})
                 seen.update((None, None, w, toxic[row]) for _, kind, _, before, after in hits if kind == EXACT for w in _around(before, after))
             columns = [*zip(*seen, strict=True)] or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([*columns, list(seen.values())], [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)], names=["entry", "kind", "form", "toxic", "n"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip([*columns, list(seen.values())], [pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()], strict=True)],
+                names=["entry", "kind", "form", "toxic", "n"]
+            )
 
     forms = cut(sample.mapInArrow(sightings, "entry string, kind int, form string, toxic long, n long").groupBy("entry", "kind", "form").agg(F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("b")))
     other = forms.where("entry is not null")
