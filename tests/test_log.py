@@ -99,8 +99,12 @@ def test_read_log(spark, tmp_path, width):
     tails = {r["path"][-5]: (r["file_len"], r["clean_end"], r["records"], r["state"]) for r in journal.log_tails(spark, str(tmp_path), width).collect()}
     end, last = len(other), want[-1][0]
     assert tails == {
-        "a": (len(data) + 7, len(data), 120, "CleanEnd"), "b": (0, 0, 0, "CleanEnd"), "c": (end + 5, end, 40, "TruncatedHeader"), "d": (len(data) - 1, tail(data[:-1])[1], 119, "TruncatedPayload"),
-        "e": (2 * end + 12, end, 40, "BadMagic"), "f": (600, 0, 0, "CleanEnd"), "g": (end + 2000, end, 40, "CleanEnd"), "h": (len(data), tail(bytes(broken))[1], at, "ChecksumMismatch"),
+        "a": (len(data) + 7, len(data), 120, "CleanEnd"), "b": (0, 0, 0, "CleanEnd"), "c": (end + 5, end, 40, "TruncatedHeader"), "d": (
+            len(data) - 1, tail(data[:-1])[1], 119, "TruncatedPayload"
+        ),
+        "e": (2 * end + 12, end, 40, "BadMagic"), "f": (600, 0, 0, "CleanEnd"), "g": (end + 2000, end, 40, "CleanEnd"), "h": (
+            len(data), tail(bytes(broken))[1], at, "ChecksumMismatch"
+        ),
     }
     assert last > 0 and tails["h"][1] <= want[at][0]
     some = journal.read_log(spark, str(tmp_path / "a.log"), want[50][0], width).collect()
@@ -119,7 +123,10 @@ def test_repair(spark, tmp_path):
     (tmp_path / f"b.log.corrupt-{n}").write_bytes(b"else")  # the name is taken
     (tmp_path / f"e.log.corrupt-{n}").write_bytes(b"other" + good)  # saved before a crash
     got = {r["path"].rpartition("/")[2]: (r["clean_end"], r["tail"], r["sidecar"]) for r in journal.repair(spark, str(tmp_path), 128).collect()}
-    assert got == {"a.log": (n, "Empty", None), "b.log": (n, "Preserved", f"b.log.corrupt-{n}.1"), "c.log": (n, "Zeros", None), "d.log": (0, "Empty", None), "e.log": (n, "Preserved", f"e.log.corrupt-{n}")}
+    assert got == {
+        "a.log": (n, "Empty", None), "b.log": (n, "Preserved", f"b.log.corrupt-{n}.1"), "c.log": (n, "Zeros", None), "d.log": (0, "Empty", None),
+        "e.log": (n, "Preserved", f"e.log.corrupt-{n}")
+    }
     assert all((tmp_path / k).read_bytes() == (good if k != "d.log" else b"") for k in cases)
     assert (tmp_path / f"b.log.corrupt-{n}.1").read_bytes() == b"torn" and len(list(tmp_path.iterdir())) == 8
     assert {r["tail"] for r in journal.repair(spark, str(tmp_path)).collect()} == {"Empty"}
@@ -183,13 +190,18 @@ def test_globs(spark):
     assert namespace.expand_braces("{a,b}/{c,d}") == ["a/c", "a/d", "b/c", "b/d"]
     assert namespace.expand_braces("{a,{b,c}}") == ["a}", "b", "c}"] and namespace.expand_braces("a{b") == ["a{b"]
     assert len(namespace.expand_braces("{a,b}" * 12)) == 1024
-    names = [("", True), ("x.txt", False), ("a", True), ("a/x.txt", False), ("a/b", True), ("a/b/x.txt", False), ("a/b/y.md", False), ("!.txt", False), ("].txt", False), ("-.txt", False), ("a.b", True)]
+    names = [
+        ("", True), ("x.txt", False), ("a", True), ("a/x.txt", False), ("a/b", True), ("a/b/x.txt", False), ("a/b/y.md", False), ("!.txt", False),
+        ("].txt", False), ("-.txt", False), ("a.b", True)
+    ]
     paths = spark.createDataFrame(names, "path string, is_dir boolean")
     found = lambda p: sorted(r[0] for r in namespace.find(paths, p, F.col("is_dir")).collect())
     assert found("x*.txt") == ["x.txt"]
     assert found("**/x.txt") == ["a/b/x.txt", "a/x.txt", "x.txt"]
     assert found("a/*/{x.txt,y.md}") == ["a/b/x.txt", "a/b/y.md"]
-    assert found("[!a-x].txt") == ["!.txt", "-.txt", "].txt"] and found("[]!].txt") == ["!.txt", "].txt"] and found("[x-].txt") == ["-.txt", "x.txt"] and found("[!!]*") == ["-.txt", "].txt", "a", "a.b", "x.txt"]
+    assert found("[!a-x].txt") == ["!.txt", "-.txt", "].txt"] and found("[]!].txt") == ["!.txt", "].txt"] and found("[x-].txt") == ["-.txt", "x.txt"] and found("[!!]*") == [
+        "-.txt", "].txt", "a", "a.b", "x.txt"
+    ]
     assert found("a/**") == ["a/b"] and found("**") == ["", "a", "a.b", "a/b"] and found("") == [""] and found("./a//b") == ["a/b"] and found("a?b") == ["a.b"]
     for bad in ("../x", "{..,x}/a.txt", "/x", "x..y"):
         with pytest.raises(ValueError, match="escapes"):
@@ -218,11 +230,15 @@ def test_plans_of_a_hot_key(spark):
     got = log.contiguous_frontier(df, "user", "at", ~F.col("flag"), F.lit(1))
     assert {r["user"]: (r["frontier"], r["finished"]) for r in got.collect()} == {u: (n, n) for u, own in by.items() for n in [sum(r[1] < first[u] for r in own)]}
     sticky = log.poisoned(df, "user", "at", F.col("flag"))
-    assert {r["user"]: (r["accepted"], r["rejected"]) for r in sticky.collect()} == {u: (sum(r[1] <= first[u] for r in own), sum(r[1] > first[u] for r in own)) for u, own in by.items()}
+    assert {r["user"]: (r["accepted"], r["rejected"]) for r in sticky.collect()} == {
+        u: (sum(r[1] <= first[u] for r in own), sum(r[1] > first[u] for r in own)) for u, own in by.items()
+    }
     holes = {(b[0], b[1], a[4]) for own in by.values() for a, b in zip(own, own[1:]) if a[4] != b[3]}
     assert {(r["user"], r["at"], r["previous_end"]) for r in log.gaps(df, "at", "user").collect()} == holes
     done = batch.outcomes(df, "user", [F.col("at")], F.col("flag"), F.concat(F.lit("E"), "at"))
-    assert {r["user"]: (r["ops"], r["failed_at"], r["error_code"]) for r in done.collect()} == {u: (len(own), *((sum(r[1] < first[u] for r in own), f"E{first[u]}") if first[u] < 1 << 60 else (None, None))) for u, own in by.items()}
+    assert {r["user"]: (r["ops"], r["failed_at"], r["error_code"]) for r in done.collect()} == {
+        u: (len(own), *((sum(r[1] < first[u] for r in own), f"E{first[u]}") if first[u] < 1 << 60 else (None, None))) for u, own in by.items()
+    }
     for out in (got, sticky, done):
         assert "Window" not in out._jdf.queryExecution().toString()
     value = telemetry.nearest_rank(df, "user", "at", {"p50": 0.5})
@@ -243,7 +259,9 @@ def test_group_commit(spark, tmp_path):
     want = {0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 3, 6: 6, 7: 6, 8: 8}
     assert {r["event_id"]: r["leader_id"] for r in group_commit.commits(df, 60, 2).collect()} == want
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
-    q = group_commit.stream_commits(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60, 2).writeStream.format("memory").queryName("commits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = group_commit.stream_commits(
+        spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), 60, 2
+    ).writeStream.format("memory").queryName("commits").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["event_id"]: r["leader_id"] for r in spark.table("commits").collect()} == want
 
@@ -256,11 +274,15 @@ def test_syncs_of_a_stream(spark, tmp_path):
     portions = [[(1, 0, 0), (1, 1, 10), (2, 2, 5)], [(1, 3, 70), (2, 4, 6), (2, 5, 7)], [(3, 6, 1000)], [(3, 7, 5000)]]
     (tmp_path / "in").mkdir()
     for k, rows in enumerate(portions):
-        spark.createDataFrame([(u, e, start + dt.timedelta(seconds=s)) for u, e, s in rows], "user_id long, event_id long, ts timestamp").coalesce(1).write.parquet(str(tmp_path / "raw" / str(k)))
+        spark.createDataFrame(
+            [(u, e, start + dt.timedelta(seconds=s)) for u, e, s in rows], "user_id long, event_id long, ts timestamp"
+        ).coalesce(1).write.parquet(str(tmp_path / "raw" / str(k)))
         next((tmp_path / "raw" / str(k)).glob("part*")).rename(tmp_path / "in" / f"{k}.parquet")
         os.utime(tmp_path / "in" / f"{k}.parquet", (k + 1, k + 1))
     stream = spark.readStream.schema("user_id long, event_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")).withWatermark("ts", "0 seconds")
-    q = group_commit.stream_syncs(stream, 60, 2).writeStream.format("memory").queryName("syncs").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q = group_commit.stream_syncs(stream, 60, 2).writeStream.format("memory").queryName("syncs").outputMode("append").option(
+        "checkpointLocation", str(tmp_path / "c")
+    ).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {tuple(r) for r in spark.table("syncs").collect()} == {(1, 0, 1), (2, 2, 2), (1, 3, 0), (3, 6, 0)}
 

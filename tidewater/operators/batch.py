@@ -19,7 +19,10 @@ def outcomes(ops: DataFrame, batch: str, order: list[Column], failed: Column, er
     marked = ops.select(batch, F.struct(*order).alias("at"), failed.alias("failed"), (F.lit(None).cast("string") if error is None else error).alias("error"))
     first = marked.where("failed").groupBy(batch).agg(F.min("at").alias("first"), F.min_by("error", "at").alias("error_code"))
     joined = marked.join(first, batch, "left")
-    out = joined.groupBy(batch).agg(F.count("*").alias("ops"), F.count_if(F.col("at") < F.col("first")).alias("_before"), F.bool_or(F.col("first").isNotNull()).alias("_any"), F.max("error_code").alias("error_code"))
+    out = joined.groupBy(batch).agg(
+        F.count("*").alias("ops"), F.count_if(F.col("at") < F.col("first")).alias("_before"), F.bool_or(F.col("first").isNotNull()).alias("_any"),
+        F.max("error_code").alias("error_code")
+    )
     out = out.withColumn("failed_at", F.when(F.col("_any"), F.col("_before"))).withColumn("completed", F.coalesce("failed_at", "ops")).drop("_any", "_before")
     return out if error is not None else out.drop("error_code")
 
@@ -27,7 +30,10 @@ def outcomes(ops: DataFrame, batch: str, order: list[Column], failed: Column, er
 def build(rows: DataFrame, kind: str, path: Column, src: Column | None = None, data: Column | None = None) -> DataFrame:
     """Operations of one kind (write, delete, copy) from rows that keep their other columns; union builders to mix kinds."""
     none = F.lit(None)
-    return rows.select("*", F.lit(kind).alias("kind"), path.alias("path"), (none if src is None else src).cast("string").alias("src"), (none if data is None else data).cast("string").alias("data"))
+    return rows.select(
+        "*", F.lit(kind).alias("kind"), path.alias("path"), (none if src is None else src).cast("string").alias("src"),
+        (none if data is None else data).cast("string").alias("data")
+    )
 
 
 def last_write_wins(ops: DataFrame, path: str, order: str, deleted: Column) -> DataFrame:
@@ -72,7 +78,9 @@ def apply_ops(ops: DataFrame, batch: str, order: str) -> tuple[DataFrame, DataFr
     while not step.where("state = 'copy'").isEmpty():
         ahead = step.select(batch, F.col(order).alias("_at"), F.col("state").alias("_state"), F.col("origin").alias("_origin"))
         settled, open_ = step.where("state <> 'copy'"), step.where("state = 'copy'")
-        moved = open_.join(ahead, (open_[batch] == ahead[batch]) & (F.col("origin") == F.col("_at"))).select(open_[batch], order, "kind", "path", "op_idx", F.col("_state").alias("state"), F.col("_origin").alias("origin"))
+        moved = open_.join(ahead, (open_[batch] == ahead[batch]) & (F.col("origin") == F.col("_at"))).select(
+            open_[batch], order, "kind", "path", "op_idx", F.col("_state").alias("state"), F.col("_origin").alias("origin")
+        )
         step = cut(settled.unionByName(moved))
     fails = (F.col("kind") == "copy") & F.col("state").isin("nothing", "delete")
     done = step.groupBy(batch).agg(F.count("*").alias("ops"), F.min(F.when(fails, F.col("op_idx"))).alias("failed_at")).withColumn("completed", F.coalesce("failed_at", "ops"))

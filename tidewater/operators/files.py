@@ -46,7 +46,10 @@ def append_all(old: DataFrame, appends: DataFrame, key: str, order: str, data: s
     """(key, data) after the appends in ``order``; missing files begin empty. A file is one value, so its pieces meet in one row."""
     pieces = appends.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, data)))[data].alias("_pieces"))
     joined = old.select(key, F.col(data).alias("_old")).join(pieces, key, "full")
-    grown = F.aggregate(F.coalesce("_pieces", F.array().cast(f"array<{appends.schema[data].dataType.simpleString()}>")), F.coalesce(F.col("_old"), F.lit("").cast(old.schema[data].dataType)), lambda a, x: F.concat(a, x))
+    grown = F.aggregate(
+        F.coalesce("_pieces", F.array().cast(f"array<{appends.schema[data].dataType.simpleString()}>")),
+        F.coalesce(F.col("_old"), F.lit("").cast(old.schema[data].dataType)), lambda a, x: F.concat(a, x)
+    )
     return joined.select(key, grown.alias(data))
 
 

@@ -29,7 +29,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOG = "SELECT event_id, user_id, event_type, CAST(sum(strlen(props) + 12) OVER (ORDER BY event_id) AS BIGINT) AS next_lsn, CAST(strlen(props) + 12 AS BIGINT) AS fl FROM events"
+_LOG = """SELECT event_id, user_id, event_type, CAST(sum(strlen(props) + 12) OVER (ORDER BY event_id) AS BIGINT) AS next_lsn, CAST(strlen(props) + 12 AS BIGINT) AS fl
+  FROM events"""
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,8 @@ def log_lsn_assign(spark, sf_dir):
     return _log(spark, sf_dir).select("event_id", "lsn", "next_lsn")
 
 
-@_query("SELECT conv_id, records, bytes, end_lsn - bytes AS start_lsn, end_lsn FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS end_lsn FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id))")
+@_query("""SELECT conv_id, records, bytes, end_lsn - bytes AS start_lsn, end_lsn FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS end_lsn
+  FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes FROM conversations GROUP BY conv_id))""")
 def log_batch_append(spark, sf_dir):
     return log.append_batches(_t(spark, sf_dir, "conversations"), "conv_id", "text").select("conv_id", "records", "bytes", "start_lsn", "end_lsn")
 
@@ -69,13 +71,17 @@ def log_frontier(spark, sf_dir):
     return log.frontier(_log(spark, sf_dir))
 
 
-@_query("SELECT conv_id, records, rejected, bytes, CASE WHEN NOT rejected THEN e - bytes END AS start_lsn, CASE WHEN NOT rejected THEN e END AS end_lsn FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS e FROM (SELECT conv_id, count(*) AS records, max(strlen(text)) > 400 AS rejected, CAST(CASE WHEN max(strlen(text)) > 400 THEN 0 ELSE sum(strlen(text) + 12) END AS BIGINT) AS bytes FROM conversations GROUP BY conv_id))")
+@_query("""SELECT conv_id, records, rejected, bytes, CASE WHEN NOT rejected THEN e - bytes END AS start_lsn, CASE WHEN NOT rejected THEN e END AS end_lsn
+  FROM (SELECT *, CAST(sum(bytes) OVER (ORDER BY conv_id) AS BIGINT) AS e
+  FROM (SELECT conv_id, count(*) AS records, max(strlen(text)) > 400 AS rejected, CAST(CASE WHEN max(strlen(text)) > 400 THEN 0 ELSE sum(strlen(text) + 12) END AS BIGINT) AS bytes
+  FROM conversations GROUP BY conv_id))""")
 def log_batch_reject(spark, sf_dir):
     """With a cap of 400 bytes: a batch with a record over it is refused whole."""
     return log.append_batches(_t(spark, sf_dir, "conversations"), "conv_id", "text", 400).select("conv_id", "records", "rejected", "bytes", "start_lsn", "end_lsn")
 
 
-@_query("SELECT event_id, strlen(props) > 40 AS rejected, CASE WHEN strlen(props) <= 40 THEN CAST(sum(CASE WHEN strlen(props) <= 40 THEN strlen(props) + 12 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) END AS next_lsn FROM events")
+@_query("""SELECT event_id, strlen(props) > 40 AS rejected, CASE WHEN strlen(props) <= 40 THEN CAST(sum(CASE WHEN strlen(props) <= 40 THEN strlen(props) + 12 ELSE 0 END) OVER (ORDER BY event_id) AS BIGINT) END AS next_lsn
+  FROM events""")
 def log_record_reject(spark, sf_dir):
     return log.assign_lsn(_t(spark, sf_dir, "events").select("event_id", "props"), ["event_id"], "props", 40).select("event_id", "rejected", "next_lsn")
 
@@ -88,32 +94,40 @@ def log_torn_tail(spark, sf_dir):
     return log.torn_tails(_log(spark, sf_dir), cuts).select("cut", "records", "clean_end", "state")
 
 
-@_query(f"SELECT event_id, user_id, lsn, previous_end FROM (SELECT event_id, user_id, next_lsn - fl AS lsn, lag(next_lsn) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_end FROM ({_LOG})) WHERE previous_end <> lsn")
+@_query(f"""SELECT event_id, user_id, lsn, previous_end
+  FROM (SELECT event_id, user_id, next_lsn - fl AS lsn, lag(next_lsn) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_end FROM ({_LOG}))
+  WHERE previous_end <> lsn""")
 def log_gap_detect(spark, sf_dir):
     return log.gaps(_log(spark, sf_dir), "event_id", "user_id").select("event_id", "user_id", "lsn", "previous_end")
 
 
-@_query("SELECT event_id, user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS durable_at FROM events")
+@_query("""SELECT event_id, user_id, min(CASE WHEN event_type = 'purchase' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS durable_at
+  FROM events""")
 def log_durable_asof(spark, sf_dir):
     return log.durable_at(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "purchase").select("event_id", "user_id", "durable_at")
 
 
-@_query("SELECT user_id, CAST(coalesce(sum(size) FILTER (WHERE whole = 1), 0) AS BIGINT) AS frontier, CAST(sum(whole) AS BIGINT) AS finished FROM (SELECT user_id, strlen(props) + 12 AS size, min(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS whole FROM events) GROUP BY user_id")
+@_query("""SELECT user_id, CAST(coalesce(sum(size) FILTER (WHERE whole = 1), 0) AS BIGINT) AS frontier, CAST(sum(whole) AS BIGINT) AS finished
+  FROM (SELECT user_id, strlen(props) + 12 AS size, min(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS whole
+  FROM events) GROUP BY user_id""")
 def log_contiguous_frontier(spark, sf_dir):
     return log.contiguous_frontier(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") != "error", log.frame_len(F.col("props")))
 
 
-@_query("SELECT user_id, CAST(sum(1 - bad) AS BIGINT) AS accepted, CAST(sum(bad) AS BIGINT) AS rejected FROM (SELECT user_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad FROM events) GROUP BY user_id")
+@_query("""SELECT user_id, CAST(sum(1 - bad) AS BIGINT) AS accepted, CAST(sum(bad) AS BIGINT) AS rejected
+  FROM (SELECT user_id, coalesce(max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bad
+  FROM events) GROUP BY user_id""")
 def log_poison(spark, sf_dir):
     return log.poisoned(_t(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "error")
 
 
-@_query("SELECT doc_id, lower('46535901' || lpad(hex(strlen(text) & 255), 2, '0') || lpad(hex((strlen(text) >> 8) & 255), 2, '0') || lpad(hex((strlen(text) >> 16) & 255), 2, '0') || lpad(hex((strlen(text) >> 24) & 255), 2, '0')) AS header FROM documents")
+@_query("""SELECT doc_id, lower('46535901' || lpad(hex(strlen(text) & 255), 2, '0') || lpad(hex((strlen(text) >> 8) & 255), 2, '0') || lpad(hex((strlen(text) >> 16) & 255), 2, '0') || lpad(hex((strlen(text) >> 24) & 255), 2, '0')) AS header
+  FROM documents""")
 def frame_header_hex(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", log.frame_header_hex(F.col("text")).alias("header"))
 
 
-_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 1, 2, 3, 4, 5, 6, 7], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 2197175160) ELSE r >> 1 END))"
+_CRC_TABLE = """list_transform(range(256), lambda n: list_reduce([n, 0, 1, 2, 3, 4, 5, 6, 7], lambda r, k: CASE WHEN r & 1 = 1 THEN xor(r >> 1, 2197175160) ELSE r >> 1 END))"""
 
 
 @_query(f"""WITH t AS (SELECT {_CRC_TABLE} AS t), b AS (SELECT event_id, '46535901' || printf('%02x%02x0000', strlen(props) % 256, strlen(props) // 256) || hex(encode(props)) AS h FROM events),
@@ -154,16 +168,19 @@ def _broken_logs(spark, sf_dir):
     return path
 
 
-_LENGTHS = "SELECT CAST(sum(strlen(r_name) + 12) AS BIGINT) AS whole, CAST(sum(CASE WHEN r_regionkey < 4 THEN strlen(r_name) + 12 END) AS BIGINT) AS four, CAST(sum(CASE WHEN r_regionkey < 1 THEN strlen(r_name) + 12 END) AS BIGINT) AS one FROM region"
+_LENGTHS = """SELECT CAST(sum(strlen(r_name) + 12) AS BIGINT) AS whole, CAST(sum(CASE WHEN r_regionkey < 4 THEN strlen(r_name) + 12 END) AS BIGINT) AS four, CAST(sum(CASE WHEN r_regionkey < 1 THEN strlen(r_name) + 12 END) AS BIGINT) AS one
+  FROM region"""
 
 
-@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole + 77, whole - 3, whole]) AS file_len, unnest([whole, four, one]) AS clean_end, CAST(unnest([5, 4, 1]) AS BIGINT) AS records, unnest(['CleanEnd', 'TruncatedPayload', 'ChecksumMismatch']) AS state FROM ({_LENGTHS})")
+@_query(f"""SELECT unnest([0, 1, 2]) AS log, unnest([whole + 77, whole - 3, whole]) AS file_len, unnest([whole, four, one]) AS clean_end, CAST(unnest([5, 4, 1]) AS BIGINT) AS records, unnest(['CleanEnd', 'TruncatedPayload', 'ChecksumMismatch']) AS state
+  FROM ({_LENGTHS})""")
 def log_tails(spark, sf_dir):
     tails = journal.log_tails(spark, _broken_logs(spark, sf_dir))
     return tails.select(F.regexp_extract("path", r"(\d)\.log$", 1).cast("int").alias("log"), "file_len", "clean_end", "records", "state")
 
 
-@_query(f"SELECT unnest([0, 1, 2]) AS log, unnest([whole, four, one]) AS clean_end, unnest(['Zeros', 'Preserved', 'Preserved']) AS tail, unnest([NULL, '1.log.corrupt-' || four, '2.log.corrupt-' || one]) AS sidecar, unnest([whole, four, one]) AS new_len FROM ({_LENGTHS})")
+@_query(f"""SELECT unnest([0, 1, 2]) AS log, unnest([whole, four, one]) AS clean_end, unnest(['Zeros', 'Preserved', 'Preserved']) AS tail, unnest([NULL, '1.log.corrupt-' || four, '2.log.corrupt-' || one]) AS sidecar, unnest([whole, four, one]) AS new_len
+  FROM ({_LENGTHS})""")
 def log_repair(spark, sf_dir):
     """Logs cut back to their clean ends, tails saved; and what the logs look like then."""
     path = _broken_logs(spark, sf_dir)
@@ -171,7 +188,8 @@ def log_repair(spark, sf_dir):
     return done.join(after, "path").select(F.regexp_extract("path", r"(\d)\.log$", 1).cast("int").alias("log"), "clean_end", "tail", "sidecar", "new_len")
 
 
-@_query(f"SELECT unnest([0, 0, 0]) AS log, unnest([0, one, whole]) AS lsn, unnest(['Ok', 'Ok', 'InvalidData']) AS state, unnest([(SELECT r_name FROM region WHERE r_regionkey = 0), (SELECT r_name FROM region WHERE r_regionkey = 1), NULL]) AS payload FROM ({_LENGTHS})")
+@_query(f"""SELECT unnest([0, 0, 0]) AS log, unnest([0, one, whole]) AS lsn, unnest(['Ok', 'Ok', 'InvalidData']) AS state, unnest([(SELECT r_name FROM region
+  WHERE r_regionkey = 0), (SELECT r_name FROM region WHERE r_regionkey = 1), NULL]) AS payload FROM ({_LENGTHS})""")
 def log_read_at(spark, sf_dir):
     """Two records by their positions, and the zeros behind the last."""
     path = _broken_logs(spark, sf_dir) + "/0.log"
@@ -190,13 +208,16 @@ def log_group_commit(spark, sf_dir):
     return group_commit.commits(_t(spark, sf_dir, "events").where("event_type = 'purchase'").select("user_id", "event_id", "ts"), window_s=3600.0, most_followers=8)
 
 
-@_query("SELECT l_orderkey, count(*) AS ops, min(i) FILTER (WHERE l_returnflag = 'R') AS failed_at, coalesce(min(i) FILTER (WHERE l_returnflag = 'R'), count(*)) AS completed FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS i FROM lineitem) GROUP BY l_orderkey")
+@_query("""SELECT l_orderkey, count(*) AS ops, min(i) FILTER (WHERE l_returnflag = 'R') AS failed_at, coalesce(min(i) FILTER (WHERE l_returnflag = 'R'), count(*)) AS completed
+  FROM (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_returnflag) - 1 AS i
+  FROM lineitem) GROUP BY l_orderkey""")
 def batch_partial_failure(spark, sf_dir):
     order = [F.col(c) for c in ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag")]
     return batch.outcomes(_t(spark, sf_dir, "lineitem"), "l_orderkey", order, F.col("l_returnflag") == "R").select("l_orderkey", "ops", "failed_at", "completed")
 
 
-@_query("SELECT conv_id, count(*) AS ops, min(i) FILTER (WHERE turn % 5 = 3) AS failed_at, coalesce(min(i) FILTER (WHERE turn % 5 = 3), count(*)) AS completed, CASE WHEN count(*) FILTER (WHERE turn % 5 = 3) > 0 THEN 'FS-00001' END AS error_code FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id")
+@_query("""SELECT conv_id, count(*) AS ops, min(i) FILTER (WHERE turn % 5 = 3) AS failed_at, coalesce(min(i) FILTER (WHERE turn % 5 = 3), count(*)) AS completed, CASE WHEN count(*) FILTER (WHERE turn % 5 = 3) > 0 THEN 'FS-00001' END AS error_code
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM conversations) GROUP BY conv_id""")
 def batch_error_codes(spark, sf_dir):
     """Two kinds of operations from builders; the fourth of a batch's turns fails."""
     turns = _t(spark, sf_dir, "conversations")
@@ -205,7 +226,8 @@ def batch_error_codes(spark, sf_dir):
     return batch.outcomes(ops, "conv_id", [F.col("turn")], F.col("turn") % 5 == 3, F.lit("FS-00001")).select("conv_id", "ops", "failed_at", "completed", "error_code")
 
 
-@_query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1 AND event_type <> 'error'")
+@_query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events)
+  WHERE r = 1 AND event_type <> 'error'""")
 def batch_last_write_wins(spark, sf_dir):
     return batch.last_write_wins(_t(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", F.col("event_type") == "error")
 
@@ -218,10 +240,13 @@ def batch_grouped_parents(spark, sf_dir):
 _URL = "regexp_replace(url, '^[a-z]+://', '')"
 
 
-@_query("SELECT batch, count(*) AS ops, min(page_id) FILTER (WHERE url LIKE '%#%') AS first_escape, count(*) FILTER (WHERE url LIKE '%#%') > 0 AS rejected, CASE WHEN count(*) FILTER (WHERE url LIKE '%#%') > 0 THEN 0 ELSE count(*) END AS completed FROM (SELECT page_id, url, page_id // 10 AS batch FROM pages) GROUP BY batch")
+@_query("""SELECT batch, count(*) AS ops, min(page_id) FILTER (WHERE url LIKE '%#%') AS first_escape, count(*) FILTER (WHERE url LIKE '%#%') > 0 AS rejected, CASE WHEN count(*) FILTER (WHERE url LIKE '%#%') > 0 THEN 0 ELSE count(*) END AS completed
+  FROM (SELECT page_id, url, page_id // 10 AS batch FROM pages) GROUP BY batch""")
 def batch_preflight_reject(spark, sf_dir):
     """A fragment stands for two steps up, so a url with one leaves the root."""
-    ops = _t(spark, sf_dir, "pages").select("page_id", F.expr("page_id div 10").alias("batch"), F.when(F.col("url").contains("#"), F.lit("a/../..")).otherwise(F.lit("a/b")).alias("path"))
+    ops = _t(spark, sf_dir, "pages").select(
+        "page_id", F.expr("page_id div 10").alias("batch"), F.when(F.col("url").contains("#"), F.lit("a/../..")).otherwise(F.lit("a/b")).alias("path")
+    )
     return batch.preflight(ops, "batch", "page_id", fn.escapes_root(F.col("path"))).select("batch", "ops", "first_escape", "rejected", "completed")
 
 
@@ -238,7 +263,8 @@ def file_upsert(spark, sf_dir):
     return _priced(spark, sf_dir, [])
 
 
-@_query(f"SELECT o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, o_orderstatus, o_orderpriority FROM orders o FULL JOIN ({_NEW}) n USING (o_orderkey)")
+@_query(f"""SELECT o_orderkey, coalesce(n.o_totalprice, o.o_totalprice) AS o_totalprice, o_orderstatus, o_orderpriority FROM orders o FULL
+  JOIN ({_NEW}) n USING (o_orderkey)""")
 def file_write_copy(spark, sf_dir):
     return _priced(spark, sf_dir, ["o_orderstatus", "o_orderpriority"])
 
@@ -273,7 +299,8 @@ def bytes_read_at(spark, sf_dir):
     return _bytes(spark, sf_dir, lambda c: files.read_at(c, 16, 64))
 
 
-@_query(f"SELECT doc_id, md5(substr({_HEX}, 1, 32) || repeat('00', greatest(0, 16 - strlen(text))) || '6162636465' || substr({_HEX}, 43)) AS digest FROM documents")
+@_query(f"""SELECT doc_id, md5(substr({_HEX}, 1, 32) || repeat('00', greatest(0, 16 - strlen(text))) || '6162636465' || substr({_HEX}, 43)) AS digest
+  FROM documents""")
 def bytes_write_at(spark, sf_dir):
     return _bytes(spark, sf_dir, lambda c: files.write_at(c, 16, b"abcde"))
 
@@ -288,7 +315,9 @@ def bytes_zero_range(spark, sf_dir):
     return _bytes(spark, sf_dir, lambda c: files.zero_range(c, 20, 50))
 
 
-_TREE = "SELECT r_name AS path, false AS is_file FROM region UNION ALL SELECT r_name || '/' || n_name, false FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, true FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"
+_TREE = """SELECT r_name AS path, false AS is_file FROM region UNION ALL SELECT r_name || '/' || n_name, false FROM nation
+  JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name || '/' || n_name || '/' || c_name, true FROM customer
+  JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
 
 
 def _tree(spark, sf_dir):
@@ -309,12 +338,15 @@ def ns_scan_all(spark, sf_dir):
     return namespace.scan_all(_tree(spark, sf_dir), "ASIA")
 
 
-@_query(f"WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(0, len(p))) AS k FROM f) SELECT array_to_string(p[1:k], '/') AS dir, CAST(sum(CASE WHEN k = len(p) - 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_direct, count(*) AS n_all FROM d GROUP BY 1")
+@_query(f"""WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(0, len(p))) AS k
+  FROM f) SELECT array_to_string(p[1:k], '/') AS dir, CAST(sum(CASE WHEN k = len(p) - 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_direct, count(*) AS n_all
+  FROM d GROUP BY 1""")
 def ns_count_all(spark, sf_dir):
     return namespace.count_all(_tree(spark, sf_dir), F.col("is_file"))
 
 
-@_query(f"WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(1, len(p))) AS k FROM f) SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM d")
+@_query(f"""WITH f AS (SELECT string_split(path, '/') AS p FROM ({_TREE}) WHERE is_file), d AS (SELECT p, unnest(range(1, len(p))) AS k
+  FROM f) SELECT DISTINCT array_to_string(p[1:k], '/') AS path FROM d""")
 def ns_mkdir_all(spark, sf_dir):
     return namespace.missing_ancestors(_tree(spark, sf_dir).where("is_file").select("path"))
 
@@ -351,7 +383,8 @@ def ns_mkdir(spark, sf_dir):
     return namespace.make_dirs(_tree(spark, sf_dir), wanted.toDF("path"))
 
 
-@_query(f"SELECT path, path IN ('ASIA/JAPAN', 'ASIA/INDIA') AS failed FROM ({_TREE}) WHERE path LIKE 'ASIA/%' AND path NOT LIKE 'ASIA/JAPAN/%' AND path NOT LIKE 'ASIA/INDIA/%'")
+@_query(f"""SELECT path, path IN ('ASIA/JAPAN', 'ASIA/INDIA') AS failed FROM ({_TREE})
+  WHERE path LIKE 'ASIA/%' AND path NOT LIKE 'ASIA/JAPAN/%' AND path NOT LIKE 'ASIA/INDIA/%'""")
 def ns_scan_partial(spark, sf_dir):
     unreadable = spark.createDataFrame([("ASIA/JAPAN",), ("ASIA/INDIA",), ("EUROPE",)], "path string")
     return namespace.scan_partial(_tree(spark, sf_dir), "ASIA", unreadable).select("path", "failed")
@@ -396,7 +429,8 @@ def align_up(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", fn.align_up(F.col("n_chars"), 512).alias("aligned"))
 
 
-@_query("SELECT o_orderkey, o_orderkey % 11 <> 3 OR o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 2 = 0 OR date_diff('second', o_orderdate, TIMESTAMP '1995-08-02') >= 30 * 86400 AS stale FROM orders")
+@_query("""SELECT o_orderkey, o_orderkey % 11 <> 3 OR o_orderpriority <> '1-URGENT' OR o_orderstatus <> 'F' OR o_custkey % 2 = 0 OR date_diff('second', o_orderdate, TIMESTAMP '1995-08-02') >= 30 * 86400 AS stale
+  FROM orders""")
 def capability_stale(spark, sf_dir):
     found = {"schema": F.col("o_orderkey") % 11, "version": F.col("o_orderpriority"), "kernel": F.col("o_orderstatus"), "system": F.col("o_custkey") % 2}
     current = {"schema": F.lit(3), "version": F.lit("1-URGENT"), "kernel": F.lit("F"), "system": F.lit(1)}
@@ -408,7 +442,10 @@ def capability_stale(spark, sf_dir):
 CASE WHEN p_partkey % 4 = 0 THEN 'NoNvmeDevices' END, CASE WHEN p_partkey % 4 > 0 AND p_partkey % 4 - p_partkey % 3 <= 0 THEN 'AllDevicesInUse' END, CASE WHEN p_partkey % 2 = 1 THEN 'IommuNotConfigured' END, CASE WHEN p_size % 8 < 4 THEN 'InsufficientCores' END], lambda x: x IS NOT NULL) END AS r FROM part)""")
 def skip_reasons(spark, sf_dir):
     k, size = F.col("p_partkey"), F.col("p_size")
-    reasons = fn.skip_reasons(F.when(k % 9 == 0, "macos").otherwise("linux"), size * 10, F.col("p_retailprice") >= 1000, k % 4, F.greatest(k % 4 - k % 3, F.lit(0)), k % 2 == 0, size % 8)
+    reasons = fn.skip_reasons(
+        F.when(k % 9 == 0, "macos").otherwise("linux"), size * 10, F.col("p_retailprice") >= 1000, k % 4, F.greatest(k % 4 - k % 3, F.lit(0)),
+        k % 2 == 0, size % 8
+    )
     return _t(spark, sf_dir, "part").select("p_partkey", F.array_join(reasons, ",").alias("reasons"), fn.first_reason(reasons).alias("first"))
 
 
@@ -424,7 +461,10 @@ def durability_ladder(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", fn.durability_primitive(method, system, nvme, ring).alias("primitive"), fn.method_error(method, ring).alias("error"))
 
 
-_DRIVES = ["Intel SSDSC2KB019", "samsung pm9a3", "Samsung 990 PRO", "WDC Ultrastar DC SN640", "KIOXIA CD6", "Intel 660p", "Micron_7450", "Seagate Nytro 5050", "Toshiba PX05", "none"]
+_DRIVES = [
+    "Intel SSDSC2KB019", "samsung pm9a3", "Samsung 990 PRO", "WDC Ultrastar DC SN640", "KIOXIA CD6", "Intel 660p", "Micron_7450",
+    "Seagate Nytro 5050", "Toshiba PX05", "none"
+]
 
 
 @_query("SELECT p_partkey, CASE WHEN p_partkey % 10 IN (0, 1, 3, 4, 6, 7, 8) THEN 'yes' ELSE 'unknown' END AS protection FROM part")
@@ -445,7 +485,9 @@ def word_parsers(spark, sf_dir):
     line = F.when(n % 2 == 0, F.concat(F.lit("MemTotal:   "), k, F.lit(" kB"))).otherwise(F.concat(F.lit("MemFree: "), k, F.lit(" kB")))
     raw = F.replace(F.replace("p_name", F.lit(" "), F.lit("\n")), F.lit("e"), F.lit('\x01"'))
     return _t(spark, sf_dir, "part").select(
-        "p_partkey", fn.cache_size(cache).alias("cache"), fn.drive_kind(F.when(n % 3 == 0, "nvme0n1").otherwise("sda"), n % 4).alias("drive"), fn.current_mode(first, second).alias("mode"),
+        "p_partkey", fn.cache_size(cache).alias("cache"), fn.drive_kind(
+            F.when(n % 3 == 0, "nvme0n1").otherwise("sda"), n % 4
+        ).alias("drive"), fn.current_mode(first, second).alias("mode"),
         fn.kib(F.when(n % 2 == 0, F.concat(k, F.lit(" kB"))).otherwise("many")).alias("kib"), fn.field_of(line, "MemTotal").alias("total"),
         fn.atomic_write_unit(F.when(n % 7 > 0, n), F.lit(512)).alias("atomic_unit"), fn.escape_quoted(raw).alias("escaped"),
     )
@@ -461,7 +503,8 @@ def option_clamps(spark, sf_dir):
     )
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 10 < 9 THEN ['fast_poll', 'register_buffers', 'register_files', 'uring_cmd', 'submit_all', 'coop_taskrun', 'single_issuer', 'defer_taskrun', 'sqpoll'][event_id % 10 + 1] END AS name, CASE WHEN event_id % 10 < 9 THEN event_id % 10 END AS place FROM events")
+@_query("""SELECT event_id, CASE WHEN event_id % 10 < 9 THEN ['fast_poll', 'register_buffers', 'register_files', 'uring_cmd', 'submit_all', 'coop_taskrun', 'single_issuer', 'defer_taskrun', 'sqpoll'][event_id % 10 + 1] END AS name, CASE WHEN event_id % 10 < 9 THEN event_id % 10 END AS place
+  FROM events""")
 def ring_features(spark, sf_dir):
     k = F.col("event_id") % 10
     feature = F.element_at(F.array(*map(F.lit, [*fn.RING_FEATURES, "Other"])), (k + 1).cast("int"))
@@ -486,12 +529,15 @@ def batch_shards(spark, sf_dir):
     return dealt.groupBy("conv_id").agg(((F.count_distinct("s") == 1) & (F.min("s") >= 0) & (F.max("s") < 7)).alias("whole"))
 
 
-@_query("SELECT event_type, count(*) AS calls, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM events GROUP BY event_type")
+@_query("""SELECT event_type, count(*) AS calls, CAST(sum(strlen(props)) AS BIGINT) AS bytes, CAST(sum(CASE WHEN value > 100 THEN 1 ELSE 0 END) AS BIGINT) AS errors
+  FROM events GROUP BY event_type""")
 def tel_rollup(spark, sf_dir):
     return telemetry.rollup(_t(spark, sf_dir, "events"), "event_type", F.octet_length("props"), F.col("value") > 100)
 
 
-_RANK = "SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = floor(0.5 * (n - 1) + 0.5)) AS p50, max(value) FILTER (WHERE i = floor(0.999 * (n - 1) + 0.5)) AS p999 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type"
+_RANK = """SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = floor(0.5 * (n - 1) + 0.5)) AS p50, max(value) FILTER (WHERE i = floor(0.999 * (n - 1) + 0.5)) AS p999
+  FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
+  FROM events) GROUP BY event_type"""
 
 
 def _ranked(spark, sf_dir):
@@ -529,12 +575,16 @@ def tel_baselines(spark, sf_dir):
     return _t(spark, sf_dir, "part").select("p_partkey", got["name"].alias("name"), got["value"].alias("value"))
 
 
-@_query("SELECT conv_id, records, CASE WHEN error THEN 0 ELSE bytes END AS bytes, error FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes, max(strlen(text)) > 400 AS error FROM conversations GROUP BY conv_id)")
+@_query("""SELECT conv_id, records, CASE WHEN error THEN 0 ELSE bytes END AS bytes, error
+  FROM (SELECT conv_id, count(*) AS records, CAST(sum(strlen(text) + 12) AS BIGINT) AS bytes, max(strlen(text)) > 400 AS error FROM conversations
+  GROUP BY conv_id)""")
 def tel_append_events(spark, sf_dir):
     return telemetry.append_events(_t(spark, sf_dir, "conversations"), "conv_id", "text", F.octet_length("text") > 400)
 
 
-@_query("SELECT event_type AS kind, CAST(sum(CASE WHEN value > 100 THEN 0 ELSE strlen(props) END) AS BIGINT) AS bytes, CAST(sum(event_id % 1000) AS BIGINT) AS duration_ns, CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS errors FROM (SELECT event_id, value, props, CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'write' ELSE 'read_at' END AS event_type FROM events) WHERE event_type IN ('read', 'write') GROUP BY 1")
+@_query("""SELECT event_type AS kind, CAST(sum(CASE WHEN value > 100 THEN 0 ELSE strlen(props) END) AS BIGINT) AS bytes, CAST(sum(event_id % 1000) AS BIGINT) AS duration_ns, CAST(count(*) FILTER (WHERE value > 100) AS BIGINT) AS errors
+  FROM (SELECT event_id, value, props, CASE event_type WHEN 'click' THEN 'read' WHEN 'view' THEN 'write' ELSE 'read_at' END AS event_type FROM events)
+  WHERE event_type IN ('read', 'write') GROUP BY 1""")
 def tel_io_events(spark, sf_dir):
     op = F.when(F.col("event_type") == "click", "read").when(F.col("event_type") == "view", "write").otherwise("read_at")
     events = telemetry.io_events(_t(spark, sf_dir, "events"), op, F.octet_length("props"), F.col("event_id") % 1000, F.col("value") > 100)
@@ -558,7 +608,10 @@ f AS (SELECT conv_id, count(*) AS ops, min(i) FILTER (WHERE kind = 'copy' AND k
 
 def _ops(spark, sf_dir):
     kind = F.when(F.col("turn") % 3 == 2, "copy").when(F.col("turn") % 7 == 5, "delete").otherwise("write")
-    ops = _t(spark, sf_dir, "conversations").select("conv_id", "turn", kind.alias("kind"), F.col("role").alias("path"), F.when(F.col("role") == "user", "assistant").otherwise("user").alias("src"), F.col("text").alias("data"))
+    ops = _t(spark, sf_dir, "conversations").select(
+        "conv_id", "turn", kind.alias("kind"), F.col("role").alias("path"),
+        F.when(F.col("role") == "user", "assistant").otherwise("user").alias("src"), F.col("text").alias("data")
+    )
     return batch.apply_ops(ops, "conv_id", "turn")
 
 
@@ -579,12 +632,16 @@ def file_append(spark, sf_dir):
     return grown.select("conv_id", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
-_MOVED = "WITH a AS (SELECT p_partkey AS src, (p_partkey // 7) * 7 AS dst, p_name FROM part WHERE p_size < 4), m AS (SELECT dst AS d, arg_max(p_name, src) AS p_name FROM a GROUP BY dst) SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT d FROM m)"
+_MOVED = """WITH a AS (SELECT p_partkey AS src, (p_partkey // 7) * 7 AS dst, p_name FROM part
+  WHERE p_size < 4), m AS (SELECT dst AS d, arg_max(p_name, src) AS p_name FROM a GROUP BY dst) SELECT p_partkey, p_name FROM part
+  WHERE p_partkey NOT IN (SELECT d FROM m)"""
 
 
 def _moves(spark, sf_dir):
     """Several parts go to one number, some to their own."""
-    return _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "part").where("p_size < 4").select(F.col("p_partkey").alias("src"), F.expr("p_partkey div 7 * 7").alias("dst"))
+    return _t(spark, sf_dir, "part").select("p_partkey", "p_name"), _t(spark, sf_dir, "part").where("p_size < 4").select(
+        F.col("p_partkey").alias("src"), F.expr("p_partkey div 7 * 7").alias("dst")
+    )
 
 
 @_query(f"{_MOVED} UNION ALL SELECT d, p_name FROM m")
@@ -609,7 +666,7 @@ def ns_rmdir(spark, sf_dir):
     return namespace.remove_empty(tree, tree.where("not is_file").select("path"), F.col("is_file"))
 
 
-@_query(f"SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN array_to_string(list_filter(string_split({_URL}, '/'), lambda x: x <> ''), '/') END AS path FROM pages")
+@_query(f"""SELECT page_id, CASE WHEN page_id % 3 <> 1 THEN array_to_string(list_filter(string_split({_URL}, '/'), lambda x: x <> ''), '/') END AS path FROM pages""")
 def path_confine(spark, sf_dir):
     lead = F.when(F.col("page_id") % 3 == 0, "a/./../").when(F.col("page_id") % 3 == 1, "a/../../").otherwise("./")
     return _t(spark, sf_dir, "pages").select("page_id", fn.confine(F.concat(lead, F.regexp_replace("url", "^[a-z]+://", ""))).alias("path"))
@@ -621,7 +678,9 @@ def err_code_dim(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", fn.error_name(code).alias("name"))
 
 
-@_query("SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = n // 2) AS p50, max(value) FILTER (WHERE i = least(n - 1, n * 99 // 100)) AS p99 FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) GROUP BY event_type")
+@_query("""SELECT event_type, CAST(max(n) AS BIGINT) AS n, max(value) FILTER (WHERE i = n // 2) AS p50, max(value) FILTER (WHERE i = least(n - 1, n * 99 // 100)) AS p99
+  FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
+  FROM events) GROUP BY event_type""")
 def tel_truncated_rank(spark, sf_dir):
     return telemetry.truncated_rank(_t(spark, sf_dir, "events"), "event_type", "value")
 

@@ -268,7 +268,13 @@ def read_log(spark: SparkSession, path: str, start: int = 0, width: int | None =
 
     def packed(path, rows):
         lsn, end, payload = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), pa.array(lsn, pa.int64()), pa.array(end, pa.int64()), pa.array(map(len, payload), pa.int64()), pa.array(payload, pa.binary())], names=names)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([path] * len(rows), pa.string()), pa.array(lsn, pa.int64()), pa.array(end, pa.int64()),
+                pa.array(map(len, payload), pa.int64()), pa.array(payload, pa.binary())
+            ],
+            names=names
+        )
 
     def run(batches):
         for batch in batches:
@@ -296,7 +302,10 @@ def read_at(spark: SparkSession, path: str, lsn: int) -> DataFrame:
             for p, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 state, payload = _source(p, size).frame(lsn)
                 rows.append((p, lsn, {"Ok": "Ok", "TruncatedHeader": "UnexpectedEof", "TruncatedPayload": "UnexpectedEof"}.get(state, "InvalidData"), payload if state == "Ok" else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.string(), pa.int64(), pa.string(), pa.binary()], strict=True)], names=["path", "lsn", "state", "payload"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, [pa.string(), pa.int64(), pa.string(), pa.binary()], strict=True)],
+                names=["path", "lsn", "state", "payload"]
+            )
 
     return log_files(spark, path).mapInArrow(run, "path string, lsn long, state string, payload binary")
 
@@ -304,7 +313,10 @@ def read_at(spark: SparkSession, path: str, lsn: int) -> DataFrame:
 def log_tails(spark: SparkSession, path: str, width: int | None = None) -> DataFrame:
     """(path, file_len, clean_end, records, state) of every log."""
     live = _live(log_ranges(log_files(spark, path), 0, width))
-    out = live.groupBy("path").agg(F.max("file_len").alias("file_len"), F.coalesce(F.max("clean"), F.lit(0)).alias("clean_end"), F.sum("records").alias("records"), F.max_by("state", "k").alias("state"))
+    out = live.groupBy("path").agg(
+        F.max("file_len").alias("file_len"), F.coalesce(F.max("clean"), F.lit(0)).alias("clean_end"), F.sum("records").alias("records"),
+        F.max_by("state", "k").alias("state")
+    )
     return out.withColumn("state", F.when(F.col("state") == "Running", "CleanEnd").otherwise(F.col("state")))
 
 

@@ -47,7 +47,10 @@ def commits(requests: DataFrame, window_s: float, most_followers: int) -> DataFr
     """
     most, wide = most_followers + 1, round(window_s * 1e6)
     block = max(BLOCK, most)
-    plain = requests.select(F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("one"))
+    plain = requests.select(
+        F.col("user_id").cast("long").alias("user_id"), F.col("event_id").cast("long").alias("event_id"),
+        F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.lit(1).alias("one")
+    )
     rows = cut(running_total(plain, ["user_id", "at", "event_id"], "one", "pos").drop("one"))
     first = rows.groupBy("user_id").agg(F.min("pos").alias("pos")).select("pos")
 
@@ -110,4 +113,6 @@ def stream_syncs(requests: DataFrame, window_s: float, most_followers: int) -> D
                 state.setTimeoutTimestamp(max(int((open_[1] + window_s) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], leader, n) for leader, _, n in closed], columns=["user_id", "leader_id", "followers"])
 
-    return requests.groupBy("user_id").applyInPandasWithState(run, "user_id long, leader_id long, followers long", "leader_id long, at double, followers long", "append", GroupStateTimeout.EventTimeTimeout)
+    return requests.groupBy("user_id").applyInPandasWithState(
+        run, "user_id long, leader_id long, followers long", "leader_id long, at double, followers long", "append", GroupStateTimeout.EventTimeTimeout
+    )

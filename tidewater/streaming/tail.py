@@ -93,7 +93,10 @@ class _Reader(DataSourceStreamReader):
             at = part.low
             for lsn, end, payload in decode(Bytes(source, part.high), part.low, part.high):
                 at = end
-                yield pa.RecordBatch.from_arrays([pa.array([part.path]), pa.array([lsn], pa.int64()), pa.array([end], pa.int64()), pa.array([payload], pa.binary())], names=["path", "lsn", "next_lsn", "payload"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part.path]), pa.array([lsn], pa.int64()), pa.array([end], pa.int64()), pa.array([payload], pa.binary())],
+                    names=["path", "lsn", "next_lsn", "payload"]
+                )
             if at != part.high:
                 raise ValueError(f"{part.path} breaks off at {at}, before {part.high}")
 
