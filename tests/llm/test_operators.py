@@ -262,6 +262,7 @@ def test_repeated_windows():
 @pytest.mark.parametrize("block", [32, 2])
 def test_suffix_dedup(docs, nothing, corpus, monkeypatch, block):
     monkeypatch.setattr(suffix, "BLOCK", block)
+    monkeypatch.setattr(suffix, "HOT", 128 * block - 252)  # 4 with small blocks: copies by broadcast and by key
     seen, want = set(), {}
     for i, t in sorted({(r[0], r[1] or "") for r in corpus}, key=lambda x: (x[0] is not None, x[0] or 0)):
         raw = t.encode()

@@ -50,6 +50,7 @@ from ._text import _BYTE_CODE, U64, column_bytes, mix, powers, slices, tidy
 
 LENGTH, ANCHOR, PART, SEGMENT, BLOCK = 100, 24, 26, 512, 32
 SORTED, HELD = 1 << 20, 4 << 20  # bytes that are sorted side by side, and that a task holds to sort texts of like sizes together
+HOT, MOST_HOT = 4096, 100_000  # occurrences of a class that is broadcast, and classes of this kind at most
 TASK = 8 << 20  # bytes that a task sorts in all, about
 _SPAN = LENGTH - ANCHOR + 1
 _NULL_ID = -(2**63)
@@ -303,9 +304,14 @@ def repeats(docs: DataFrame) -> DataFrame:
     first = apart.groupBy("key", "window").agg(F.min("place").alias("earliest"))
     later = apart.join(first, ["key", "window"]).where("place <> earliest").select("id", "mark", "low", "high")
     # occurrences between the first and the last of a class
-    between = occurs.join(
-        classes.where("n > 2 and first <> last").select("fp", "region", "first", "last"), ["fp", "region"]
-    ).where((place != F.col("first")) & (place != F.col("last")))
+    many = classes.where("n > 2 and first <> last").select("fp", "region", "first", "last", "n")
+    hot = cut(many.where(F.col("n") > HOT))
+    if 0 < hot.count() <= MOST_HOT:  # a class of very many copies is met where its copies are, not in one task
+        by_key = occurs.join(F.broadcast(hot.select("fp", "region")), ["fp", "region"], "left_anti").join(many.where(F.col("n") <= HOT), ["fp", "region"])
+        between = by_key.union(occurs.join(F.broadcast(hot), ["fp", "region"]))
+    else:
+        between = occurs.join(many, ["fp", "region"])
+    between = between.where((place != F.col("first")) & (place != F.col("last")))
     low = F.shiftright("run", 16)
     between = between.select("id", "mark", low.alias("low"), (low + F.col("run").bitwiseAND(0xFF) - 1 + LENGTH).alias("high"))
     return written(own.union(later).union(between).groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high")).alias("spans")))
