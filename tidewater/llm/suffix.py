@@ -49,7 +49,7 @@ from ._spark import cut, maybe_among, whole_row, written
 from ._text import _BYTE_CODE, U64, column_bytes, mix, powers, slices, tidy
 
 LENGTH, ANCHOR, PART, SEGMENT, BLOCK = 100, 24, 26, 512, 32
-SORTED, HELD = 1 << 20, 4 << 20  # bytes that are sorted side by side, and that a task holds to sort texts of like sizes together
+SORTED, HELD = 1 << 19, 4 << 20  # bytes that are sorted side by side, and that a task holds to sort texts of like sizes together
 HOT, MOST_HOT = 4096, 100_000  # occurrences of a class that is broadcast, and classes of this kind at most
 TASK = 8 << 20  # bytes that a task sorts in all, about
 _SPAN = LENGTH - ANCHOR + 1
