@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._spark import cut
+from ._spark import cut, written
 
 SAMPLES, AT_ONCE = 64, 2
 _NULL_ID = -(2**63)
@@ -145,10 +145,13 @@ def compare_edited(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     both = (pair.dropDuplicates(["id", "mark"]) if repeated else pair).select("id", "mark", F.col("text").alias("fingerprint"), F.col("edited").alias("edited_fingerprint"))
     printed = fingerprints(both, ["id", "mark"], ["fingerprint", "edited_fingerprint"], samples)
     facts = pair.select("id", "mark", "next", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    # one job for both, so that the exchange of the texts is written once
-    out = cut(facts.join(printed, ["id", "mark"], "left").na.fill("0" * 8 * samples, ["fingerprint", "edited_fingerprint"]))
+    # one job for both, so that the exchange of the texts is written once; prints are kept as bytes, half as long
+    prints = ["fingerprint", "edited_fingerprint"]
+    out = facts.join(printed, ["id", "mark"], "left").na.fill("0" * 8 * samples, prints)
+    out = written(out.withColumns({c: F.unhex(c) for c in prints}))
     following = out.select(F.struct("id", "mark").alias("next"), F.col("fingerprint").alias("_ahead"))
     out = out.join(following.dropDuplicates(["next"]) if repeated else following, "next")
+    out = out.withColumns({c: F.lower(F.hex(c)) for c in (*prints, "_ahead")})
     return out.select(
         F.when(F.col("id") != _NULL_ID, F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
