@@ -42,7 +42,8 @@ CONTEXTS = 256  # buckets of the word before, for clustering
 STEPS = (0.7, 0.5, 0.4)
 PRIOR, LEAF_PRIOR = 0.5, 10.0  # counts added to observed and expected ones, so that few say little
 LEAVES, LEAF_HASHED = 32, 256  # leaves of a class, and buckets of each of their features
-CHUNK = 1 << 14
+CHUNK = 1 << 13
+COUNTED = 1 << 20  # bytes of a slice: each adds whole arrays of counts, and looks its distinct words up once
 END_HASH = np.uint64(0x5851F42D4C957F2D)
 START_HASH = np.uint64(0x14057B7EF767814F)
 END_BUCKET = SUFFIXES  # the end has a class of its own, the last
@@ -93,23 +94,30 @@ def leaf_rows(h: np.ndarray, row: np.ndarray, k: np.ndarray) -> np.ndarray:
     return hashed * CLASSES + k[:, None]
 
 
+def _sums(ids: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    z = weights.take(ids[:, 0], axis=0)
+    for j in range(1, ids.shape[1]):
+        z += weights.take(ids[:, j], axis=0)
+    z += bias
+    return z
+
+
+def _normalised(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exponentials, their sums); updates are clipped, so that sums of weights stay far from what floats can't hold."""
+    e = np.exp(z)
+    return e, np.einsum("ij->i", e)
+
+
 def log_leaves(rows: np.ndarray, k: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(tokens, LEAVES) log-probabilities in the tokens' own classes."""
-    z = bias[k] + weights[rows[:, 0]]
-    z += weights[rows[:, 1]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    z = _sums(rows, weights, bias[k])
+    return z - np.log(_normalised(z)[1])[:, None]
 
 
 def log_classes(ids: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """(tokens, CLASSES) log-probabilities."""
-    z = bias + weights[ids[:, 0]]
-    z += weights[ids[:, 1]]
-    z += weights[ids[:, 2]]
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    z = _sums(ids, weights, bias)
+    return z - np.log(_normalised(z)[1])[:, None]
 
 
 def in_training():
@@ -134,7 +142,7 @@ def _count(batches):
         return [pa.RecordBatch.from_arrays([pa.array(u[k : k + 100_000].view(np.int64)), pa.array(b[k : k + 100_000], pa.int32()), pa.array(c[k : k + 100_000])], names=["word", "bucket", "c"]) for k in range(0, len(u), 100_000)]
 
     for batch in batches:
-        for _, _, data, offsets in slices(batch.column(0)):
+        for _, _, data, offsets in slices(batch.column(0), COUNTED):
             h, b, row = tokens(data, offsets)
             pairs += np.bincount(b.astype(np.int64) * CONTEXTS + _before(b, row, 1, END_BUCKET) % CONTEXTS, minlength=len(pairs))
             held.append(_merge(h, b, np.ones(len(h))))
@@ -167,7 +175,7 @@ def _add_by(total: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order = np.argsort(at.astype(np.uint16), kind="stable")  # all places fit; short integers sort by radix
     f = at[order]
     first = np.flatnonzero(np.append(True, f[1:] != f[:-1]))
-    total[f[first]] += np.add.reduceat(rows[order], first, axis=0)
+    total[f[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def _gradient(model):
@@ -175,10 +183,10 @@ def _gradient(model):
 
     def run(batches):
         class_of, weights, bias, leaf_weights, leaf_bias = (model[c] for c in ("class_of", "weights", "bias", "leaf_weights", "leaf_bias"))
-        seen, expected = np.zeros(FEATURES * CLASSES), np.zeros((FEATURES, CLASSES), np.float32)
-        leaf_seen, leaf_expected = np.zeros(leaf_weights.size), np.zeros(leaf_weights.shape, np.float32)
+        seen, expected = np.zeros(FEATURES * CLASSES), np.zeros((FEATURES, CLASSES))
+        leaf_seen, leaf_expected = np.zeros(leaf_weights.size), np.zeros(leaf_weights.shape)
         for batch in batches:
-            for _, _, data, offsets in slices(batch.column(0)):
+            for _, _, data, offsets in slices(batch.column(0), COUNTED):
                 h, b, row = tokens(data, offsets)
                 ids, k = feature_ids(h, b, row, class_of), class_of[b]
                 own, leaf = leaf_rows(h, row, k), leaves(h)
@@ -188,10 +196,12 @@ def _gradient(model):
                     leaf_seen += np.bincount(own[:, j] * LEAVES + leaf, minlength=len(leaf_seen))
                 for lo in range(0, len(h), CHUNK):
                     part, near = ids[lo : lo + CHUNK], own[lo : lo + CHUNK]
-                    p = np.exp(log_classes(part, weights, bias))
+                    p, total = _normalised(_sums(part, weights, bias))
+                    p /= total[:, None]
                     for j in range(3):
                         _add_by(expected, part[:, j], p)
-                    p = np.exp(log_leaves(near, k[lo : lo + CHUNK], leaf_weights, leaf_bias))
+                    p, total = _normalised(_sums(near, leaf_weights, leaf_bias[k[lo : lo + CHUNK]]))
+                    p /= total[:, None]
                     for j in range(2):
                         _add_by(leaf_expected, near[:, j], p)
         for part, both in enumerate((np.hstack([seen.reshape(FEATURES, CLASSES), expected]), np.hstack([leaf_seen.reshape(leaf_weights.shape), leaf_expected]))):
@@ -281,7 +291,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         class_of, weights, bias, leaf_weights, leaf_bias, within, head, head_c = shared.value
         logs = np.log10(head_c + 1.0)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(2)):
+            for lo, hi, data, offsets in slices(batch.column(2), COUNTED):
                 h, b, row = tokens(data, offsets)
                 ids, k, rows = feature_ids(h, b, row, class_of), class_of[b], hi - lo
                 own, leaf, gained = leaf_rows(h, row, k), leaves(h), np.empty(len(h))
