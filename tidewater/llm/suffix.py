@@ -144,6 +144,13 @@ def _anchor_batches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (fp, region, ids[lo + row], marks[lo + row], packed)], names=["fp", "region", "id", "mark", "run"])
 
 
+def _anchor_hashes(batches):
+    """The anchors' hashes alone."""
+    for batch in batches:
+        for _, _, data, offsets in slices(batch.column(0)):
+            yield pa.RecordBatch.from_arrays([pa.array(anchors(data, offsets)[1])], names=["fp"])
+
+
 def pieces(raw: bytes, fp: int, run: int):
     """(key, lowest window's place, windows, symbols) of each piece of an owned run: key stands for anchor, part and core, \xff takes the place of the core."""
     lo, before, windows = run >> 16, run >> 8 & 0xFF, run & 0xFF
@@ -282,7 +289,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs)
     place = F.struct("id", "mark", "run")
     found = texts.mapInArrow(tidy(_anchor_batches), "fp long, region long, id long, mark long, run long")
-    often = written(found.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # written, so that a skewed join with it can be split
+    hashes = texts.select("text").mapInArrow(tidy(_anchor_hashes), "fp long")
+    often = written(hashes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1").select("fp"))  # written, so that a skewed join with it can be split
     occurs = written(found.join(often, "fp"))
     classes = written(occurs.groupBy("fp", "region").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")))
     several = cut(classes.groupBy("fp").agg(F.count("*").alias("classes")).where("classes > 1").select("fp"))
